@@ -1,0 +1,5 @@
+"""No streaming operators exist in the scope of this library.
+
+Every row-level expression in ``labelsift.functions`` and every fitted model works on a streaming
+DataFrame through plain ``select`` / ``transform``, so nothing has to be added here.
+"""
