@@ -7,9 +7,9 @@ number of classes and not by the data.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def as_probs(df: DataFrame, id_col: str, label_col: str, psx_col: str, *keep: str) -> DataFrame:
@@ -32,18 +32,28 @@ def pair_grid(spark: SparkSession, k: int) -> DataFrame:
         (F.col("id") / k).cast("int").alias("s"), (F.col("id") % k).cast("int").alias("y"))
 
 
+def local_frame(spark: SparkSession, columns: dict[str, tuple[pa.DataType, list]]) -> DataFrame:
+    """Class-sized driver values as a local relation: known size, no job, no Python worker."""
+    return spark.createDataFrame(pa.table({n: pa.array(v, t) for n, (t, v) in columns.items()}))
+
+
 def matrix_frame(spark: SparkSession, rows, value: str = "n") -> DataFrame:
     """Long frame of a nested list."""
-    kind = T.LongType() if value == "n" else T.DoubleType()
-    cast = int if value == "n" else float
-    schema = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("y", T.IntegerType()),
-                           T.StructField(value, kind)])
-    return spark.createDataFrame([(i, j, cast(v)) for i, row in enumerate(rows) for j, v in enumerate(row)], schema)
+    kind, cast = (pa.int64(), int) if value == "n" else (pa.float64(), float)
+    cells = [(i, j, cast(v)) for i, row in enumerate(rows) for j, v in enumerate(row)]
+    return local_frame(spark, {"s": (pa.int32(), [c[0] for c in cells]), "y": (pa.int32(), [c[1] for c in cells]),
+                               value: (kind, [c[2] for c in cells])})
 
 
 def vector_frame(spark: SparkSession, values, key: str = "s", value: str = "p") -> DataFrame:
-    schema = T.StructType([T.StructField(key, T.IntegerType()), T.StructField(value, T.DoubleType())])
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], schema)
+    return local_frame(spark, {key: (pa.int32(), list(range(len(values)))), value: (pa.float64(), [float(v) for v in values])})
+
+
+def constant_array(spark: SparkSession, values: list) -> Column:
+    """Driver values, a list or a list of lists of numbers, as an array constant."""
+    nested = bool(values) and isinstance(values[0], list)
+    kind = pa.list_(pa.list_(pa.float64())) if nested else pa.list_(pa.float64())
+    return local_frame(spark, {"v": (kind, [values])}).scalar()
 
 
 def by_class(small: DataFrame, key: str, value: str, k: int) -> Column:

@@ -1,6 +1,6 @@
 """From a joint to flagged rows: prune counts, exact cuts, masks, ordering, pruning and flipping.
 
-Counts are long ``s, y, n`` frames (given label s, true label y). Cuts are class-sized and reach the
+Counts are long ``s, y, n`` frames (given label s, true label y; ``class_n`` rows of s). Cuts are class-sized and reach the
 scan of the probability frame as array constants, so flagging is a projection without a shuffle.
 """
 
@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from labelsift.functions.probability import agrees, argmax_class, self_confidence
 from labelsift.operators import frames, joint, multilabel, rank
@@ -48,15 +47,15 @@ def reduce_counts(counts: DataFrame, frac_noise: float = 1.0) -> DataFrame:
     return out.withColumn("n", F.floor("_x").cast("bigint")).drop("_x")
 
 
-def removal_budget(counts: DataFrame, class_n: DataFrame, budget: list[float]) -> DataFrame:
+def removal_budget(counts: DataFrame, budget: list[float]) -> DataFrame:
     """Rescale the noise of each true class to a requested number of removals.
 
-    ``class_n``: ``s, n`` row count per class. Shares divide by the true-class total found at the given
-    label's index; budgets go by true class. A class without noise gets no removals off the diagonal.
+    Shares divide by the true-class total found at the given label's index; budgets go by true class.
+    A class without noise gets no removals off the diagonal.
     """
     b = F.array(*[F.lit(float(v)) for v in budget])
     totals = counts.groupBy("y").agg(F.sum("n").cast("double").alias("_t")).select(F.col("y").alias("s"), "_t")
-    size = class_n.select(F.col("s").alias("y"), F.col("n").alias("_size"))
+    size = counts.where("s = y").select("y", F.col("class_n").alias("_size"))
     m = counts.join(F.broadcast(totals), "s").join(F.broadcast(size), "y")  # K rows each
     m = m.withColumn("_q", F.coalesce(F.try_divide(F.col("n").cast("double"), F.col("_t")), F.lit(0.0)))
     on = F.col("s") == F.col("y")
@@ -65,20 +64,13 @@ def removal_budget(counts: DataFrame, class_n: DataFrame, budget: list[float]) -
     x = F.when(on, F.col("_size") - want).otherwise(
         F.coalesce(F.try_divide(F.col("_q") * want, F.col("_noise")), F.lit(0.0)))
     out = round_keeping_totals(m.withColumn("_x", x.cast("double")), "_x", row="y", col="s")
-    return out.withColumn("n", F.col("_x").cast("bigint")).select("s", "y", "n")
+    return out.withColumn("n", F.col("_x").cast("bigint")).select("s", "y", "n", "class_n")
 
 
-def prune_counts(cj: DataFrame, frac_noise: float = 1.0, budget: list[float] | None = None,
-                 class_n: DataFrame | None = None) -> DataFrame:
-    """``s, y, n`` rows to flag (off the diagonal) and to keep (on it)."""
-    counts = keep_at_least(cj.select("s", "y", "n"), MIN_ROWS_PER_CLASS, frac_noise)
-    if budget is None:
-        return counts
-    return removal_budget(counts, class_n if class_n is not None else _sizes(cj), budget)
-
-
-def _sizes(cj: DataFrame) -> DataFrame:
-    return cj.where("s = y").select("s", F.col("class_n").alias("n"))
+def prune_counts(cj: DataFrame, frac_noise: float = 1.0, budget: list[float] | None = None) -> DataFrame:
+    """``s, y, n, class_n``: rows to flag (off the diagonal) and to keep (on it)."""
+    counts = keep_at_least(cj.select("s", "y", "n", "class_n"), MIN_ROWS_PER_CLASS, frac_noise)
+    return counts if budget is None else removal_budget(counts, budget)
 
 
 def _labels(multi_label: bool) -> Column:
@@ -109,16 +101,14 @@ def class_cuts(probs: DataFrame, counts: list, sizes: dict[int, int], multi_labe
     return [{"s": c["s"], "cut": -c["cut"]} for c in rank.nth_largest(own, ["s"], "v", wanted, bounds=(-1.0, 0.0))]
 
 
-def _cut_frame(probs: DataFrame, cuts: list[dict], keys: list[str]) -> DataFrame:
-    schema = T.StructType([T.StructField(c, T.IntegerType()) for c in keys] + [T.StructField("cut", T.DoubleType())])
-    return probs.sparkSession.createDataFrame([tuple(c[f] for f in [*keys, "cut"]) for c in cuts], schema)
-
-
 def flag_by_noise_rate(probs: DataFrame, cuts: list[dict], k: int, multi_label: bool, name: str) -> DataFrame:
     """Flag rows at or above any of their margin cuts, ties included."""
     if not cuts:
         return probs.withColumn(name, F.lit(False))
-    by_pair = frames.by_pair(_cut_frame(probs, cuts, ["s", "y"]), "s", "y", "cut", k)
+    table: list[list] = [[None] * k for _ in range(k)]
+    for c in cuts:
+        table[c["s"]][c["y"]] = c["cut"]
+    by_pair = frames.constant_array(probs.sparkSession, table)
     over = F.exists(_labels(multi_label), lambda g: F.exists(
         F.zip_with("psx", F.element_at("_cuts", g + 1),
                    lambda p, c: F.coalesce(p - F.element_at("psx", g + 1) >= c, F.lit(False))), lambda hit: hit))
@@ -129,7 +119,10 @@ def flag_by_class(probs: DataFrame, cuts: list[dict], k: int, multi_label: bool,
     """Flag rows strictly below the cut of any of their labels."""
     if not cuts:
         return probs.withColumn(name, F.lit(False))
-    by_class = frames.by_class(_cut_frame(probs, cuts, ["s"]), "s", "cut", k)
+    table = [None] * k
+    for c in cuts:
+        table[c["s"]] = c["cut"]
+    by_class = frames.constant_array(probs.sparkSession, table)
     under = F.exists(_labels(multi_label), lambda g: F.coalesce(
         F.element_at("psx", g + 1) < F.element_at("_cuts", g + 1), F.lit(False)))
     return probs.withColumn("_cuts", by_class).withColumn(name, under).drop("_cuts")
@@ -153,11 +146,8 @@ def find_label_errors(probs: DataFrame, k: int, cj: DataFrame | None = None,
     elif "class_n" not in cj.columns:
         n = (joint.label_list_counts if multi_label else joint.class_counts)(probs, k)
         cj = cj.select("s", "y", "n").join(F.broadcast(n.select("s", F.col("n").alias("class_n"))), "s")  # K rows
-    rows = [r.asDict() for r in cj.select("s", "y", "n", "class_n").collect()]  # K*K rows
-    sizes = {r["s"]: r["class_n"] for r in rows}
-    small = frames.matrix_frame(probs.sparkSession, _square(rows, k)).join(
-        F.broadcast(_size_frame(probs, sizes)), "s")
-    counts = [r.asDict() for r in prune_counts(small, frac_noise, budget).collect()]
+    counts = [r.asDict() for r in prune_counts(cj, frac_noise, budget).collect()]  # K*K rows
+    sizes = {r["s"]: r["class_n"] for r in counts}
     flags = []
     if method in ("prune_by_noise_rate", "both"):
         probs = flag_by_noise_rate(probs, noise_rate_cuts(probs, counts, sizes, multi_label), k, multi_label, "_rate")
@@ -176,17 +166,6 @@ def find_label_errors(probs: DataFrame, k: int, cj: DataFrame | None = None,
     return probs.withColumn("is_error", flagged).drop("_cut", *flags)
 
 
-def _square(rows: list[dict], k: int) -> list[list[int]]:
-    out = [[0] * k for _ in range(k)]
-    for r in rows:
-        out[r["s"]][r["y"]] = r["n"]
-    return out
-
-
-def _size_frame(probs: DataFrame, sizes: dict[int, int]) -> DataFrame:
-    return probs.sparkSession.createDataFrame(sorted(sizes.items()), "s int, class_n bigint")
-
-
 def argmax_errors(probs: DataFrame) -> DataFrame:
     """Baseline: error when the most probable class is not the given label."""
     return probs.withColumn("is_error", argmax_class("psx") != F.col("s"))

@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from labelsift.functions.ordering import KEY_SPAN
+from labelsift.operators import frames
 from labelsift.session import settle
 
 # Cells (groups x bins) of one counting pass.
@@ -40,15 +41,15 @@ def nth_largest(values: DataFrame, groups: list[str], value: str, wanted: list[d
     ends at a single value, so a heavily repeated value costs no more than others.
     """
     spark = values.sparkSession
-    schema = T.StructType([T.StructField(g, T.IntegerType()) for g in groups]
-                          + [T.StructField("_lo", T.DoubleType()), T.StructField("_hi", T.DoubleType()),
-                             T.StructField("_m", T.LongType())])
     pending = [dict(w, lo=bounds[0], hi=bounds[1]) for w in wanted]
     done: list[dict] = []
     v, first = F.col(value), True
     while pending:
         bins = max(2, min(4096, cells // len(pending)))
-        limits = spark.createDataFrame([(*[w[g] for g in groups], w["lo"], w["hi"], w["m"]) for w in pending], schema)
+        limits = frames.local_frame(spark, {
+            **{g: (pa.int32(), [w[g] for w in pending]) for g in groups},
+            "_lo": (pa.float64(), [w["lo"] for w in pending]), "_hi": (pa.float64(), [w["hi"] for w in pending]),
+            "_m": (pa.int64(), [w["m"] for w in pending])})
         near = values.join(F.broadcast(limits), groups)  # one row per group
         if not first:
             near = near.where(v.between(F.col("_lo"), F.col("_hi")))
