@@ -20,7 +20,7 @@ from labelsift.functions.probability import clip_rescale, self_confidence
 from labelsift.operators import (evaluate, frames, joint, latent, multilabel, prune, pu, relabel, rollup,
                                  sampling, vocabulary)
 from labelsift.plans import crossval
-from labelsift.session import settle
+from labelsift.session import settle, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -49,26 +49,29 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pe(spark: SparkSession, folder: str) -> DataFrame:
-    v = vectors(spark, folder)
-    return settle(crossval.centroid_cv_probabilities(v, PE_K, 4, F.col("id") % 4).select("id", "s", "psx"))
+    df = crossval.centroid_cv_probabilities(vectors(spark, folder), PE_K, 4, F.col("id") % 4)
+    return settle(df.select("id", "s", "psx"))
 
 
 def _weighted(id_col: Column, s: Column, k: int) -> Column:
     parts = [((id_col * 7919 + c * 104729) % 9973 + 1 + F.when(s == c, 3000).otherwise(0)) for c in range(k)]
-    weights, total = F.array(*parts), sum(parts[1:], parts[0])
-    return F.transform(weights, lambda w: F.floor(w * 1000000 / total) / F.lit(1e6))
+    total = sum(parts[1:], parts[0])
+    return F.array(*[F.floor(w * 1000000 / total) / F.lit(1e6) for w in parts])
+
+
+def _order_probs(spark: SparkSession, folder: str, s: Column, k: int) -> DataFrame:
+    o = spread(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    key = F.col("o_orderkey")
+    return settle(o.select(key.alias("id"), s.cast("int").alias("s"), _weighted(key, s, k).alias("psx")))
 
 
 def pl(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders")
     s = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
-    return o.select(F.col("o_orderkey").alias("id"), s.cast("int").alias("s"), _weighted(F.col("o_orderkey"), s, PL_K).alias("psx"))
+    return _order_probs(spark, folder, s, PL_K)
 
 
 def pb(spark: SparkSession, folder: str) -> DataFrame:
-    o = table(spark, folder, "orders")
-    s = F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)
-    return o.select(F.col("o_orderkey").alias("id"), s.cast("int").alias("s"), _weighted(F.col("o_orderkey"), s, 2).alias("psx"))
+    return _order_probs(spark, folder, F.when(F.col("o_orderstatus") == "P", 1).otherwise(0), 2)
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,8 +87,8 @@ def toxic(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").select("doc_id", "n_chars")
     lab = table(spark, folder, "labels").select("doc_id", "toxic")
     p = F.round(((F.col("doc_id") * 7919 + F.col("n_chars")) % 9973 + 1 + F.col("toxic") * 4000) / F.lit(14000.0), 6)
-    return (d.join(lab, "doc_id").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("s"),
-                                         F.array(F.round(F.lit(1.0) - p, 6), p).alias("psx")))
+    return settle(d.join(lab, "doc_id").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("s"),
+                                               F.array(F.round(F.lit(1.0) - p, 6), p).alias("psx")))
 
 
 def event_labels(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,11 +96,11 @@ def event_labels(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     kind = F.array_position(F.array(*[F.lit(t) for t in EVENT_TYPES]), F.col("event_type")) - 1
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
-    seen = (e.select("user_id", day.alias("day"), kind.cast("int").alias("k")).distinct()
-            .groupBy("user_id", "day").agg(F.array_sort(F.collect_list("k")).alias("s")))  # at most 5 entries
+    seen = (e.select("user_id", day.alias("day"), kind.cast("int").alias("k"))
+            .groupBy("user_id", "day").agg(F.array_sort(F.collect_set("k")).alias("s")))  # at most 5 entries
     ps = [F.round(((F.col("user_id") * 17 + F.col("day") * 5 + c * 31) % 83 + 1
                    + F.when(F.array_contains("s", c), 40).otherwise(0)) / F.lit(125.0), 6) for c in range(EV_K)]
-    return seen.select((F.col("user_id") * 1000 + F.col("day")).alias("id"), "s", F.array(*ps).alias("psx"))
+    return settle(seen.select((F.col("user_id") * 1000 + F.col("day")).alias("id"), "s", F.array(*ps).alias("psx")))
 
 
 def month_index(col: str) -> Column:
@@ -125,7 +128,7 @@ def latent_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select(F.col("page_id").alias("id"), "html")
+    return spread(table(spark, folder, "pages").select(F.col("page_id").alias("id"), "html"), "id")
 
 
 def page_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -499,7 +502,7 @@ def vocab_topk(spark, folder):
 
 @query
 def bow_l2(spark, folder):
-    counts = vocabulary.token_counts(page_tokens(spark, folder))
+    counts = settle(vocabulary.token_counts(page_tokens(spark, folder)))
     return vocabulary.l2_weights(counts, vocabulary.vocabulary(counts)).select("id", "token", r6("w").alias("w"))
 
 

@@ -19,7 +19,7 @@ def micro_f1_curve(probs: DataFrame, k: int) -> DataFrame:
     counts over at most 36 rows give the rest.
     """
     cuts = F.array(*[F.lit(b) for b in BOUNDARIES])
-    cells = probs.select(F.explode(F.arrays_zip(F.col("psx").alias("p"), to_onehot("s", k).alias("t"))).alias("c"))
+    cells = probs.select(F.explode_outer(F.arrays_zip(F.col("psx").alias("p"), to_onehot("s", k).alias("t"))).alias("c"))
     passed = cells.select(F.col("c.t").alias("t"),
                           F.size(F.filter(cuts, lambda b: F.col("c.p") > b)).alias("passed"))
     hist = passed.groupBy("passed").agg(F.count_if(F.col("t") == 1).alias("pos"), F.count_if(F.col("t") == 0).alias("neg"))

@@ -20,9 +20,10 @@ def exact_keys(silent: DataFrame) -> DataFrame:
 
 def interval_keys(latent: DataFrame, labels: DataFrame) -> DataFrame:
     """Distinct ``(file, release)`` covered by an interval, within the releases the labels have."""
-    low, high = labels.agg(F.min("release")).scalar(), labels.agg(F.max("release")).scalar()
-    clamped = latent.select("file", F.greatest("first_appear", low).cast("int").alias("_a"),
-                            F.least("last_appear", high).cast("int").alias("_b"))
+    seen = labels.agg(F.struct(F.min("release").alias("low"), F.max("release").alias("high"))).scalar()
+    clamped = latent.withColumn("_seen", seen).select(
+        "file", F.greatest("first_appear", "_seen.low").cast("int").alias("_a"),
+        F.least("last_appear", "_seen.high").cast("int").alias("_b"))
     return (clamped.where("_a <= _b")
             .select("file", F.explode(F.sequence("_a", "_b")).alias("release")).distinct())
 

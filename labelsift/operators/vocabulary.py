@@ -11,8 +11,13 @@ VOCABULARY_SIZE = 4000
 
 
 def token_counts(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """``id, token, n``."""
-    return docs.select("id", F.explode(tokens).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("n"))
+    """``id, token, n``.
+
+    ``explode_outer`` on purpose: for a plain ``explode`` the optimizer adds a filter on the array's
+    size and works the tokenising expression out again for it.
+    """
+    words = docs.select("id", F.explode_outer(tokens).alias("token")).where(F.col("token").isNotNull())
+    return words.groupBy("id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def vocabulary(counts: DataFrame, size: int = VOCABULARY_SIZE) -> DataFrame:

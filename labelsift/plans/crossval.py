@@ -5,13 +5,15 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelsift.functions.probability import array_total
-from labelsift.operators import frames, pu, sampling
-from labelsift.session import settle
+from labelsift.functions.probability import entries
+from labelsift.operators import pu, sampling
+from labelsift.session import settle, ship_package
 
 
 def cross_val_probabilities(df: DataFrame, estimator, n_folds: int = 5, seed: int = 0, key: Column | None = None,
@@ -42,11 +44,22 @@ def centroid_cv_probabilities(df: DataFrame, k: int, n_folds: int, fold: Column,
     outs = F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: f != F.col("fold"))
     left_out = (cells.withColumn("out", F.explode(outs)).groupBy("out", "s", "i")
                 .agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")))
-    vectors = left_out.groupBy("out", "s").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e.v).alias("c"))  # one entry per dimension
-    centers = frames.by_pair(vectors, "out", "s", "c", k)
-    near = folded.withColumn("_all", centers).withColumn("_c", F.element_at("_all", F.col("fold") + 1))
-    scores = F.transform(pu.distance_array("x", "_c", "cosine"), lambda d: F.exp((F.lit(1.0) - d) * sharpness))
-    near = near.withColumn("_e", scores).withColumn("_t", array_total("_e"))
-    psx = F.transform("_e", lambda e: F.round(F.try_divide(e, F.col("_t")), places))
-    return near.withColumn("psx", psx).drop("_all", "_c", "_e", "_t")
+    centers = np.zeros((n_folds, k, 0))
+    for r in left_out.collect():  # folds x classes x dimensions
+        if centers.shape[2] <= r["i"]:
+            centers = np.pad(centers, ((0, 0), (0, 0), (0, r["i"] + 1 - centers.shape[2])))
+        centers[r["out"], r["s"], r["i"]] = r["v"]
+
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("array<double>")
+    def softmax_of_similarity(x: pd.Series, fold: pd.Series) -> pd.Series:
+        rows, held = pu.vector_batch(x), fold.to_numpy()
+        out = np.empty((len(rows), k))
+        for f in np.unique(held):
+            out[held == f] = 1.0 - pu.batch_distances(rows[held == f], centers[f], "cosine")
+        e = np.exp(out * sharpness)
+        return pd.Series(list(e / e.sum(axis=1, keepdims=True)))
+
+    scored = folded.withColumn("_p", softmax_of_similarity("x", "fold"))
+    return scored.withColumn("psx", F.array(*[F.round(p, places) for p in entries("_p", k)])).drop("_p")

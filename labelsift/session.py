@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
@@ -60,3 +62,28 @@ def settle(df: DataFrame, how: str = "persist") -> DataFrame:
         ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
     raise ValueError(f"unknown way to settle a frame: {how}")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy per-row work all cores when the input has fewer partitions than cores, as a few
+    large files do. Leaves well-split inputs alone, so there is no shuffle at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers, once per application.
+
+    Needed where vectorised functions run and the package was neither installed on the executors nor
+    given to ``spark-submit --py-files``.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_labelsift_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="labelsift-")) / "labelsift.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(f.relative_to(root.parent)))
+    sc.addPyFile(str(archive))
+    sc._labelsift_shipped = True
