@@ -8,8 +8,11 @@ before anything is compared or ranked.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +22,9 @@ from labelsift.functions.ordering import arithmetic_key
 from labelsift.functions.probability import clip_rescale, self_confidence
 from labelsift.operators import (evaluate, frames, joint, latent, multilabel, prune, pu, relabel, rollup,
                                  sampling, vocabulary)
-from labelsift.plans import crossval
-from labelsift.session import settle, spread
+from labelsift.plans import confident_tuning, crossval, feature_jobs, models, noisy_labels, pu_models, smote
+from labelsift.session import ensure_checkpoint_dir, settle, ship_package, spread
+from labelsift.sources import labelled_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -640,3 +644,120 @@ def bags(spark, folder):
     df = pb(spark, folder).select("id", "s")
     b = sampling.bag_of_row(15, key=arithmetic_key("id", 9))
     return df.where("s = 0").groupBy(b.alias("bag")).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
+
+
+# ---------------------------------------------------------------- learning (no SQL counterpart)
+
+def feature_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings as ``id, s, features``: label 0 is positive, half of the positives are unlabelled."""
+    v = spread(pu_vectors(spark, folder), "id")
+    s = F.when((F.col("s") == 1) & (F.col("id") % 2 == 0), 1).otherwise(0)
+    return settle(v.select("id", s.cast("int").alias("s"), array_to_vector(F.col("x").cast("array<double>")).alias("features")))
+
+
+@query
+def cv_probabilities(spark, folder):
+    rows = feature_rows(spark, folder)
+    out = crossval.cross_val_probabilities(rows, LogisticRegression(labelCol="s", maxIter=10), 3)
+    return out.select("id", "s", "fold", r6(F.element_at("psx", 2)).alias("p"))
+
+
+@query
+def noisy_label_fit(spark, folder):
+    rows = feature_rows(spark, folder)
+    clf = noisy_labels.NoisyLabelClassifier(LogisticRegression(maxIter=10), labelCol="s", cleanClass=1, numFolds=3)
+    model = clf.fit(rows)
+    return models.positive_score(model.transform(rows)).select("id", "s", r6("p").alias("p"))
+
+
+@query
+def elkan_noto(spark, folder):
+    rows = feature_rows(spark, folder)
+    return pu_models.ElkanNoto(LogisticRegression(labelCol="s", maxIter=10)).fit(rows).transform(rows).select("id", "s", r6("p").alias("p"))
+
+
+@query
+def bagging_pu(spark, folder):
+    rows = feature_rows(spark, folder)
+    model = pu_models.BaggingPU(LogisticRegression(labelCol="s", maxIter=5), parallelism=4).fit(rows)
+    return model.transform(rows).select("id", "s", r6("p").alias("p"))
+
+
+@query
+def two_stage_pu(spark, folder):
+    rows = feature_rows(spark, folder)
+    model = pu_models.TwoStagePU(LogisticRegression(labelCol="s", maxIter=5)).fit(rows.where("id % 4 <> 0"), rows.where("id % 4 = 0"))
+    return model.transform(rows).select("id", "s", r6("p").alias("p"))
+
+
+@query
+def label_propagation(spark, folder):
+    rows = feature_rows(spark, folder)
+    model = pu_models.LabelPropagation(LogisticRegression(labelCol="s", maxIter=5)).fit(rows.where("id % 4 <> 0"), rows.where("id % 4 = 0"))
+    return model.transform(rows).select("id", "s", r6("p").alias("p"))
+
+
+@query
+def one_class(spark, folder):
+    rows = feature_rows(spark, folder)
+    model, _ = pu_models.tune_one_class(rows.where("s = 1"), rows, [0.05, 0.1, 0.2, 0.4])
+    return model.transform(rows).select("id", "s", r6("density").alias("density"), "predicted")
+
+
+@query
+def tune_grid(spark, folder):
+    rows = feature_rows(spark, folder)
+    grid = [{"max_depth": d, "n_estimators": 5, "max_features": 0.3} for d in (2, 4)]
+    return models.search("rf", rows.where("id % 4 <> 0"), rows.where("id % 4 = 0"), grid).trials
+
+
+@query
+def tune_confident_thresholds(spark, folder):
+    rows = feature_rows(spark, folder)
+    tuned = confident_tuning.tune(LogisticRegression(maxIter=5), rows.where("id % 4 <> 0"), rows.where("id % 4 = 0"), fit_folds=2)
+    return tuned.model.errors
+
+
+@query
+def smote_rows(spark, folder):
+    rows = pu_vectors(spark, folder).withColumn("x", F.col("x").cast("array<double>"))
+    return smote.smote(rows).select("id", "copy", "s", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+
+
+@query
+def bow_vectors(spark, folder):
+    """The bag-of-words pipeline on pages: sparse vectors of length 1."""
+    docs = page_tokens(spark, folder).select(F.col("id").alias("file"), F.lit(63).alias("release"), "tokens")
+    docs = settle(docs)
+    out = feature_jobs.bag_of_words().fit(docs).transform(docs)
+    return out.select("file", F.size(F.filter(vector_to_array("features"), lambda v: v > 0)).alias("n_tokens"))
+
+
+def make_hashing_encoder():
+    """A stand-in for a pre-trained encoder: hashed character counts of the whole text."""
+    import numpy as np
+
+    def encode(texts):
+        out = np.zeros((len(texts), 32), dtype=np.float32)
+        for i, t in enumerate(texts):
+            codes = np.frombuffer(str(t).encode("utf-8"), dtype=np.uint8)
+            out[i] = np.bincount(codes % 32, minlength=32)
+        return out / np.maximum(out.sum(axis=1, keepdims=True), 1.0)
+
+    return encode
+
+
+@query
+def embed_text(spark, folder):
+    ship_package(spark)
+    return feature_jobs.embed(pages(spark, folder), make_hashing_encoder, "html").select("id", "features")
+
+
+@query
+def labelled_text_scan(spark, folder):
+    """Documents written as labelled text to the shared folder and read back."""
+    docs = table(spark, folder, "documents").join(table(spark, folder, "labels").select("doc_id", "toxic"), "doc_id")
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/labelled-text-{uuid.uuid4().hex}"
+    labelled_text.write_labelled_text(docs, path, "toxic", "text")
+    return labelled_text.read_labelled_text(spark, path)
