@@ -50,7 +50,7 @@ def read_latent(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
 
 def read_raw_metrics(spark: SparkSession, path: str, release: int, order: str = "row_order") -> DataFrame:
     """Raw metric rows of one release; malformed lines are dropped. ``order`` is the source order."""
-    df = _read(spark, path, raw_metric_schema(), "csv", mode="DROPMALFORMED", enforceSchema=False)
+    df = _read(spark, path, raw_metric_schema(), "csv", mode="DROPMALFORMED", enforceSchema=False, columnPruning=False)
     return rollup.normalise_raw(df.withColumn("release", F.lit(release)).withColumn(order, F.monotonically_increasing_id()))
 
 
