@@ -413,7 +413,8 @@ SQL: dict[str, str] = {
     "alpha_sweep": build("pu_cosine", """SELECT alpha, count(*) FILTER (d0 < alpha * d1 OR s = 1) AS kept,
         count(*) FILTER (s = 1) AS kept_positive FROM pu_cosine,
         (SELECT CAST(unnest([0.8, 0.9, 1.0, 1.1, 1.2]) AS DOUBLE) AS alpha) GROUP BY alpha"""),
-    "stratified_folds": build("fold_rn", "SELECT id, s, CAST((rn - 1) % 5 AS INTEGER) AS fold FROM fold_rn"),
+    "stratified_folds": build("fold_rn", """SELECT id, s, CAST(rn > n // 5 AS INTEGER) + CAST(rn > 2 * n // 5 AS INTEGER) + CAST(rn > 3 * n // 5 AS INTEGER)
+        + CAST(rn > 4 * n // 5 AS INTEGER) AS fold FROM (SELECT *, count(*) OVER (PARTITION BY s) AS n FROM fold_rn)"""),
     "noise_injection": build("noise_rn noise_bands", """SELECT r.id, r.s AS y, coalesce((SELECT min(b.s) FROM noise_bands b
         WHERE b.y = r.s AND b.total <= b.n AND b.moves > 0 AND r.rn <= b.upto), r.s) AS s FROM noise_rn r"""),
     "oversample": build("over_rn over_n", """SELECT id, s, CAST(unnest(range(0, 1 + CAST(extra AS BIGINT))) AS INTEGER) AS copy FROM

@@ -1,20 +1,18 @@
-"""Order statistics, row numbers and running totals that hold when one group has most of the rows.
+"""Order statistics, first-m cuts, running totals and ranks that hold when one group has most rows.
 
 A window partitioned by class would put a class into one task. The operators here never do that:
 
 * ``nth_largest``: exact order statistics by counting passes over ever narrower value brackets. Each
   pass is a map-side combined aggregation; only one row per group and pass reaches the driver.
-* ``row_numbers``: exact row numbers along a uniform key: number within (group, key range), plus the
-  count of the ranges before. Groups spread over the key ranges.
-* ``running_totals``: exact cumulative sums along a value: totals per value first, then the same two
-  levels over ranges cut at quantiles of the distinct values.
+* ``first_rows``: the exact first m rows of each group along a pseudo-random key, as a cut on the key:
+  rows are then chosen by a comparison, without a shuffle of the rows.
+* ``running_totals``: exact cumulative sums along a value: totals per value first, then prefix sums in
+  two levels over ranges cut at quantiles of the distinct values.
 * ``global_rank``: exact rank along any unique ordering, by a distributed sort.
 """
 
 from __future__ import annotations
 
-import math
-
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -29,16 +27,19 @@ from labelsift.session import settle
 CELLS_PER_PASS = 200_000
 
 
-def nth_largest(values: DataFrame, groups: list[str], value: str, wanted: list[dict],
-                bounds: tuple[float, float], cells: int = CELLS_PER_PASS) -> list[dict]:
+def nth_largest(values: DataFrame, groups: list[str], value: str, wanted: list[dict], bounds: tuple[float, float],
+                on: list[str] | None = None, ties: bool = False, cells: int = CELLS_PER_PASS) -> list[dict]:
     """Exact n-th largest value of each group, ties counted.
 
     ``values`` has INT group columns and a DOUBLE value; ``wanted`` is a list of ``{group.., 'm': n}``
     with n no larger than the group. Returns ``{group.., 'cut': value}``. ``bounds`` only shapes the
-    first bins, values outside them are counted in the end bins.
+    first bins, values outside them are counted in the end bins. ``on`` names the group columns found
+    in ``values`` when one of its groups is asked for several n.
 
     The bracket of every group shrinks to the smallest and largest value of one bin per round and
-    ends at a single value, so a heavily repeated value costs no more than others.
+    ends at a single value, so a heavily repeated value costs no more than others. With ``ties`` the
+    result also holds ``need``: how many of the rows equal to the cut belong to the first n, or None
+    for all of them.
     """
     spark = values.sparkSession
     pending = [dict(w, lo=bounds[0], hi=bounds[1]) for w in wanted]
@@ -50,7 +51,7 @@ def nth_largest(values: DataFrame, groups: list[str], value: str, wanted: list[d
             **{g: (pa.int32(), [w[g] for w in pending]) for g in groups},
             "_lo": (pa.float64(), [w["lo"] for w in pending]), "_hi": (pa.float64(), [w["hi"] for w in pending]),
             "_m": (pa.int64(), [w["m"] for w in pending])})
-        near = values.join(F.broadcast(limits), groups)  # one row per group
+        near = values.join(F.broadcast(limits), on or groups)  # one row per group
         if not first:
             near = near.where(v.between(F.col("_lo"), F.col("_hi")))
         slot = F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
@@ -63,41 +64,56 @@ def nth_largest(values: DataFrame, groups: list[str], value: str, wanted: list[d
                 .select(*groups, "lo", "hi", "n", (F.col("_m") - (F.col("_seen") - F.col("n"))).alias("m")).collect())
         pending = []
         for r in (r.asDict() for r in rows):
-            if r["lo"] == r["hi"] or r["m"] == r["n"]:
-                done.append({**{g: r[g] for g in groups}, "cut": r["lo"]})
-            elif r["m"] == 1:
-                done.append({**{g: r[g] for g in groups}, "cut": r["hi"]})
+            found = {g: r[g] for g in groups}
+            if r["m"] == r["n"]:
+                done.append({**found, "cut": r["lo"], "need": None})
+            elif r["lo"] == r["hi"]:
+                done.append({**found, "cut": r["lo"], "need": r["m"]})
+            elif r["m"] == 1 and not ties:
+                done.append({**found, "cut": r["hi"], "need": None})
             else:
                 pending.append(r)
         first = False
     return done
 
 
-def key_ranges(n_rows: int, target: int = 1_000_000) -> int:
-    """Number of key ranges that keeps each near the target size."""
-    return 1 << max(5, math.ceil(math.log2(max(1, n_rows) / target)))
-
-
-def row_numbers(df: DataFrame, groups: list[str], key: Column, tie: list[str], name: str = "rn",
-                ranges: int = 1024) -> DataFrame:
-    """``name`` = row number within the groups ordered by ``(key, *tie)``.
+def first_rows(df: DataFrame, group: str, key: Column, wanted: list[dict], id_col: str = "id") -> list[dict]:
+    """Cuts ``{group, band, key, id}`` for the first m rows of a group along ``(key, id)``.
 
-    ``key`` must be an integer spread evenly over [0, 2**32), see ``functions.ordering``. Equal to one
-    window per group, but the window here is per (group, key range). Raise ``ranges`` with the data
-    (``key_ranges``): it bounds the rows one task sorts.
+    ``wanted`` is a list of ``{'g': class, 'band': int, 'm': n}`` with 0 < n <= class size; a class may
+    ask for several bands. ``key`` is an integer in [0, 2**32), see ``functions.ordering``. Only the
+    class, the key and the id are read; the rows themselves stay where they are. Where two rows share
+    the key at a cut, the id decides (numeric, exact up to 2**53).
     """
-    if KEY_SPAN % ranges:
-        raise ValueError("ranges must be a power of two")
-    keyed = df.withColumn("_key", key).withColumn("_range", F.expr(f"_key div {KEY_SPAN // ranges}").cast("int"))
-    sizes = keyed.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*groups, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inner = F.row_number().over(W.partitionBy(*groups, "_range").orderBy("_key", *tie))
-    numbered = keyed.withColumn("_inner", inner)
-    # At most groups x ranges rows; left to the size-checked automatic broadcast.
-    return (numbered.join(offsets, [*groups, "_range"])
-            .withColumn(name, (F.col("_before") + F.col("_inner")).cast("bigint"))
-            .drop("_key", "_range", "_before", "_inner"))
+    values = df.select(F.col(group).cast("int").alias("g"), (-key).cast("double").alias("v"),
+                       (-F.col(id_col)).cast("double").alias("i"))
+    cuts = nth_largest(values, ["g", "band"], "v", wanted, (-float(KEY_SPAN), 0.0), on=["g"], ties=True)
+    shared = [c for c in cuts if c["need"] is not None]
+    by_id = {}
+    if shared:
+        at = frames.local_frame(df.sparkSession, {
+            "g": (pa.int32(), [c["g"] for c in shared]), "band": (pa.int32(), [c["band"] for c in shared]),
+            "v": (pa.float64(), [c["cut"] for c in shared])})
+        tied = values.join(F.broadcast(at), ["g", "v"]).select("g", "band", "i")
+        found = nth_largest(tied, ["g", "band"], "i", [{**c, "m": c["need"]} for c in shared], (-1e15, 1e15))
+        by_id = {(c["g"], c["band"]): -c["cut"] for c in found}
+    return [{"g": c["g"], "band": c["band"], "key": -c["cut"], "id": by_id.get((c["g"], c["band"]), float("inf"))}
+            for c in cuts]
+
+
+def within(df: DataFrame, cuts: list[dict], group: str, key: Column, k: int, bands: int,
+           id_col: str = "id") -> tuple[DataFrame, list[Column]]:
+    """Frame with the cuts attached, and for each band a condition "row is among the first m". Drop
+    the column ``_cuts`` afterwards."""
+    table = [[None] * (2 * bands) for _ in range(k)]
+    for c in cuts:
+        table[c["g"]][2 * c["band"]], table[c["g"]][2 * c["band"] + 1] = float(c["key"]), float(c["id"])
+    mine = F.element_at(frames.constant_array(df.sparkSession, table), F.col(group).cast("int") + 1)
+    conditions = []
+    for b in range(bands):
+        at, last = F.element_at("_cuts", 2 * b + 1), F.element_at("_cuts", 2 * b + 2)
+        conditions.append(F.coalesce((key < at) | ((key == at) & (F.col(id_col) <= last)), F.lit(False)))
+    return df.withColumn("_cuts", mine), conditions
 
 
 def running_totals(df: DataFrame, order: str, sums: dict[str, Column], descending: bool = True,

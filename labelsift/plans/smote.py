@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from labelsift.functions.distance import euclidean_distance
 from labelsift.functions.ordering import hash_key, unit_interval
-from labelsift.operators import joint, rank
+from labelsift.operators import joint, sampling
 from labelsift.operators.pu import vector_batch
 from labelsift.session import settle, ship_package
 
@@ -106,10 +106,9 @@ def _synthesise(rows: DataFrame, n: int, short: int, k: int, seed: int, label: s
     filled = F.slice(F.concat(F.array_repeat("x", F.least(F.col("copies") - 1, F.lit(k)).cast("int")),
                               F.coalesce("near", F.array().cast("array<array<double>>"))), 1, k)
     known = known.select(F.col("x").alias("_vx"), filled.alias("_near"))
-    numbered = rank.row_numbers(rows, [label], key if key is not None else hash_key(seed, "id"), ["id"], "_rn")
-    extra = F.lit(short // n) + (F.col("_rn") <= short % n).cast("int")
-    made = numbered.withColumn("_extra", extra).where("_extra > 0").select(
-        "id", label, "x", F.explode(F.sequence(F.lit(1), F.col("_extra"))).alias("copy"))
+    c = rows.select(label).first()[0]
+    key = key if key is not None else hash_key(seed, "id")
+    made = sampling.extra_copies(rows.select("id", label, "x"), c, n, short, label, key)
     made = made.join(known, F.col("x") == F.col("_vx"), "left")
     pick = F.pmod(hash_key(seed + 1, "id", "copy"), F.size("_near")).cast("int") + 1
     made = made.withColumn("_n", F.when(F.size("_near") > 0, F.element_at("_near", pick)).otherwise(F.col("x")))

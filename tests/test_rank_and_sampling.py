@@ -21,21 +21,34 @@ def test_nth_largest_exact(spark):
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(g, v)], "s int, v double").persist()
     for m in (1, 7, 1000, 2500):
         for cells in (8, 200_000):
-            got = rank.nth_largest(df, ["s"], "v", [{"s": 0, "m": m}, {"s": 1, "m": m}], (-1.0, 1.0), cells)
+            got = rank.nth_largest(df, ["s"], "v", [{"s": 0, "m": m}, {"s": 1, "m": m}], (-1.0, 1.0), cells=cells)
             assert {r["s"]: r["cut"] for r in got} == {k: np.sort(v[g == k])[::-1][m - 1] for k in (0, 1)}
 
 
-def test_row_numbers_equal_a_window(skewed):
-    key = arithmetic_key("id", 3)
-    got = rank.row_numbers(skewed, ["s"], key, ["id"], ranges=64)
-    want = skewed.withColumn("want", F.row_number().over(W.partitionBy("s").orderBy(key, "id")))
-    assert got.join(want, "id").where("rn <> want").count() == 0
+@pytest.mark.parametrize("shared", [False, True])
+def test_first_rows_equal_a_window(skewed, shared):
+    """Also when thousands of rows share a key: then the id decides."""
+    key = F.pmod("id", F.lit(5)) * 1000 if shared else arithmetic_key("id", 3)
+    wanted = [{"g": 0, "band": 0, "m": 4321}, {"g": 0, "band": 1, "m": 9000}, {"g": 1, "band": 0, "m": 1}, {"g": 2, "band": 0, "m": 2000}]
+    df, inside = rank.within(skewed, rank.first_rows(skewed, "s", key, wanted), "s", key, 3, 2)
+    got = df.select("id", "s", inside[0].alias("a"), inside[1].alias("b"))
+    rn = F.row_number().over(W.partitionBy("s").orderBy(key, "id"))
+    m = F.when(F.col("s") == 0, 4321).when(F.col("s") == 1, 1).otherwise(2000)
+    want = skewed.withColumn("rn", rn).select("id", (F.col("rn") <= m).alias("wa"), ((F.col("s") == 0) & (F.col("rn") <= 9000)).alias("wb"))
+    assert got.join(want, "id").where("a <> wa or b <> wb").count() == 0
 
 
-def test_row_numbers_split_the_hot_class(skewed):
-    plan = rank.row_numbers(skewed, ["s"], arithmetic_key("id"), ["id"])._jdf.queryExecution().executedPlan().toString()
-    windows = [line for line in plan.splitlines() if "row_number()" in line and "Window" in line]
-    assert windows and all("_range" in line for line in windows)
+def test_folds_do_not_move_rows(skewed):
+    plan = sampling.stratified_folds(skewed, 5, k=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.split("InMemoryRelation")[0] and "Window" not in plan
+
+
+def test_repeat_blocks(spark):
+    df = spark.createDataFrame([(1, 5), (2, 0), (3, 2500)], "id bigint, n int")
+    out = sampling.repeat(df, F.col("n"))
+    got = {r["id"]: (r["c"], r["lo"], r["hi"]) for r in out.groupBy("id").agg(
+        F.countDistinct("copy").alias("c"), F.min("copy").alias("lo"), F.max("copy").alias("hi")).collect()}
+    assert got == {1: (5, 1, 5), 3: (2500, 1, 2500)} and out.count() == 2505
 
 
 def test_running_totals_with_hot_value(spark):
