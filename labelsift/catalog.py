@@ -301,7 +301,7 @@ def pu_thresholds_joint(spark, folder):
 @query
 def clip_values(spark, folder):
     return pl(spark, folder).select("id", *[
-        F.round(F.element_at(clip_rescale("psx", 0.1, 0.6, None), c + 1), 5).alias(f"p{c}") for c in range(PL_K)])
+        r6(F.element_at(clip_rescale("psx", 0.1, 0.6), c + 1)).alias(f"p{c}") for c in range(PL_K)])
 
 
 # ---------------------------------------------------------------- label errors

@@ -205,9 +205,6 @@ part("evp_margin", "ev", "SELECT g.id, g.k AS s, h.k, h.p - g.p AS m FROM ev g J
 
 # ---------------------------------------------------------------- text
 
-_STEP = "regexp_replace({0}, {1}, '{2}', 'g{3}')"
-
-
 def _sql_str(p: str) -> str:
     return "'" + p.replace("'", "''") + "'"
 
@@ -333,9 +330,9 @@ SQL: dict[str, str] = {
     "learnability_check": build("pl_nm cpy_marginal", """SELECT abs(sum(j) - 1.0) < 1e-6 AND bool_and(CASE WHEN s = y THEN ps * py < j END) AS is_valid
         FROM (SELECT s, y, py, j, sum(j) OVER (PARTITION BY s) AS ps FROM (SELECT m.s, m.y, c.p AS py, m.p * c.p AS j
         FROM pl_nm m JOIN cpy_marginal c ON c.y = m.y))"""),
-    "clip_values": build("pl", """SELECT id, round(max(x) FILTER (k = 0), 5) AS p0, round(max(x) FILTER (k = 1), 5) AS p1,
-        round(max(x) FILTER (k = 2), 5) AS p2 FROM (SELECT id, k, c * t / sum(c) OVER (PARTITION BY id) AS x FROM
-        (SELECT id, k, least(greatest(p, 0.1), 0.6)::DOUBLE AS c, sum(p) OVER (PARTITION BY id) AS t FROM pl)) GROUP BY id"""),
+    "clip_values": build("pl", """SELECT id, round(max(x) FILTER (k = 0), 6) AS p0, round(max(x) FILTER (k = 1), 6) AS p1,
+        round(max(x) FILTER (k = 2), 6) AS p2 FROM (SELECT id, k, c / sum(c) OVER (PARTITION BY id) AS x FROM
+        (SELECT id, k, least(greatest(p, 0.1), 0.6)::DOUBLE AS c FROM pl)) GROUP BY id"""),
     "argmax_errors": build("pe_argmax", "SELECT id, s, y <> s AS is_error FROM pe_argmax"),
     "argmax_joint_errors": errors("pl", "pl_am_rate"),
     "argmax_calibrated_joint_errors": errors("pl", "pl_amc_class"),
@@ -381,6 +378,8 @@ SQL: dict[str, str] = {
     "replace_tokens": build("page_plain", "SELECT id, code FROM page_plain"),
     "token_counts": build("tok_n", "SELECT id, token, n FROM tok_n"),
     "vocab_topk": build("vocab", "SELECT token, total FROM vocab"),
+    "labelled_text_scan": r"""SELECT '__label__' || toxic AS label, replace(regexp_replace(text, '\s+$', ''), chr(10), ' __newline__ ') AS text
+        FROM documents JOIN labels USING (doc_id)""",
     "bow_l2": build("tok_n vocab", """SELECT t.id, t.token, round(t.n / sqrt(sum(CAST(t.n AS DOUBLE) * t.n) OVER (PARTITION BY t.id)), 6) AS w
         FROM tok_n t JOIN vocab v ON v.token = t.token"""),
     "binary_metrics": build("outcome", f"SELECT {METRICS} FROM outcome"),
