@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsift.llm import line_dedup, mixing, packing, quality, simhash, token_counts
+from labelsift.llm import line_dedup, mixing, packing, pivots, quality, simhash, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumnRenamed("id", "doc_id")
 
 
+def op7_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.remove_repeated_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
@@ -58,5 +62,5 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_mixing, op6_token_counts, op8_line_dedup, op9_quality, op10_simhash, pipeline)
+    f.__name__: f for f in (op1_packing, op3_mixing, op6_token_counts, op7_pivots, op8_line_dedup, op9_quality, op10_simhash, pipeline)
 }
