@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsift.llm import line_dedup, mixing, packing, pivots, quality, simhash, token_counts
+from labelsift.llm import fingerprint, line_dedup, mixing, packing, pivots, quality, simhash, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
     return counted.withColumnRenamed("id", "doc_id")
@@ -62,5 +66,5 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_mixing, op6_token_counts, op7_pivots, op8_line_dedup, op9_quality, op10_simhash, pipeline)
+    f.__name__: f for f in (op1_packing, op3_mixing, op5_fingerprint, op6_token_counts, op7_pivots, op8_line_dedup, op9_quality, op10_simhash, pipeline)
 }
