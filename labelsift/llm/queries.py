@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsift.llm import fingerprint, line_dedup, mixing, packing, pivots, quality, simhash, token_counts
+from labelsift.llm import fingerprint, line_dedup, mixing, packing, pii, pivots, quality, simhash, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,15 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    written = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    return found.select(F.col("id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(written("base").cast("binary"), 256).alias("base_sha256"),
+                        written("spans").alias("spans"))
+
+
 def op5_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -66,5 +75,5 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_mixing, op5_fingerprint, op6_token_counts, op7_pivots, op8_line_dedup, op9_quality, op10_simhash, pipeline)
+    f.__name__: f for f in (op1_packing, op3_mixing, op4_pii, op5_fingerprint, op6_token_counts, op7_pivots, op8_line_dedup, op9_quality, op10_simhash, pipeline)
 }
