@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsift.llm import fingerprint, line_dedup, mixing, packing, pii, pivots, quality, simhash, token_counts
+from labelsift.llm import fingerprint, line_dedup, mixing, packing, pii, pivots, quality, simhash, substrings, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_to")
 
 
+def op2_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.remove_repeated(table(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -75,5 +81,5 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_mixing, op4_pii, op5_fingerprint, op6_token_counts, op7_pivots, op8_line_dedup, op9_quality, op10_simhash, pipeline)
+    f.__name__: f for f in (op1_packing, op2_substrings, op3_mixing, op4_pii, op5_fingerprint, op6_token_counts, op7_pivots, op8_line_dedup, op9_quality, op10_simhash, pipeline)
 }
