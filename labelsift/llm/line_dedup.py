@@ -30,7 +30,7 @@ def repeated_positions(found: DataFrame) -> DataFrame:
 
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``text_col`` rid of later occurrences, plus ``n_lines`` and ``n_removed``.
+    """``docs`` with ``text_col`` rid of later occurrences, and ``n_lines`` and ``n_removed`` (which replace such columns).
 
     A window of three lines that occurs anywhere before (smaller id, or the same id and a smaller position) covers its
     lines; covered lines go, overlapping windows merge. Of every line removed an equal one stays earlier. Lines end at
@@ -39,15 +39,14 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     null id sorts first. A window with very many occurrences is counted map-side and joined on its hash, where
     adaptive execution splits it.
     """
-    starts = repeated_positions(windows(docs, id_col, text_col)).select(F.col("id").alias("_id"), F.col("starts").alias("_starts"))
-    out = docs.join(starts, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    covered = F.flatten(F.transform("_starts", lambda p: F.array(*[p + k for k in range(WINDOW)])))
-    out = out.withColumn("_lines", F.split(F.col(text_col), "\n", -1))
-    out = out.withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("bigint"))
-    out = out.withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    every = F.when(F.col("n_lines") > 0, F.sequence(F.lit(0), (F.col("n_lines") - 1).cast("int")))
-    out = out.withColumn("_kept", F.array_except(every, covered))
-    text = F.when(F.col("_starts").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n"))
-    gone = F.when(F.col("_starts").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_kept"))
-    return out.withColumn(text_col, text).withColumn("n_removed", gone.cast("bigint")).drop("_id", "_starts", "_lines", "_kept")
+    starts = repeated_positions(windows(docs, id_col, text_col)).select(F.col("id").alias("own"), "starts")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = rows.join(starts, F.col("id").eqNullSafe(F.col("own")), "left").withColumn("lines", F.split("text", "\n", -1))
+    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("bigint")
+    covered = F.flatten(F.transform("starts", lambda p: F.array(*[p + k for k in range(WINDOW)])))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), covered)
+    out = out.withColumn("kept", F.when(F.col("starts").isNotNull() & F.col("text").isNotNull(), kept))
+    text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n"))
+    gone = F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size("kept")).cast("bigint")
+    columns = [text.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*columns, n_lines.alias("n_lines"), gone.alias("n_removed"))

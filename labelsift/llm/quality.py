@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelsift.llm.scratch import unused
 from labelsift.session import ship_package
 
 BUCKETS = 1 << 18
@@ -179,6 +180,7 @@ def rate(docs: DataFrame, model: Ordinal | None, select_grade: int = 2, keep_fro
         out = np.array([model.above(model.score(*vector(t, model.words))) for t in texts]).reshape(-1, len(model.thresholds))
         return pd.DataFrame({"expected": out.sum(axis=1), "tail": out[:, select_grade - 1]})
 
-    out = docs.withColumn("_rating", scored(F.coalesce(F.col(text_col), F.lit(""))))
-    return out.withColumns({"expected_grade": F.col("_rating.expected"), "tail_probability": F.col("_rating.tail"),
-                            "kept": F.col("_rating.tail") >= keep_from}).drop("_rating")
+    rating = unused(docs, "_rating")
+    out = docs.withColumn(rating, scored(F.coalesce(F.col(text_col), F.lit(""))))
+    return out.withColumns({"expected_grade": F.col(rating)["expected"], "tail_probability": F.col(rating)["tail"],
+                            "kept": F.col(rating)["tail"] >= keep_from}).drop(rating)

@@ -18,6 +18,14 @@ def folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def write(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet and return the written table, so that a lost executor costs a read only."""
     spark = df.sparkSession

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -11,48 +13,56 @@ from pyspark.sql.window import Window
 
 from labelsift.llm import scratch
 from labelsift.llm.components import components
+from labelsift.llm.scratch import unused
 from labelsift.session import ship_package
 
 BITS = 64
 SEED = 42
 BATCH_SHINGLES = 1 << 16
+REMIX = np.uint64(0x9FB21C651E98DF25)
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """Unsigned 64-bit SimHash of a whole text: bit is 1 if it is set in over half the shingles' XXH64."""
+def fingerprint(text: str | None, words: int, lanes: int = 1) -> list[int]:
+    """Unsigned 64-bit SimHash words of a whole text: a bit is 1 if it is set in over half the shingles' hashes. The first
+    word takes XXH64; each further one remixes the word before."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return [0] * lanes
     joined = b" ".join(parts)
     n = max(1, len(parts) - words + 1)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[min(words, len(parts)) - 1:].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64)
+    digest, counts = xxhash.xxh64_intdigest, np.zeros((lanes, BITS), dtype=np.int64)
     for lo in range(0, n, BATCH_SHINGLES):
         h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[lo:lo + BATCH_SHINGLES], stops[lo:lo + BATCH_SHINGLES])],
                      dtype="<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
+        for lane in range(lanes):
+            counts[lane] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            h = (h ^ (h >> np.uint64(31))) * REMIX
+            h ^= h >> np.uint64(29)
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``id, fingerprint`` (a signed BIGINT with the 64 bits), one row per row of ``docs``.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1) -> DataFrame:
+    """``id, fingerprint`` (a signed BIGINT with the 64 bits), one row per row of ``docs``; with more ``lanes`` also the
+    further words of a longer fingerprint, ``f1``, ``f2`` and so on.
 
     A-Z are lower-cased; words are runs without ASCII white space; shingles are ``words`` words joined by one
     space, repeats included. Fewer words: the whole sequence is the one shingle. None, or a null text: zero.
     """
     ship_package(docs.sparkSession)
+    names = ["fingerprint", *(f"f{k}" for k in range(1, lanes))]
 
     def run(batches):
         for batch in batches:
-            values = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), dtype=np.uint64,
-                                 count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["id", "fingerprint"])
+            values = np.array([fingerprint(t.as_py(), words, lanes) for t in batch.column(1)], dtype=np.uint64).reshape(-1, lanes)
+            columns = [pa.array(np.ascontiguousarray(values[:, k]).view(np.int64)) for k in range(lanes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, fingerprint bigint")
+        run, ", ".join([f"id {kind}", *(f"{n} bigint" for n in names)]))
 
 
 def ball(fp: str, segments: int = 4) -> F.Column:
@@ -93,10 +103,77 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fingerprint").select("id", "fingerprint", "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """``docs`` rid of every row whose group has a smaller id than its own, or an id where it has none.
+def most_bits(similarity: float, bits: int) -> int:
+    """Expected distance of two fingerprints whose shingle sets (of one size) have this share in common, and one
+    standard deviation."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+LANES, SEGMENT = 4, 21  # 256 bits; three segments in each word
+
+
+def segment(word: str, k: int) -> F.Column:
+    return F.shiftrightunsigned(F.col(word), k * SEGMENT).bitwiseAND(F.lit((1 << SEGMENT) - 1))
+
+
+def cells(prints: DataFrame, radius: int) -> DataFrame:
+    """``fingerprint, cell``: every segment's value, or with ``radius`` 1 the Hamming ball around it."""
+    words = ["fingerprint", *(f"f{k}" for k in range(1, LANES))]
+    values = [(i * (BITS // SEGMENT) + k << SEGMENT, segment(w, k)) for i, w in enumerate(words) for k in range(BITS // SEGMENT)]
+    flips = [0, *((1 << b) for b in range(SEGMENT))] if radius else [0]
+    points = [v.bitwiseXOR(F.lit(f).cast("bigint")) + F.lit(base) for base, v in values for f in flips]
+    return prints.select("fingerprint", F.explode(F.array(*points)).alias("cell"))
+
+
+def verified(prints: DataFrame, candidates: DataFrame, bits: int) -> DataFrame:
+    """Those of the candidates ``a, b`` whose complete fingerprints differ in at most ``bits`` bits."""
+    other = lambda side: prints.select(*[F.col(c).alias(f"{side}_{c}") for c in prints.columns])
+    words = ["fingerprint", *(f"f{k}" for k in range(1, LANES))]
+    both = candidates.join(other("a"), F.col("a") == F.col("a_fingerprint")).join(other("b"), F.col("b") == F.col("b_fingerprint"))
+    distance = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
+    return both.where(distance <= bits).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``id, component_id``: documents linked where 256-bit SimHashes of their ``words``-word shingles are as near as texts
+    with ``similarity`` of their shingles in common; a component is named by its smallest id.
+
+    Multi-index hashing over twelve segments of 21 bits: the Hamming ball of radius 1 of each segment is looked up among
+    the segments of all others, and complete distances are verified. Before that, fingerprints with an equal segment are
+    linked to the smallest such one if that is near, twice over, and each group goes on as one, so that a large group of
+    near copies yields no pairs. Texts whose first 64 bits are equal are one from the start. A link counts if both texts
+    share a segment but for one bit; at the similarity asked for about 85 % do, at 0.9 over 99 %.
+    Nulls and repeated rows as in ``near_duplicates``.
+    """
+    prints = scratch.write(fingerprints(docs, id_col, text_col, words, LANES))
+    bits, first_bits = most_bits(similarity, BITS * LANES), most_bits(similarity, BITS) + 8  # of one word: far above the mean
+    words_of = [F.min(f"f{k}").alias(f"f{k}") for k in range(1, LANES)]
+    distinct = scratch.write(prints.groupBy("fingerprint").agg(*words_of, F.min("id").alias("least")))
+    left, links = distinct.drop("least"), None
+    near = lambda c: F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= c
+    for _ in range(2):
+        at = cells(left, 0)
+        least = at.groupBy("cell").agg(F.min("fingerprint").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+        star = at.join(least, "cell").select(F.col("fingerprint").alias("a"), "b").where("a != b").where(near(first_bits)).distinct()
+        found = scratch.write(verified(left, star, bits))
+        links = found if links is None else links.unionByName(found)
+        roots = components(found)
+        left = scratch.write(left.join(roots, left["fingerprint"] == roots["node"], "left_anti"))
+    probes, table = cells(left, 1).withColumnRenamed("fingerprint", "a"), cells(left, 0).withColumnRenamed("fingerprint", "b")
+    met = probes.join(table.hint("shuffle_hash"), "cell").where("a < b").where(near(first_bits)).select("a", "b").distinct()
+    links = links.unionByName(verified(left, met, bits))
+    roots = components(links).withColumnRenamed("node", "fingerprint")
+    rooted = distinct.join(roots, "fingerprint", "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    rooted = scratch.write(rooted)
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(names, "root").select("fingerprint", "component_id"), "fingerprint").select("id", "component_id")
+
 
-    Rows that share their group's smallest id all stay, as do groups without any id."""
-    found = near_duplicates(docs, id_col, text_col, words).select(F.col("id").alias("_id"), F.col("component_id").alias("_c"))
-    gone = found.where("_id != _c OR (_id IS NULL AND _c IS NOT NULL)").select("_id").distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` rid of every row whose group (of ``similar_documents``) has a smaller id than its own, or an id where it has
+    none. Rows that share their group's smallest id all stay, as do groups without any id."""
+    own = unused(docs, "_id")
+    found = similar_documents(docs, id_col, text_col, words, similarity)
+    gone = found.where("id != component_id OR (id IS NULL AND component_id IS NOT NULL)").select(F.col("id").alias(own)).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(own)), "left_anti")
