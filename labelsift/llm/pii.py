@@ -28,7 +28,8 @@ LABELS = 1 + len(KINDS)  # 0: none
 EDGE = "\"'()[]{}<>,;:!?.|"
 LEAST_SAME = 5  # digits that make two tokens the same
 LEAST_TAIL = 7  # last digits that make two tokens similar
-PRIOR_AGREEMENT = 2.0
+PRIOR_AGREEMENT = 4.0
+PRIOR_PULL = 0.05
 
 
 def luhn(digits: str) -> bool:
@@ -225,7 +226,7 @@ def train(docs: DataFrame, sample: int = 20_000, seed: int = 42, id_col: str = "
         g_node = np.concatenate([np.zeros((len(index), LABELS)), d.sum(axis=0, keepdims=True)])
         np.add.at(g_node, col, d[row])
         g_skip = skip.T @ d
-        grads = [g_node + l2 / len(y) * node, left.T @ d + d.T @ right + l2 * chain, (g_skip + g_skip.T) / 2 + l2 * (across - prior)]
+        grads = [g_node + l2 / len(y) * node, left.T @ d + d.T @ right + l2 * chain, (g_skip + g_skip.T) / 2 + PRIOR_PULL * (across - prior)]
         for p, g, a, b in zip(params, grads, m1, m2):
             a *= 0.9
             a += 0.1 * g
