@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from labelsift.functions.ordering import arithmetic_key
 from labelsift.functions.probability import clip_rescale, self_confidence
 from labelsift.operators import (evaluate, frames, joint, latent, multilabel, prune, pu, relabel, rollup,
                                  sampling, vocabulary)
-from labelsift.plans import confident_tuning, crossval, feature_jobs, models, noisy_labels, pu_models, smote
+from labelsift.plans import balanced, confident_tuning, crossval, feature_jobs, models, noisy_labels, pu_models, smote
 from labelsift.session import ensure_checkpoint_dir, settle, ship_package, spread
 from labelsift.sources import labelled_text
 
@@ -288,11 +289,12 @@ def learnability_check(spark, folder):
 
 @query
 def pu_thresholds_joint(spark, folder):
-    """Clean positive class: its threshold is 1, the joint is constrained, and the share of hidden
-    positives among the unlabelled rows is read off the inverse matrix."""
-    probs = toxic(spark, folder)
+    """Clean positive class: its threshold is 1, which a part of the scores reaches, the joint is constrained, and the
+    share of hidden positives among the unlabelled rows is read off the inverse matrix."""
+    p = F.least(F.lit(1.0), F.round(F.element_at("psx", 2) * 1.4, 6))
+    probs = toxic(spark, folder).select("id", "s", F.array(F.round(F.lit(1.0) - p, 6), p).alias("psx"))
     t = joint.class_thresholds(probs, overrides={1: 1.0})
-    raw = joint.confident_joint(probs, 2, t)
+    raw = joint.confident_joint(probs, 2, t, calibrate=False)
     share = latent.unlabelled_noise_share(latent.inverse_noise_matrix(raw), 1).scalar()
     cj = latent.pu_constrain(raw, 1, "joint")
     return cj.select("s", "y", "n", r6(share).alias("unlabelled_share"))
@@ -646,6 +648,25 @@ def bags(spark, folder):
     return df.where("s = 0").groupBy(b.alias("bag")).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum"))
 
 
+@query
+def class_weights(spark, folder):
+    """Weights by class as a fit computes them, balanced and as a ratio."""
+    df = pb(spark, folder).select("id", "s")
+    return df.groupBy("s").agg(F.count(F.lit(1)).alias("n"), *[
+        r6(F.max(balanced.class_weight(df, "s", how))).alias(how) for how in ("balanced", "ratio")])
+
+
+@query
+def balanced_bags(spark, folder):
+    """Rows of every bag of a balanced forest; all bags together hold each row of the larger class once."""
+    df = settle(pb(spark, folder).select("id", "s"))
+    small, n_bags = balanced.BalancedForest(RandomForestClassifier(numTrees=50)).plan(df)
+    own = [balanced.bag_of("s", small, b, n_bags, arithmetic_key("id", 11)) for b in range(n_bags)]
+    sums = df.agg(*[F.struct(F.lit(b).alias("bag"), F.count_if(c & (F.col("s") == small)).alias("small"), F.count_if(c).alias("n"),
+                             F.sum(F.when(c, F.col("id"))).alias("id_sum")).alias(f"b{b}") for b, c in enumerate(own)])
+    return sums.select(F.inline(F.array(*sums.columns)))
+
+
 # ---------------------------------------------------------------- learning (no SQL counterpart)
 
 def feature_rows(spark: SparkSession, folder: str) -> DataFrame:

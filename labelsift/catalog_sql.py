@@ -294,6 +294,14 @@ part("over_rn", "pb_row", numbered("pb_row", "s", 3))
 part("over_n", "pb_row", "SELECT s, count(*) AS n, max(count(*)) OVER () - count(*) AS short FROM pb_row GROUP BY s")
 part("hold_rn", "pb_row", numbered("pb_row", "s", 5))
 
+part("tq_row", "toxic_row", "SELECT id, s, least(1.0::DOUBLE, round(p1 * 1.4::DOUBLE, 6)) AS p1 FROM toxic_row")
+part("tq", "tq_row", """SELECT id, s, 1 AS k, p1 AS p FROM tq_row
+    UNION ALL SELECT id, s, 0, round(1.0::DOUBLE - p1, 6) FROM tq_row""")
+part("tq_thr", "tq", "SELECT k, avg(p) AS t FROM tq WHERE s = k GROUP BY k")
+part("bag_n", "pb_row", """SELECT CASE WHEN 2 * a <= n THEN 1 ELSE 0 END AS small,
+    CAST(greatest(1, least(50, round((n - least(a, n - a)) / CAST(least(a, n - a) AS DOUBLE)))) AS BIGINT) AS n_bags
+    FROM (SELECT count(*) AS n, count(*) FILTER (s = 1) AS a FROM pb_row)""")
+
 SQL: dict[str, str] = {
     "class_counts": """SELECT CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS INTEGER) AS s,
         count(*) AS n FROM lineitem GROUP BY 1""",
@@ -421,11 +429,17 @@ SQL: dict[str, str] = {
         FROM over_rn r JOIN over_n n ON n.s = r.s)"""),
     "hold_out": build("hold_rn", """SELECT id, s, s = 1 AND rn <= ceil((SELECT count(*) FROM hold_rn WHERE s = 1) * 0.2::DOUBLE) AS held_out FROM hold_rn"""),
     "bags": build("pb_row", f"SELECT CAST({key(9)} % 15 AS INTEGER) AS bag, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM pb_row WHERE s = 0 GROUP BY 1"),
-    "pu_thresholds_joint": build("tx tx_thr tx_size", """SELECT g.s, g.y, CASE WHEN g.s = 0 AND g.y = 0 THEN 1
+    "class_weights": build("pb_row", """SELECT s, n, round((SELECT count(*) FROM pb_row) / (2.0::DOUBLE * n), 6) AS balanced,
+        CASE WHEN s = 1 THEN round((SELECT count(*) FROM pb_row WHERE s = 0) / CAST(n AS DOUBLE), 6) ELSE 1.0::DOUBLE END AS ratio
+        FROM (SELECT s, count(*) AS n FROM pb_row GROUP BY s)"""),
+    "balanced_bags": build("pb_row bag_n", f"""SELECT b.bag, count(*) FILTER (r.s = b.small) AS small, count(*) AS n, CAST(sum(r.id) AS BIGINT) AS id_sum
+        FROM (SELECT CAST(unnest(range(n_bags)) AS INTEGER) AS bag, small, n_bags FROM bag_n) b
+        JOIN pb_row r ON r.s = b.small OR {key(11)} % b.n_bags = b.bag GROUP BY b.bag"""),
+    "pu_thresholds_joint": build("tq tq_thr", """SELECT g.s, g.y, CASE WHEN g.s = 0 AND g.y = 0 THEN 1
         WHEN g.s = 1 AND g.y = 0 THEN 0 ELSE n END AS n, round(max(CASE WHEN g.s = 0 AND g.y = 1 THEN g.n / CAST(g.t AS DOUBLE) END) OVER (), 6) AS unlabelled_share
         FROM (SELECT s, y, n, sum(n) OVER (PARTITION BY s) AS t FROM (SELECT a.s, b.y, count(r.id) AS n
         FROM (SELECT unnest([0, 1]) AS s) a CROSS JOIN (SELECT unnest([0, 1]) AS y) b LEFT JOIN
         (SELECT id, any_value(s) AS s, CASE WHEN count(*) FILTER (c) = 0 THEN NULL WHEN count(*) FILTER (c) = 1 THEN min(k) FILTER (c)
             ELSE first(k ORDER BY p DESC, k) END AS y FROM (SELECT x.*, x.p >= CASE WHEN x.k = 1 THEN 1.0::DOUBLE ELSE t.t END - 1e-6 AS c
-            FROM tx x JOIN tx_thr t USING (k)) GROUP BY id) r ON r.s = a.s AND r.y = b.y GROUP BY a.s, b.y)) g"""),
+            FROM tq x JOIN tq_thr t USING (k)) GROUP BY id) r ON r.s = a.s AND r.y = b.y GROUP BY a.s, b.y)) g"""),
 }

@@ -8,11 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-# Up to this many classes an expression is written out per class, which whole-stage codegen compiles;
-# beyond it the lambda form keeps the plan small. Same results.
-WRITE_OUT_LIMIT = 32
-
-
 def entries(values: Column | str, k: int) -> list[Column]:
     """The K entries of an array as separate columns."""
     return [F.element_at(values, i + 1) for i in range(k)]

@@ -59,10 +59,10 @@ def recall_on(df: DataFrame, truth: str, predicted: str = "predicted", by: list[
 
 
 def pu_f1_estimate(df: DataFrame, label: str = "s", prob: str = "p") -> DataFrame:
-    """Recall squared over twice the share of predicted positives, cut at 0.5; NaN without any."""
+    """Recall squared over twice the share of predicted positives, cut at 0.5; NaN without any, recall 0 without positives."""
     pred = F.col(prob) >= 0.5
-    recall = F.count_if(pred & (F.col(label) == 1)) / F.count_if(F.col(label) == 1)
-    positive = F.count_if(pred) / F.count(F.lit(1))
+    recall = share(F.count_if(pred & (F.col(label) == 1)), F.count_if(F.col(label) == 1))
+    positive = share(F.count_if(pred), F.count(F.lit(1)))
     return df.agg(F.when(positive == 0, F.lit(float("nan"))).otherwise(
         F.try_divide(recall * recall, 2.0 * positive)).alias("pu_f1"))
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelsift.functions.multilabel import to_onehot
-from labelsift.functions.probability import WRITE_OUT_LIMIT, argmax_class, entries, prob_of
+from labelsift.functions.probability import argmax_class, prob_of
 from labelsift.operators import frames
 
 # Fixed value: slack below a threshold that still counts as confident.
@@ -30,7 +29,7 @@ def label_list_counts(df: DataFrame, k: int, labels: str = "s") -> DataFrame:
 
 def prior(counts: DataFrame) -> DataFrame:
     """``s, n, p``: share of each class."""
-    return counts.select("s", "n", (F.col("n") / F.sum("n").over(W.partitionBy())).alias("p"))
+    return counts.select("s", "n", F.try_divide(F.col("n"), F.sum("n").over(W.partitionBy())).alias("p"))
 
 
 def imbalance_ratio(counts: DataFrame) -> DataFrame:
@@ -60,10 +59,6 @@ def threshold_array(probs: DataFrame, k: int, thresholds=None, multi_label: bool
     """Thresholds as one array column: a list of K numbers, an ``s, t`` frame, or computed."""
     if isinstance(thresholds, (list, tuple)):
         return F.array(*[F.lit(float(t)) for t in thresholds])
-    if thresholds is None and not multi_label and k <= WRITE_OUT_LIMIT:
-        # One global aggregate, one row per task to merge.
-        means = [F.avg(F.when(F.col("s") == c, p)) for c, p in enumerate(entries("psx", k))]
-        return probs.agg(F.array(*means)).scalar()
     if thresholds is None:
         thresholds = multilabel_thresholds(probs) if multi_label else class_thresholds(probs)
     return frames.by_class(thresholds, "s", "t", k)
@@ -71,15 +66,12 @@ def threshold_array(probs: DataFrame, k: int, thresholds=None, multi_label: bool
 
 def true_label_guess(psx: Column | str, thresholds: Column | str, k: int) -> Column:
     """Confident class of a row: null without any, the most probable class when several qualify."""
-    if k <= WRITE_OUT_LIMIT:
-        over = [F.coalesce(p >= t - THRESHOLD_SLACK, F.lit(False)) for p, t in zip(entries(psx, k), entries(thresholds, k))]
-        n = reduce(lambda a, b: a + b, [c.cast("int") for c in over])
-        first = F.coalesce(*[F.when(c, F.lit(i)) for i, c in enumerate(over)])
-    else:
-        confident = F.zip_with(psx, thresholds, lambda p, t: F.coalesce(p >= t - THRESHOLD_SLACK, F.lit(False)))
-        n = F.size(F.filter(confident, lambda c: c))
-        first = (F.array_position(confident, F.lit(True)) - 1).cast("int")
-    return F.when(n == 1, first).when(n > 1, argmax_class(psx))
+    confident = F.zip_with(psx, thresholds, lambda p, t: F.coalesce(p >= t - THRESHOLD_SLACK, F.lit(False)))
+    # A one-element array names the flags and the array, so that the thresholds are read once per row.
+    named = F.array(F.struct(confident.alias("c"), (F.col(psx) if isinstance(psx, str) else psx).alias("p")))
+    n = lambda x: F.size(F.filter(x.c, lambda c: c))
+    guess = F.transform(named, lambda x: F.when(n(x) == 1, (F.array_position(x.c, F.lit(True)) - 1).cast("int")).when(n(x) > 1, argmax_class(x.p)))
+    return F.element_at(guess, 1)
 
 
 def guesses(probs: DataFrame, k: int, thresholds=None) -> DataFrame:

@@ -5,14 +5,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelsift.functions.probability import WRITE_OUT_LIMIT, clip_rescale, entries
+from labelsift.functions.probability import clip_rescale
 from labelsift.operators import frames
 
 # Bounds that must match the published definitions.
@@ -66,7 +65,7 @@ def latent_prior(ps: DataFrame, nm: DataFrame, inv: DataFrame, method: str = "cn
         if cj is None:
             raise ValueError("method 'marginal' needs the confident joint")
         by_y = cj.groupBy("y").agg(F.sum("n").cast("double").alias("n"))
-        raw = by_y.select("y", (F.col("n") / F.sum("n").over(W.partitionBy())).alias("p"))
+        raw = by_y.select("y", F.try_divide(F.col("n"), F.sum("n").over(W.partitionBy())).alias("p"))
     elif method == "cnt":
         joined = (ps.select("s", F.col("p").alias("ps")).join(diagonal(inv, "i"), "s").join(diagonal(nm, "m"), "s"))
         raw = joined.select(F.col("s").alias("y"), (F.try_divide(F.col("i"), F.col("m")) * F.col("ps")).alias("p"))
@@ -160,12 +159,7 @@ def posterior_factors(nm: DataFrame, inv: DataFrame) -> DataFrame:
 def clean_posterior(probs: DataFrame, nm: DataFrame, inv: DataFrame, k: int) -> DataFrame:
     """Probability frame plus ``pyx``: P(y=k|x), corrected per class and rescaled to add up to 1."""
     factors = frames.by_class(posterior_factors(nm, inv), "s", "f", k)
-    if k <= WRITE_OUT_LIMIT:
-        terms = [F.least(F.greatest(p * f, F.lit(0.0)), F.lit(1.0)) for p, f in zip(entries("psx", k), entries("_f", k))]
-        total = reduce(lambda a, b: a + b, terms)
-        pyx = F.array(*[F.try_divide(c, total) for c in terms])
-    else:
-        pyx = clip_rescale(F.zip_with("psx", "_f", lambda p, f: p * f))
+    pyx = clip_rescale(F.zip_with("psx", "_f", lambda p, f: p * f))
     return probs.withColumn("_f", factors).withColumn("pyx", pyx).drop("_f")
 
 

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelsift.functions.probability import (WRITE_OUT_LIMIT, agrees, any_of, argmax_class, entries,
-                                             self_confidence)
+from labelsift.functions.probability import (agrees, argmax_class, self_confidence)
 from labelsift.operators import frames, joint, multilabel, rank
 from labelsift.operators.joint import round_keeping_totals
 from labelsift.session import settle
@@ -110,13 +109,9 @@ def flag_by_noise_rate(probs: DataFrame, cuts: list[dict], k: int, multi_label:
     for c in cuts:
         table[c["s"]][c["y"]] = c["cut"]
     by_pair = frames.constant_array(probs.sparkSession, table)
-    if not multi_label and k <= WRITE_OUT_LIMIT:
-        mine, own = F.element_at("_cuts", F.col("s") + 1), F.element_at("psx", F.col("s") + 1)
-        over = any_of([F.coalesce(p - own >= c, F.lit(False)) for p, c in zip(entries("psx", k), entries(mine, k))])
-    else:
-        over = F.exists(_labels(multi_label), lambda g: F.exists(
-            F.zip_with("psx", F.element_at("_cuts", g + 1),
-                       lambda p, c: F.coalesce(p - F.element_at("psx", g + 1) >= c, F.lit(False))), lambda hit: hit))
+    over = F.exists(_labels(multi_label), lambda g: F.exists(
+        F.zip_with("psx", F.element_at("_cuts", g + 1),
+                   lambda p, c: F.coalesce(p - F.element_at("psx", g + 1) >= c, F.lit(False))), lambda hit: hit))
     return probs.withColumn("_cuts", by_pair).withColumn(name, F.coalesce(over, F.lit(False))).drop("_cuts")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from labelsift.operators import evaluate, pu, relabel
 from labelsift.plans import confident_tuning, models, pu_models
 from labelsift.session import settle
-from labelsift.sources import results, tables
+from labelsift.sources import model_store, results, tables
 
 
 @dataclass
@@ -70,9 +70,8 @@ def run(data: Tables, spec: Spec, grid: list[dict], seed: int = 42, results_path
         tuned = models.search(spec.model, train, val, grid, objective, seed, parallelism)
         val_time, val_score, params = time.time() - t0, tuned.score, dict(tuned.params)
         t0 = time.time()
-        ready = settle(models.prepare(train, spec.model, seed))
-        classifier = models.make_classifier(spec.model, tuned.params, seed, n_rows=ready.count())
-        model, extra = fit_technique(spec.technique, classifier, ready, val, metric, seed, parallelism)
+        classifier = models.make_classifier(spec.model, tuned.params, seed, n_rows=train.count())
+        model, extra = fit_technique(spec.technique, classifier, train, val, metric, seed, parallelism)
         params.update(extra)
         train_time = time.time() - t0
         scored_val = score(model, val).select(F.col("s").alias("label"), "p")
@@ -87,8 +86,8 @@ def run(data: Tables, spec: Spec, grid: list[dict], seed: int = 42, results_path
     if predictions_path:
         keyed = scored.withColumn("test_release", F.col("release")).drop("release", "p").withColumnRenamed("s", "vulnerable")
         results.write_predictions(_with_key(keyed, spec), predictions_path)
-    if model_path and hasattr(model, "write"):
-        results.save_model(model, f"{model_path}/r{spec.release}_{spec.model}_{spec.feature}_{spec.technique}")
+    if model_path:
+        model_store.save(model, f"{model_path}/r{spec.release}_{spec.model}_{spec.feature}_{spec.technique}")
     return row
 
 

@@ -11,9 +11,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelsift.functions.ordering import hash_key
 from labelsift.operators import evaluate, joint
-from labelsift.session import settle
+from labelsift.plans.balanced import BalancedForest, ClassWeighted
+from labelsift.session import released, settle
 
 # Search ranges.
 RANGES = {"max_depth": (2, 15), "max_leaf_nodes": (2, 500), "n_estimators": (50, 500), "max_features": (0.01, 0.7)}
@@ -34,17 +34,8 @@ def with_ratio_weights(df: DataFrame, label: str = "s", out: str = "weight") ->
     return df.withColumn(out, F.when(F.col(label) == 1, ratio).otherwise(F.lit(1.0)))
 
 
-def balanced_rows(df: DataFrame, label: str = "s", seed: int = 0) -> DataFrame:
-    """All rows of the smaller class and as many, by hash, of the larger one (in expectation)."""
-    p1 = df.agg(F.avg((F.col(label) == 1).cast("double"))).scalar()
-    rate = F.when(F.col(label) == 1, F.try_divide(F.lit(1.0) - F.col("_p1"), F.col("_p1"))).otherwise(
-        F.try_divide(F.col("_p1"), F.lit(1.0) - F.col("_p1")))
-    unit = hash_key(seed, "id") / F.lit(float(1 << 32))
-    return df.withColumn("_p1", p1).where(unit < rate).drop("_p1")
-
-
 def make_classifier(kind: str, params: dict, seed: int = 42, features: str = "features", label: str = "s", n_rows: int | None = None):
-    """A Spark classifier for a parameter set.
+    """A Spark classifier for a parameter set. Its class weights, and for 'brf' its balanced bags, are made in each fit.
 
     Spark trees have no leaf-count limit; a limit of L leaves becomes at least rows/(4 L) rows per leaf.
     """
@@ -53,23 +44,19 @@ def make_classifier(kind: str, params: dict, seed: int = 42, features: str = "fe
     min_rows = max(1, int((n_rows or 0) / (4 * params["max_leaf_nodes"]))) if "max_leaf_nodes" in params else 1
     share = params.get("max_features", 0.3)
     if kind in ("rf", "brf"):
-        return RandomForestClassifier(maxDepth=depth, numTrees=int(params.get("n_estimators", 50)), minInstancesPerNode=min_rows,
-                                      featureSubsetStrategy=str(float(share)), weightCol="weight", **common)
+        forest = RandomForestClassifier(maxDepth=depth, numTrees=int(params.get("n_estimators", 50)), minInstancesPerNode=min_rows,
+                                        featureSubsetStrategy=str(float(share)), **common)
+        if kind == "brf":
+            return BalancedForest(forest, seed, label, features)
+        return ClassWeighted(forest, "balanced", label, features)
     if kind == "xgb":
-        return GBTClassifier(maxDepth=depth, maxIter=int(params.get("n_estimators", 50)), featureSubsetStrategy=str(float(share)),
-                             weightCol="weight", **common)
+        return ClassWeighted(GBTClassifier(maxDepth=depth, maxIter=int(params.get("n_estimators", 50)), featureSubsetStrategy=str(float(share)),
+                                           **common), "ratio", label, features)
     if kind == "lr":
-        return LogisticRegression(featuresCol=features, labelCol=label, weightCol="weight")
+        return ClassWeighted(LogisticRegression(featuresCol=features, labelCol=label), "balanced", label, features)
     raise ValueError(f"unknown model {kind}; one of {KINDS}")
 
 
-def prepare(df: DataFrame, kind: str, seed: int = 42) -> DataFrame:
-    """Training rows with the weights (and, for 'brf', the balancing) a model kind asks for."""
-    if kind == "xgb":
-        return with_ratio_weights(df)
-    return with_class_weights(balanced_rows(df, seed=seed) if kind == "brf" else df)
-
-
 def positive_score(df: DataFrame, column: str = "probability", out: str = "p") -> DataFrame:
     return df.withColumn(out, F.element_at(vector_to_array(column), 2))
 
@@ -94,15 +81,16 @@ def search(kind: str, train: DataFrame, val: DataFrame, grid: list[dict], object
     Objectives: ``auc``, or ``recall`` (rows times squared recall over actual positives). Trials run as
     Spark jobs, a few at a time.
     """
-    train, val = settle(prepare(train, kind, seed)), settle(val)
+    train, val = settle(train), settle(val)
     n_rows = train.count()
 
     def trial(params: dict) -> float:
-        model = make_classifier(kind, params, seed, n_rows=n_rows).fit(train)
-        scored = positive_score(model.transform(val)).select(F.col("s").alias("label"), "p", F.col("prediction").alias("predicted"))
-        if objective == "auc":
-            return float(evaluate.exact_auc(scored).first()["auc"])
-        return float(evaluate.binary_metrics(scored, places=None).first()["recall_score"] or 0.0)
+        with released():
+            model = make_classifier(kind, params, seed, n_rows=n_rows).fit(train)
+            scored = positive_score(model.transform(val)).select(F.col("s").alias("label"), "p", F.col("prediction").alias("predicted"))
+            if objective == "auc":
+                return float(evaluate.exact_auc(scored).first()["auc"])
+            return float(evaluate.binary_metrics(scored, places=None).first()["recall_score"] or 0.0)
 
     with ThreadPoolExecutor(parallelism) as pool:
         scores = list(pool.map(trial, grid))

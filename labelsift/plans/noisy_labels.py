@@ -29,7 +29,8 @@ class NoisyLabelClassifier(Estimator, HasFeaturesCol, HasLabelCol):
     """Wraps a classifier so that it learns from labels with errors.
 
     ``fit`` expects an ``id`` column for deterministic folds. Out-of-sample probabilities may be given
-    in ``psxCol``; else they come from cross-validation of the wrapped classifier.
+    in ``psxCol``; else they come from cross-validation of the wrapped classifier. Weights in the
+    classifier's ``weightCol`` are carried along and multiplied with the noise weights.
     """
 
     numFolds = Param(Params._dummy(), "numFolds", "cross-validation folds", TypeConverters.toInt)
@@ -57,7 +58,11 @@ class NoisyLabelClassifier(Estimator, HasFeaturesCol, HasLabelCol):
         get = self.getOrDefault
         label, features, psx = self.getLabelCol(), self.getFeaturesCol(), get("psxCol")
         base = self.classifier.copy({self.classifier.labelCol: "s", self.classifier.featuresCol: features})
-        rows = df.select("id", F.col(label).cast("int").alias("s"), F.col(features), *([F.col(psx).alias("psx")] if psx else []))
+        given = base.getWeightCol() if takes_weights(base) and base.isSet(base.weightCol) else None
+        rows = df.select("id", F.col(label).cast("int").alias("s"), F.col(features), *([F.col(psx).alias("psx")] if psx else []),
+                         *([F.col(given).alias("_given")] if given else []))
+        if given:
+            base = base.copy({base.weightCol: "_given"})
         if not psx:
             rows = crossval.cross_val_probabilities(rows, base, get("numFolds"), get("seed"), keep=self.keep).drop("fold")
         probs = settle(rows, self.keep)
@@ -76,7 +81,8 @@ class NoisyLabelClassifier(Estimator, HasFeaturesCol, HasLabelCol):
         if takes_weights(base):
             unit = flip and get("unitFlipWeights")
             w = F.lit(1.0) if unit else F.element_at("_w", F.col("s") + 1)
-            train = train.withColumn("_w", latent.sample_weights(nm, k)).withColumn("_weight", w).drop("_w")
+            train = train.withColumn("_w", latent.sample_weights(nm, k)).withColumn(
+                "_weight", w * F.col("_given") if given else w).drop("_w")
             base = base.copy({base.weightCol: "_weight"})
         fitted = base.fit(train)
         return NoisyLabelModel(fitted, errors=errors.select("id", "s", "is_error"), joint=cj, noise_matrix=nm,
@@ -117,7 +123,7 @@ class NoisyLabelModel(Model):
         return evaluate.weighted_accuracy(scored, self.label_col, "prediction", weight).first()["accuracy"]
 
     def save(self, path: str) -> None:
-        """The classifier and, next to it, the flagged rows and the noise estimates."""
-        self.model.write().overwrite().save(f"{path}/classifier")
-        for name in ("errors", "joint", "noise_matrix", "inverse_noise_matrix", "prior"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        """The classifier and, next to it, the flagged rows and the noise estimates; see ``sources.model_store``."""
+        from labelsift.sources import model_store
+
+        model_store.save(self, path)

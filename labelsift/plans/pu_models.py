@@ -5,6 +5,7 @@ Training frames have ``id, s`` (1 = positive, 0 = unlabelled) and ``features`` (
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -13,7 +14,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelsift.operators import evaluate, pu, sampling
+from labelsift.operators import evaluate, pu, rank, sampling
+from labelsift.plans.balanced import mean_probability
 from labelsift.plans.models import positive_score
 from labelsift.session import settle, ship_package
 
@@ -54,14 +56,8 @@ class BaggingPU:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """All models score in one pass over the rows."""
-        out, added = df, []
-        for i, m in enumerate(self.models):
-            m = m.copy({m.probabilityCol: f"_prob{i}", m.rawPredictionCol: f"_raw{i}", m.predictionCol: f"_pred{i}"})
-            out = m.transform(out)
-            added += [f"_prob{i}", f"_raw{i}", f"_pred{i}"]
-        total = sum((F.element_at(vector_to_array(f"_prob{i}"), 2) for i in range(1, len(self.models))),
-                    F.element_at(vector_to_array("_prob0"), 2))
-        return out.withColumn("p", total / len(self.models)).drop(*added)
+        out, p, added = mean_probability(df, self.models, self.classifier.getFeaturesCol() if self.classifier else "features")
+        return out.withColumn("p", p[1]).drop(*added)
 
 
 class TwoStagePU:
@@ -104,7 +100,8 @@ class TwoStagePU:
 
 
 class LabelPropagation:
-    """Rows the two-stage model scores at or above the threshold become positive; refit on all rows."""
+    """Rows the two-stage model scores at or above the threshold become positive; refit on all rows. Class weights
+    belong to the classifier's fit (``plans.balanced``) and follow the new labels."""
 
     def __init__(self, classifier, metric: str = "cosine", threshold: float = 0.5, **two_stage):
         self.classifier, self.threshold = classifier, threshold
@@ -121,6 +118,17 @@ class LabelPropagation:
         return positive_score(self.model.transform(df))
 
 
+def lower_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
+    """Exact: for each share the value of the row with rank ``ceil(share * N)``, the first at least."""
+    values = settle(df.select(F.lit(0).alias("g"), (-F.col(column)).alias("v")))
+    n, lo, hi = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not n:
+        raise ValueError("no rows to take quantiles of")
+    wanted = [{"g": 0, "i": i, "m": min(n, max(1, math.ceil(round(q * n, 9))))} for i, q in enumerate(shares)]
+    cuts = {c["i"]: -c["cut"] for c in rank.nth_largest(values, ["g", "i"], "v", wanted, (lo, hi + 1e-9), on=["g"])}
+    return [cuts[i] for i in range(len(shares))]
+
+
 class OneClass:
     """Density score learnt from positives only: random Fourier features approximate a Gaussian kernel
     mean map, the score of a row is its similarity to that mean, and the cut is the ``nu`` quantile of
@@ -146,8 +154,10 @@ class OneClass:
 
     def fit_map(self, df: DataFrame) -> "OneClass":
         """The projection and the mean map; independent of ``nu``."""
-        stats = df.select(Summarizer.metrics("variance", "count").summary(F.col("features")).alias("m")).select("m.*").first()
-        var, d = float(np.mean(stats["variance"].toArray())), len(stats["variance"])
+        stats = df.select(Summarizer.metrics("mean", "normL2", "count").summary(F.col("features")).alias("m")).select("m.*").first()
+        mean, d = stats["mean"].toArray(), len(stats["mean"])
+        # over all entries, so spread between features counts
+        var = float((stats["normL2"].toArray() ** 2).sum() / (stats["count"] * d) - mean.mean() ** 2)
         gamma = self.gamma or 1.0 / (d * var if var > 0 else 1.0)
         rng = np.random.default_rng(self.seed)
         self.directions = rng.normal(scale=np.sqrt(2.0 * gamma), size=(d, self.width))
@@ -170,7 +180,7 @@ class OneClass:
         return df.withColumn("density", density(vector_to_array("features")))
 
     def set_cut(self, scored: DataFrame) -> "OneClass":
-        self.cut = scored.approxQuantile("density", [self.nu], 0.001)[0]
+        self.cut = lower_quantiles(scored, "density", [self.nu])[0]
         return self
 
     def fit(self, positives: DataFrame) -> "OneClass":
@@ -185,7 +195,7 @@ def tune_one_class(positives: DataFrame, val: DataFrame, nus: list[float], **kwa
     """Sweep ``nu`` on the validation MCC; the density is computed once, and all candidates are judged
     in one aggregation."""
     model = OneClass(**kwargs).fit_map(positives)
-    cuts = model.score(positives).approxQuantile("density", nus, 0.001)
+    cuts = lower_quantiles(model.score(positives), "density", nus)
     scored = model.score(val).select("s", "density")
     tried = scored.select(F.col("s").alias("label"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("trial"), (F.col("density") >= c).cast("int").alias("predicted")) for i, c in enumerate(cuts)])).alias("t"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def released():
+    """Frames that ``settle`` persists inside, in this thread, are given up at the end. Results must have been taken by then."""
+    held, before = [], getattr(_scopes, "held", None)
+    _scopes.held = held
+    try:
+        yield
+    finally:
+        _scopes.held = before
+        for df in held:
+            df.unpersist()
+
+
 def settle(df: DataFrame, how: str = "persist") -> DataFrame:
     """Keep a result that several jobs read.
 
@@ -57,7 +75,12 @@ def settle(df: DataFrame, how: str = "persist") -> DataFrame:
     if how == "none":
         return df
     if how == "persist":
-        return df if df.is_cached else df.persist(StorageLevel.MEMORY_AND_DISK)
+        if df.is_cached:
+            return df
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        if getattr(_scopes, "held", None) is not None:
+            _scopes.held.append(df)
+        return df
     if how == "checkpoint":
         ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
