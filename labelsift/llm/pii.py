@@ -181,7 +181,7 @@ def train(docs: DataFrame, sample: int = 20_000, seed: int = 42, id_col: str = "
     None if the sample has no base match."""
     ship_package(docs.sparkSession)
     chosen = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit(seed), "id")).limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(chosen, "id", "left_semi")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "id", "left_semi")  # at most ``sample`` ids
 
     def run(batches):
         for batch in batches:
