@@ -742,7 +742,9 @@ def tune_confident_thresholds(spark, folder):
 @query
 def smote_rows(spark, folder):
     rows = pu_vectors(spark, folder).withColumn("x", F.col("x").cast("array<double>"))
-    return smote.smote(rows).select("id", "copy", "s", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+    pick = lambda i: arithmetic_key(F.col("id") * 4096 + F.col("copy"), 20 + i)
+    made = smote.smote(rows, key=arithmetic_key("id", 20), pick_key=pick)
+    return made.select("id", "copy", "s", F.posexplode("x").alias("i", "v")).select("id", "copy", "s", "i", r6("v").alias("v"))
 
 
 @query

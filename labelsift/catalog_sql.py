@@ -298,6 +298,14 @@ part("tq_row", "toxic_row", "SELECT id, s, least(1.0::DOUBLE, round(p1 * 1.4::DO
 part("tq", "tq_row", """SELECT id, s, 1 AS k, p1 AS p FROM tq_row
     UNION ALL SELECT id, s, 0, round(1.0::DOUBLE - p1, 6) FROM tq_row""")
 part("tq_thr", "tq", "SELECT k, avg(p) AS t FROM tq WHERE s = k GROUP BY k")
+part("pu_row", "", """SELECT vec_id AS id, CASE WHEN label = 0 THEN 1 ELSE 0 END AS s,
+    list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings""")
+part("few_rn", "pu_row", "SELECT * FROM (" + numbered("pu_row", "s", 20) + ") WHERE s = 1")
+part("few_n", "pu_row", "SELECT count(*) FILTER (s = 1) AS n, count(*) FILTER (s = 0) - count(*) FILTER (s = 1) AS short FROM pu_row")
+part("few_near", "few_rn", """SELECT id, o, y, row_number() OVER (PARTITION BY id ORDER BY d, o) AS r FROM
+    (SELECT a.id, b.id AS o, b.x AS y, list_distance(a.x, b.x) AS d FROM few_rn a JOIN few_rn b ON a.id <> b.id)""")
+part("few_made", "few_rn few_n", f"""SELECT *, id * 4096 + copy AS k FROM (SELECT r.id, r.s, r.x, unnest(range(1, 1 + n.short // n.n
+    + CASE WHEN r.rn <= n.short % n.n THEN 1 ELSE 0 END)) AS copy FROM few_rn r, few_n n)""")
 part("bag_n", "pb_row", """SELECT CASE WHEN 2 * a <= n THEN 1 ELSE 0 END AS small,
     CAST(greatest(1, least(50, round((n - least(a, n - a)) / CAST(least(a, n - a) AS DOUBLE)))) AS BIGINT) AS n_bags
     FROM (SELECT count(*) AS n, count(*) FILTER (s = 1) AS a FROM pb_row)""")
@@ -429,6 +437,10 @@ SQL: dict[str, str] = {
         FROM over_rn r JOIN over_n n ON n.s = r.s)"""),
     "hold_out": build("hold_rn", """SELECT id, s, s = 1 AND rn <= ceil((SELECT count(*) FROM hold_rn WHERE s = 1) * 0.2::DOUBLE) AS held_out FROM hold_rn"""),
     "bags": build("pb_row", f"SELECT CAST({key(9)} % 15 AS INTEGER) AS bag, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM pb_row WHERE s = 0 GROUP BY 1"),
+    "smote_rows": build("few_made few_near", f"""SELECT id, CAST(copy AS INTEGER) AS copy, s, CAST(i AS INTEGER) AS i, round(a + (b - a) * u, 6) AS v FROM
+        (SELECT m.id, m.copy, m.s, unnest(range(len(m.x))) AS i, unnest(m.x) AS a, unnest(w.y) AS b, m.u
+        FROM (SELECT *, ({key(21).replace("id", "k")}) % 2 + 1 AS pick, ({key(22).replace("id", "k")}) / 4294967296.0::DOUBLE AS u FROM few_made) m
+        JOIN few_near w ON w.id = m.id AND w.r = m.pick)"""),
     "class_weights": build("pb_row", """SELECT s, n, round((SELECT count(*) FROM pb_row) / (2.0::DOUBLE * n), 6) AS balanced,
         CASE WHEN s = 1 THEN round((SELECT count(*) FROM pb_row WHERE s = 0) / CAST(n AS DOUBLE), 6) ELSE 1.0::DOUBLE END AS ratio
         FROM (SELECT s, count(*) AS n FROM pb_row GROUP BY s)"""),

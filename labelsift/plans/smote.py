@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelsift.functions.distance import euclidean_distance
 from labelsift.functions.ordering import hash_key, unit_interval
 from labelsift.operators import joint, sampling
-from labelsift.operators.pu import vector_batch
-from labelsift.session import settle, ship_package
-
-# Distinct minority vectors that may travel with every task.
-EXACT_LIMIT = 20_000
+from labelsift.plans import neighbours
+from labelsift.session import settle
 
 
 def distinct_vectors(rows: DataFrame) -> DataFrame:
@@ -26,91 +19,35 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     return rows.groupBy("x").agg(F.min("id").alias("vid"), F.count(F.lit(1)).alias("copies"))
 
 
-def nearest_exact(vectors: DataFrame, k: int) -> DataFrame:
-    """``vid, near``: the k nearest other vectors. Compares every batch with the whole set, so the
-    caller checks the set's size first."""
-    ship_package(vectors.sparkSession)
-    local = vectors.select("vid", "x").toPandas().sort_values("vid")
-    ids, points = local["vid"].to_numpy(), vector_batch(local["x"])
-    norms = (points ** 2).sum(axis=1)
-
-    @F.pandas_udf("array<array<double>>")
-    def near(vid: pd.Series, x: pd.Series) -> pd.Series:
-        out = []
-        for v, row in zip(vid, vector_batch(x)):
-            d = norms - 2.0 * (points @ row)
-            d[ids == v] = np.inf
-            take = min(k, len(d) - 1)
-            best = np.argsort(d, kind="stable")[:take]
-            out.append([list(points[b]) for b in best])
-        return pd.Series(out)
-
-    return vectors.select("vid", near("vid", "x").alias("near"))
-
-
-def nearest_by_projection(vectors: DataFrame, k: int, projections: int = 6, reach: int = 8, ranges: int = 256,
-                          seed: int = 0) -> DataFrame:
-    """``vid, near`` for any number of vectors: candidates are the neighbours along several random
-    directions, ranked by true distance. Work per vector is fixed; a near vector can be missed."""
-    ship_package(vectors.sparkSession)
-    width = len(vectors.select("x").first()["x"])
-    directions = np.random.default_rng(seed).normal(size=(width, projections))
-
-    @F.pandas_udf("array<double>")
-    def project(x: pd.Series) -> pd.Series:
-        return pd.Series(list(vector_batch(x) @ directions))
-
-    placed = settle(vectors.select("vid", "x", project("x").alias("along")), "checkpoint")
-    pairs = []
-    for t in range(projections):
-        line = placed.select("vid", "x", F.element_at("along", t + 1).alias("at"))
-        cuts = line.approxQuantile("at", [i / ranges for i in range(1, ranges)], 1.0 / (4 * ranges))
-        splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-        cut = Bucketizer(splits=splits, inputCol="at", outputCol="part").transform(line)
-        around = W.partitionBy("part").orderBy("at", "vid").rowsBetween(-reach, reach)
-        seen = F.collect_list(F.struct("vid", "x")).over(around)  # at most 2 * reach + 1 entries
-        pairs.append(cut.withColumn("other", seen).select("vid", "x", F.explode("other").alias("other"))
-                     .where("other.vid <> vid"))
-    pairs = reduce(DataFrame.unionByName, pairs)
-    scored = pairs.select("vid", euclidean_distance("x", "other.x").alias("d"), F.col("other.vid").alias("o"), F.col("other.x").alias("y"))
-    once = scored.groupBy("vid", "o").agg(F.first("d").alias("d"), F.first("y").alias("y"))
-    best = once.groupBy("vid").agg(F.array_sort(F.collect_list(F.struct("d", "o", "y"))).alias("c"))  # bounded by reach
-    return best.select("vid", F.transform(F.slice("c", 1, k), lambda e: e.y).alias("near"))
-
-
-def smote(df: DataFrame, k: int = 2, seed: int = 42, label: str = "s", key: Column | None = None,
-          exact_limit: int = EXACT_LIMIT, n_classes: int = 2) -> DataFrame:
+def smote(df: DataFrame, k: int = 2, seed: int = 42, label: str = "s", key: Column | None = None, n_classes: int = 2,
+          pick_key: Callable[[int], Column] | None = None) -> DataFrame:
     """Synthetic rows ``id, copy, s, x`` that lift every smaller class to the size of the largest.
 
-    ``df`` has ``id, s, x ARRAY<DOUBLE>``. A class with few distinct vectors gets exact neighbours;
-    beyond ``exact_limit`` they come from random projections.
+    ``df`` has ``id, s, x ARRAY<DOUBLE>``. Neighbours are exact whatever the size of a class. ``key`` orders the rows
+    that get one copy more; ``pick_key`` gives the order keys of the neighbour (1) and of the place on the line (2).
     """
     sizes = {r["s"]: r["n"] for r in joint.class_counts(df, n_classes, label).collect()}
     top = max(sizes.values())
-    parts = []
-    for c, n in sizes.items():
-        if 0 < n < top:
-            parts.append(_synthesise(df.where(F.col(label) == c), n, top - n, k, seed, label, key, exact_limit))
+    pick_key = pick_key or (lambda i: hash_key(seed + i, "id", "copy"))
+    parts = [_synthesise(df.where(F.col(label) == c), c, n, top - n, k, label, key if key is not None else hash_key(seed, "id"), pick_key, seed)
+             for c, n in sizes.items() if 0 < n < top]
     if not parts:
         return df.limit(0).select("id", F.lit(0).alias("copy"), label, "x")
     return reduce(DataFrame.unionByName, parts)
 
 
-def _synthesise(rows: DataFrame, n: int, short: int, k: int, seed: int, label: str, key: Column | None,
-                exact_limit: int) -> DataFrame:
+def _synthesise(rows: DataFrame, c: int, n: int, short: int, k: int, label: str, key: Column, pick_key, seed: int) -> DataFrame:
     vectors = settle(distinct_vectors(rows))
-    small = vectors.limit(exact_limit + 1).count() <= exact_limit
-    near = nearest_exact(vectors, k) if small else nearest_by_projection(vectors, k, seed=seed)
+    near = neighbours.nearest(vectors.select("vid", "x"), k, seed)
     # Copies of a vector are its nearest rows, at distance 0.
-    known = vectors.join(near, "vid", "left")
-    filled = F.slice(F.concat(F.array_repeat("x", F.least(F.col("copies") - 1, F.lit(k)).cast("int")),
-                              F.coalesce("near", F.array().cast("array<array<double>>"))), 1, k)
-    known = known.select(F.col("x").alias("_vx"), filled.alias("_near"))
-    c = rows.select(label).first()[0]
-    key = key if key is not None else hash_key(seed, "id")
-    made = sampling.extra_copies(rows.select("id", label, "x"), c, n, short, label, key)
-    made = made.join(known, F.col("x") == F.col("_vx"), "left")
-    pick = F.pmod(hash_key(seed + 1, "id", "copy"), F.size("_near")).cast("int") + 1
-    made = made.withColumn("_n", F.when(F.size("_near") > 0, F.element_at("_near", pick)).otherwise(F.col("x")))
-    made = made.withColumn("_u", unit_interval(hash_key(seed + 2, "id", "copy")))
-    return made.select("id", "copy", label, F.zip_with("x", "_n", lambda a, b: a + (b - a) * F.col("_u")).alias("x"))
+    twins = F.array_repeat("vid", F.least(F.col("copies") - 1, F.lit(k)).cast("int"))
+    known = vectors.join(near, "vid", "left").select(
+        F.col("x").alias("_vx"), F.slice(F.concat(twins, F.coalesce("near", F.array().cast("array<bigint>"))), 1, k).alias("_near"))
+    # Rows meet their vector before they are repeated; the copies meet their neighbour by its number.
+    rows = rows.select("id", label, "x").join(known, F.col("x") == F.col("_vx")).drop("_vx")
+    made = sampling.extra_copies(rows, c, n, short, label, key)
+    pick = F.pmod(pick_key(1), F.greatest(F.size("_near"), F.lit(1))).cast("int")
+    made = made.withColumn("_o", F.get("_near", pick))
+    made = made.join(vectors.select(F.col("vid").alias("_o"), F.col("x").alias("_n")), "_o", "left")
+    u = unit_interval(pick_key(2))
+    return made.select("id", "copy", label, F.zip_with("x", F.coalesce("_n", "x"), lambda a, b: a + (b - a) * u).alias("x"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from labelsift.functions.ordering import arithmetic_key, hash_key
 from labelsift.operators import evaluate, frames, joint, rank, sampling
-from labelsift.plans import smote
+from labelsift.plans import neighbours, smote
 
 
 @pytest.fixture(scope="module")
@@ -146,15 +146,23 @@ def test_smote_exact_neighbours(spark):
         assert any(on_line)
 
 
-def test_smote_projection_neighbours_are_near(spark):
-    """Beyond the exact limit neighbours come from projections: in 2-d clusters they stay in the cluster."""
+@pytest.mark.parametrize("chunk", [1024, 50])
+def test_neighbours_are_exact(spark, monkeypatch, chunk):
+    monkeypatch.setattr(neighbours, "CHUNK", chunk)
     rng = np.random.default_rng(3)
-    centers = np.array([[0, 0], [50, 0], [0, 50]])
-    pts = np.concatenate([c + rng.normal(size=(40, 2)) for c in centers])
-    df = spark.createDataFrame([(i, 1, [float(v) for v in p]) for i, p in enumerate(pts)], "id bigint, s int, x array<double>")
-    near = smote.nearest_by_projection(smote.distinct_vectors(df), 2, ranges=4).collect()
-    assert len(near) == 120 and all(len(r["near"]) == 2 for r in near)
-    assert np.mean([all(np.linalg.norm(pts[r["vid"]] - np.array(n)) < 10 for n in r["near"]) for r in near]) > 0.95
+    pts = np.concatenate([c + rng.normal(size=(100, 3)) for c in rng.normal(size=(5, 3)) * 20])
+    pts[10] = pts[11]  # a tie at distance 0
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(pts)], "vid bigint, x array<double>")
+    got = {r["vid"]: r["near"] for r in neighbours.nearest(df, 3).collect()}
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    assert got == {i: sorted(range(500), key=lambda j: (d[i, j], j))[:3] for i in range(500)}
+
+
+def test_few_vectors_have_few_neighbours(spark):
+    df = spark.createDataFrame([(7, [1.0, 2.0]), (9, [1.0, 3.0])], "vid bigint, x array<double>")
+    assert {r["vid"]: r["near"] for r in neighbours.nearest(df, 3).collect()} == {7: [9], 9: [7]}
+    assert neighbours.nearest(df.limit(0), 3).count() == 0
 
 
 def test_class_counts_include_empty(spark):
