@@ -18,6 +18,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from labelsift.functions.ordering import KEY_SPAN
 from labelsift.operators import frames
@@ -77,53 +78,67 @@ def nth_largest(values: DataFrame, groups: list[str], value: str, wanted: list[d
     return done
 
 
+def order_parts(df: DataFrame, key: Column, id_col: str) -> list[Column]:
+    """What rows are ordered by, in numbers that a double holds exactly: the key, then the halves of the id. An id that is
+    no integer is ordered by its 64-bit hash."""
+    whole = isinstance(df.schema[id_col].dataType, IntegralType)
+    number = F.col(id_col).cast("bigint") if whole else F.xxhash64(id_col)
+    return [key, F.shiftright(number, 32), number.bitwiseAND(F.lit((1 << 32) - 1))]
+
+
 def first_rows(df: DataFrame, group: str, key: Column, wanted: list[dict], id_col: str = "id") -> list[dict]:
-    """Cuts ``{group, band, key, id}`` for the first m rows of a group along ``(key, id)``.
+    """Cuts ``{group, band, key, high, low}`` for the first m rows of a group along ``(key, id)``.
 
     ``wanted`` is a list of ``{'g': class, 'band': int, 'm': n}`` with 0 < n <= class size; a class may
     ask for several bands. ``key`` is an integer in [0, 2**32), see ``functions.ordering``. Only the
-    class, the key and the id are read; the rows themselves stay where they are. Where two rows share
-    the key at a cut, the id decides (numeric, exact up to 2**53).
+    class, the key and the id are read; the rows themselves stay where they are. Where rows share the
+    key at a cut, the id decides, exact over its 64 bits.
     """
-    values = df.select(F.col(group).cast("int").alias("g"), (-key).cast("double").alias("v"),
-                       (-F.col(id_col)).cast("double").alias("i"))
-    cuts = nth_largest(values, ["g", "band"], "v", wanted, (-float(KEY_SPAN), 0.0), on=["g"], ties=True)
-    shared = [c for c in cuts if c["need"] is not None]
-    by_id = {}
-    if shared:
+    names, spans = ["key", "high", "low"], [(-float(KEY_SPAN), 0.0), (-float(1 << 31), float(1 << 31)), (-float(1 << 32), 0.0)]
+    values = df.select(F.col(group).cast("int").alias("g"), *[(-p).cast("double").alias(n) for p, n in zip(order_parts(df, key, id_col), names)])
+    found = {(w["g"], w["band"]): {"g": w["g"], "band": w["band"], **dict.fromkeys(names, float("inf"))} for w in wanted}
+    for level, name in enumerate(names):
+        cuts = nth_largest(values, ["g", "band"], name, wanted, spans[level], on=["g"] if not level else None, ties=level < 2)
+        for c in cuts:
+            found[c["g"], c["band"]][name] = -c["cut"]
+        shared = [c for c in cuts if c.get("need") is not None]
+        if not shared:
+            break
         at = frames.local_frame(df.sparkSession, {
             "g": (pa.int32(), [c["g"] for c in shared]), "band": (pa.int32(), [c["band"] for c in shared]),
-            "v": (pa.float64(), [c["cut"] for c in shared])})
-        tied = values.join(F.broadcast(at), ["g", "v"]).select("g", "band", "i")
-        found = nth_largest(tied, ["g", "band"], "i", [{**c, "m": c["need"]} for c in shared], (-1e15, 1e15))
-        by_id = {(c["g"], c["band"]): -c["cut"] for c in found}
-    return [{"g": c["g"], "band": c["band"], "key": -c["cut"], "id": by_id.get((c["g"], c["band"]), float("inf"))}
-            for c in cuts]
+            name: (pa.float64(), [c["cut"] for c in shared])})
+        on = ["g", name] if not level else ["g", "band", name]
+        values = values.join(F.broadcast(at), on)  # one row per group and band
+        wanted = [{"g": c["g"], "band": c["band"], "m": c["need"]} for c in shared]
+    return list(found.values())
 
 
 def within(df: DataFrame, cuts: list[dict], group: str, key: Column, k: int, bands: int,
            id_col: str = "id") -> tuple[DataFrame, list[Column]]:
     """Frame with the cuts attached, and for each band a condition "row is among the first m". Drop
     the column ``_cuts`` afterwards."""
-    table = [[None] * (2 * bands) for _ in range(k)]
+    table = [[None] * (3 * bands) for _ in range(k)]
     for c in cuts:
-        table[c["g"]][2 * c["band"]], table[c["g"]][2 * c["band"] + 1] = float(c["key"]), float(c["id"])
+        table[c["g"]][3 * c["band"]:3 * c["band"] + 3] = [float(c[n]) for n in ("key", "high", "low")]
     mine = F.element_at(frames.constant_array(df.sparkSession, table), F.col(group).cast("int") + 1)
+    key, high, low = order_parts(df, key, id_col)
     conditions = []
     for b in range(bands):
-        at, last = F.element_at("_cuts", 2 * b + 1), F.element_at("_cuts", 2 * b + 2)
-        conditions.append(F.coalesce((key < at) | ((key == at) & (F.col(id_col) <= last)), F.lit(False)))
+        a, h, w = (F.element_at("_cuts", 3 * b + i) for i in (1, 2, 3))
+        conditions.append(F.coalesce((key < a) | ((key == a) & ((high < h) | ((high == h) & (low <= w)))), F.lit(False)))
     return df.withColumn("_cuts", mine), conditions
 
 
 def running_totals(df: DataFrame, order: str, sums: dict[str, Column], descending: bool = True,
-                   ranges: int = 256, keep: str = "persist") -> DataFrame:
+                   ranges: int | None = None, keep: str = "persist") -> DataFrame:
     """One row per distinct ``order`` value with, for each name, its total ``name`` and the total of
     all values before it ``name_before``.
 
     Rows are summed per value before any ordering, so a value shared by most rows is one row here.
-    Ranges are cut at quantiles of the distinct values and are therefore even.
+    Ranges are cut at quantiles of the distinct values and are therefore even; as many as there are shuffle
+    partitions unless given.
     """
+    ranges = ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     per_value = df.groupBy(order).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     per_value = settle(per_value, keep)
     cuts = per_value.approxQuantile(order, [i / ranges for i in range(1, ranges)], 1.0 / (4 * ranges))

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from labelsift.functions import text
 from labelsift.operators import relabel, rollup, vocabulary
-from labelsift.session import spread
 
 
 def metric_features(labels: DataFrame, raw: DataFrame, order: str = "row_order") -> DataFrame:
@@ -22,9 +21,9 @@ def metric_features(labels: DataFrame, raw: DataFrame, order: str = "row_order")
 
 
 def prepare_code(code: DataFrame, column: str = "code", passes: int = 1) -> DataFrame:
-    """Frame plus ``tokens`` of the cleaned text; cleaning is CPU-heavy, so few large files are spread."""
+    """Frame plus ``tokens`` of the cleaned text."""
     cleaned = text.replace_tokens(text.clean_code(column, passes))
-    return spread(code, "file").withColumn("tokens", text.tokens(cleaned))
+    return code.withColumn("tokens", text.tokens(cleaned))
 
 
 def bag_of_words(size: int = vocabulary.VOCABULARY_SIZE) -> Pipeline:

@@ -88,10 +88,9 @@ def settle(df: DataFrame, how: str = "persist") -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy per-row work all cores when the input has fewer partitions than cores, as a few
-    large files do. Leaves well-split inputs alone, so there is no shuffle at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Deal rows out to all cores. The caller's choice, for inputs known to come in fewer splits than there are cores; it
+    always shuffles."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -168,3 +168,16 @@ def test_few_vectors_have_few_neighbours(spark):
 def test_class_counts_include_empty(spark):
     df = spark.createDataFrame([(0,), (0,), (2,)], "s int")
     assert {r["s"]: r["n"] for r in joint.class_counts(df, 4).collect()} == {0: 2, 1: 0, 2: 1, 3: 0}
+
+
+@pytest.mark.parametrize("ids", ["large", "text"])
+def test_first_rows_with_any_id_at_a_shared_key(spark, ids):
+    big = [(1 << 62) + i for i in range(40)] + [-(1 << 62) - i for i in range(40)]
+    rows = [(i if ids == "large" else f"file{i}.c", 0) for i in big]
+    df = spark.createDataFrame(rows, f"id {'bigint' if ids == 'large' else 'string'}, s int")
+    key = F.lit(5).cast("bigint")
+    out, inside = rank.within(df, rank.first_rows(df, "s", key, [{"g": 0, "band": 0, "m": 17}]), "s", key, 1, 1)
+    picked = [r["id"] for r in out.where(inside[0]).collect()]
+    assert len(picked) == 17
+    if ids == "large":
+        assert sorted(picked) == sorted(big)[:17]
