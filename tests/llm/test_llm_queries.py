@@ -280,10 +280,10 @@ def test_token_counts(spark, folder):
 def test_longest_match_on_small_vocabularies():
     rng = np.random.default_rng(4)
     for _ in range(60):
-        vocabulary = {bytes(rng.choice(list(b"abc"), rng.integers(1, 5))) for _ in range(rng.integers(1, 12))}
+        vocabulary = {bytes(rng.choice(list(b"abc"), rng.integers(1, 5)).tolist()) for _ in range(rng.integers(1, 12))}
         automaton = token_counts.LongestMatch(vocabulary)
         for _ in range(40):
-            word = bytes(rng.choice(list(b"abc"), rng.integers(0, 14)))
+            word = bytes(rng.choice(list(b"abc"), rng.integers(0, 14)).tolist())
             assert automaton.count(word) == greedy(word, vocabulary, 4)
 
 
