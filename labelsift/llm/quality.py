@@ -91,11 +91,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     if len(set(grades.tolist())) < 2:
         return None
     lengths = np.array([len(a) for a, _ in rows])
-    row = np.repeat(np.arange(len(rows)), lengths)
-    at, value = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+    at, value = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows]).astype(np.float32)
     often = np.bincount(at, minlength=BUCKETS) >= least_rows  # what few rows have can only be learned by heart
-    row, at, value = row[often[at]], at[often[at]], value[often[at]]
-    used, at = np.unique(at, return_inverse=True)
+    used, place = np.flatnonzero(often), np.cumsum(often) - 1
+    kept = often[at]
+    row, value, at = row[kept], value[kept], place[at[kept]].astype(np.int32)
     share = np.bincount(grades, minlength=n_grades)[:-1].cumsum() / len(grades)
     first = np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
     w, t0, gaps = np.zeros(len(used)), first[:1].copy(), np.log(np.maximum(np.diff(first), 1e-2))
@@ -131,28 +132,28 @@ def grades(labels: DataFrame) -> DataFrame:
     return labels.where("quality IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", grade.alias("grade"))
 
 
-def train(docs: DataFrame, rated: DataFrame, n_grades: int = 3, sample: int = 12_000, seed: int = 42, id_col: str = "doc_id",
+def train(docs: DataFrame, rated: DataFrame, n_grades: int = 3, sample: int = 9_000, seed: int = 42, id_col: str = "doc_id",
           text_col: str = "text") -> Ordinal | None:
-    """Fit on at most ``sample`` rated documents, those with the smallest seeded hash of (id, text); the bound keeps the
-    driver's memory fixed. Features are computed on the executors, from whole texts. Of several ratings of a document
-    each counts. No rated documents, or a single grade: None."""
+    """Fit on at most ``sample`` ratings, those with the smallest seeded hash of (id, grade), and as many documents; the
+    bound keeps the driver's memory fixed. Features are computed on the executors, from whole texts. Of several ratings
+    of a document each counts. No rated documents, or a single grade: None."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(rated, "doc_id")
-    rows = rows.select("text", "grade", F.xxhash64(F.lit(seed), "doc_id", "text", "grade").alias("order")).orderBy("order").limit(sample)
+    # at most ``sample`` ids are broadcast, so texts do not move
+    chosen = rated.select("doc_id", "grade", F.xxhash64(F.lit(seed), "doc_id", "grade").alias("order")).orderBy("order", "doc_id", "grade").limit(sample)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "grade", "order")
 
     def run(batches):
         words = Words()
         for batch in batches:
             found = [vector(t.as_py(), words) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([
-                batch.column(1), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()),
-                pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], names=["grade", "at", "value"])
+                batch.column(1), batch.column(2), pa.array([a.astype("<i4").tobytes() for a, _ in found], pa.binary()),
+                pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], names=["grade", "order", "at", "value"])
 
-    got = rows.mapInArrow(run, "grade int, at binary, value binary").toArrow()
+    got = rows.mapInArrow(run, "grade int, order bigint, at binary, value binary").orderBy("order").limit(sample).drop("order").toArrow()
     if not got.num_rows:
         return None
-    vectors = [(np.frombuffer(a.as_py(), "<i4").astype(np.int64), np.frombuffer(v.as_py(), "<f4").astype(float))
-               for a, v in zip(got["at"], got["value"])]
+    vectors = [(np.frombuffer(a.as_buffer(), "<i4"), np.frombuffer(v.as_buffer(), "<f4")) for a, v in zip(got["at"], got["value"])]
     return fit(vectors, got["grade"].to_numpy().astype(np.int64), n_grades)
 
 
