@@ -60,7 +60,7 @@ def latent_prior(ps: DataFrame, nm: DataFrame, inv: DataFrame, method: str = "cn
                  cj: DataFrame | None = None) -> DataFrame:
     """``y, p``: prior of the true classes."""
     if method not in PRIOR_METHODS:
-        raise ValueError(f"py_method {method} should be in {list(PRIOR_METHODS)}")
+        raise ValueError(f"no way {method!r} to estimate a prior; known are {', '.join(PRIOR_METHODS)}")
     if method == "marginal":
         if cj is None:
             raise ValueError("method 'marginal' needs the confident joint")

@@ -2,8 +2,8 @@
 
 Labels: ``file, release, vulnerable, ..``. Exact side table: ``file, release``. Interval side table:
 ``file, first_appear, last_appear``, both ends inclusive. Corrections are existence tests: side
-tables are reduced to distinct ``(file, release)`` keys first, so duplicate keys and overlapping
-intervals never multiply label rows, and the label side is joined once on an equality.
+tables become distinct ``(file, release)`` keys first, so duplicate keys and overlapping intervals
+never multiply label rows.
 """
 
 from __future__ import annotations
@@ -19,13 +19,11 @@ def exact_keys(silent: DataFrame) -> DataFrame:
 
 
 def interval_keys(latent: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct ``(file, release)`` covered by an interval, within the releases the labels have."""
-    seen = labels.agg(F.struct(F.min("release").alias("low"), F.max("release").alias("high"))).scalar()
-    clamped = latent.withColumn("_seen", seen).select(
-        "file", F.greatest("first_appear", "_seen.low").cast("int").alias("_a"),
-        F.least("last_appear", "_seen.high").cast("int").alias("_b"))
-    return (clamped.where("_a <= _b")
-            .select("file", F.explode(F.sequence("_a", "_b")).alias("release")).distinct())
+    """Distinct ``(file, release)`` of the labels that an interval covers. The interval is a condition of an existence
+    join on the file, so long intervals make no rows."""
+    spans = latent.select(F.col("file").alias("_f"), "first_appear", "last_appear")
+    covered = (F.col("file") == F.col("_f")) & F.col("release").between(F.col("first_appear"), F.col("last_appear"))
+    return labels.select(*KEY).distinct().join(spans, covered, "left_semi")
 
 
 def silent_for_release(silent: DataFrame, release: int | None) -> DataFrame:

@@ -31,4 +31,4 @@ def check_trace(matrix: DataFrame, name: str, value: str = "p") -> None:
     """A noise matrix is admissible only if its trace exceeds 1."""
     trace = matrix.where("s = y").agg(F.sum(value)).first()[0]
     if trace is None or trace <= 1:
-        raise ValueError(f"Trace({name}) is {round(trace or 0.0, 2)}, but must exceed 1.")
+        raise ValueError(f"the diagonal of {name} adds up to {round(trace or 0.0, 2)}; it must exceed 1")
