@@ -12,6 +12,8 @@ from labelsift.llm.components import components
 from labelsift.session import ship_package
 
 MOST_PIVOTS = 1024  # bound of what is broadcast: so many vectors
+CANDIDATES = 4  # vectors drawn for each pivot wanted, so that enough are left after thinning
+WIDEST = 0.9  # cosine from which one pivot stands for another
 CHUNK = 512  # rows of an inverted list that one block holds
 KEYS = ["label", "dim", "pivot", "lo", "hi"]
 
@@ -37,19 +39,36 @@ def scaled(vectors: list) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
+def apart(unit: np.ndarray, most: int) -> np.ndarray:
+    """Indices of the first ``most`` rows with no cosine of ``WIDEST`` or more to one taken before. A group of near copies
+    yields one pivot: the order of several would be noise that its members do not share."""
+    taken: list[int] = []
+    free = np.ones(len(unit), dtype=bool)
+    for i in range(len(unit)):
+        if free[i] and len(taken) < most:
+            taken.append(i)
+            free &= unit @ unit[i] < WIDEST
+    return np.array(taken, dtype=np.int64)
+
+
 def describe(classes: DataFrame, n_pivots: int, prefix: int, seed: int) -> DataFrame:
     """Adds ``near``: the numbers of the ``prefix`` nearest pivots, nearest first. Pivots are the vectors with the
-    smallest seeded hash. Where a dimension has no pivot, the one list ``-1`` takes every vector."""
+    smallest seeded hash that are not near one another. Where a dimension has no pivot, the one list ``-1`` takes every vector."""
     spark = classes.sparkSession
-    chosen = classes.select("dim", "vector").orderBy(F.xxhash64(F.lit(seed), "vector"), "vector").limit(n_pivots).collect()
+    chosen = classes.select("dim", "vector").orderBy(F.xxhash64(F.lit(seed), "vector"), "vector").limit(CANDIDATES * n_pivots).collect()
     by_dim: dict[int, list] = {}
     for i, row in enumerate(chosen):
         by_dim.setdefault(row["dim"], []).append((i, row["vector"]))
-    shared = spark.sparkContext.broadcast({d: (np.array([i for i, _ in v]), scaled([x for _, x in v])) for d, v in by_dim.items()})
+    pivots_of = {}
+    for d, v in by_dim.items():
+        numbers, unit = np.array([i for i, _ in v]), scaled([x for _, x in v])
+        kept = apart(unit, max(1, n_pivots * len(v) // len(chosen)))  # each dimension has its share
+        pivots_of[d] = numbers[kept], unit[kept]
+    shared = spark.sparkContext.broadcast(pivots_of)
 
     @F.pandas_udf("array<int>")
     def nearest(vector: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(vector), dtype=object)
+        out: list = [None] * len(vector)
         dims = vector.map(len).to_numpy()
         for d in np.unique(dims):
             at = np.flatnonzero(dims == d)
@@ -60,8 +79,8 @@ def describe(classes: DataFrame, n_pivots: int, prefix: int, seed: int) -> DataF
                 cosines = scaled(vector.iloc[at].tolist()) @ pivots.T
                 ranked = numbers[np.argsort(-cosines, axis=1, kind="stable")[:, :prefix]]
             for i, r in zip(at, ranked):
-                out.iat[i] = r.astype(np.int32)
-        return out
+                out[i] = r.astype(np.int32)
+        return pd.Series(out, dtype=object)
 
     return classes.withColumn("near", nearest("vector"))
 
@@ -89,20 +108,21 @@ def verified(block: pd.DataFrame, least_cosine: float, shared_pivots: int) -> pd
     unit = scaled(block["vector"].tolist())
     near = np.array(block["near"].tolist())
     best, links = np.arange(len(ids)), np.zeros(len(ids), dtype=np.int64)
+    # pivots shared are counted by products of rows that hold 1 for each pivot described by
+    numbers, place = np.unique(near, return_inverse=True)
+    holds = np.zeros((len(near), len(numbers)), dtype=np.float32)
+    holds[np.arange(len(near))[:, None], place.reshape(near.shape)] = 1
+    before = holds[:, numbers < pivot]
     first, second = [], []
-    step = max(1, 2_000_000 // max(1, len(b) * near.shape[1]))
+    step = max(1, 2_000_000 // max(1, len(b)))
     for s in range(0, len(a), step):
         rows = a[s:s + step]
-        # candidates: pivots shared, counted through a pivot's place in the other description
-        count = np.zeros((len(rows), len(b)), dtype=np.int16)
-        smallest = np.full((len(rows), len(b)), np.iinfo(np.int32).max, dtype=np.int32)
-        for k in range(near.shape[1]):
-            has = (near[rows][:, k, None, None] == near[b][None]).any(axis=2)
-            count += has
-            np.minimum(smallest, np.where(has, near[rows][:, k, None], np.iinfo(np.int32).max), out=smallest)
-        found = (count >= min(shared_pivots, near.shape[1])) & (smallest == pivot) & (unit[rows] @ unit[b].T >= least_cosine)
+        found = unit[rows] @ unit[b].T >= least_cosine
+        rows, columns = rows[found.any(axis=1)], b[found.any(axis=0)]
+        found = found[found.any(axis=1)][:, found.any(axis=0)]
+        found &= (holds[rows] @ holds[columns].T >= min(shared_pivots, near.shape[1])) & (before[rows] @ before[columns].T == 0)
         i, j = np.nonzero(found)
-        i, j = rows[i], b[j]
+        i, j = rows[i], columns[j]
         if lo == hi:
             i, j = i[i < j], j[i < j]
         first.append(i)
@@ -126,8 +146,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Vectors of one label link if they share ``shared_pivots`` of their ``prefix`` nearest pivots and their cosine, in
     double precision, is at least ``least_cosine``. Equal vectors are one class and counted, not paired. Pivots: at
-    most 1,024, else the square root of the number of classes (64 at least), so lists grow as that root. Every class
-    is indexed; a list is compared in blocks of bounded size, each of which returns a row per class, not per pair.
+    most 1,024, else the square root of the number of classes (64 at least), and none near another, so that a group of
+    near copies shares one list and its links cost the square of its distinct vectors. Every class is indexed; a list is compared in blocks of bounded size, each of which returns a row per class, not per pair.
     Vectors that are null, zero or hold null or non-finite components, and rows without label or id, link with
     nothing. Repeated rows are vectors of their own. Other dimensions than a vector's own never link with it.
     """

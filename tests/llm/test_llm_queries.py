@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -325,6 +326,20 @@ def test_pivot_recall(spark):
     assert (found <= links).all() and found.sum() >= 0.97 * links.sum() > 0
 
 
+def test_pivot_recall_in_a_large_noisy_group(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    noise = rng.normal(size=(6_667, 64))
+    x[:6_667] = x[0] + 0.1 * noise / np.sqrt((noise * noise).sum(1, keepdims=True))
+    x = x.astype(np.float32)
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    links = sum(((unit[s:s + 2_000] @ unit.T) >= 0.98).sum() for s in range(0, 20_000, 2_000)) - 20_000
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(20_000), "embedding": x.tolist()})).selectExpr("vec_id", "cast(embedding as array<float>) embedding", "0 label")
+    found = pivots.near_vectors(df).agg(F.sum("n_links")).first()[0]
+    assert 0.97 * links <= found <= links and links > 20_000_000
+
+
 def print_of(text, words=3):
     parts = text.encode().lower().split()
     if not parts:
