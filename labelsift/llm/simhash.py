@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -103,71 +105,124 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fingerprint").select("id", "fingerprint", "component_id")
 
 
-def most_bits(similarity: float, bits: int) -> int:
-    """Expected distance of two fingerprints whose shingle sets (of one size) have this share in common, and one
-    standard deviation."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + math.sqrt(bits * p * (1 - p)))
+LANES = 4  # 256 bits
+FARTHEST = 80  # differing bits; at a similarity of 0.8 the mean is 39 and the deviation 6, so this proposes generously
+SAMPLE, FREQUENT, MOST_FREQUENT = 2_000, 10, 100_000  # documents; of them, how many hold a frequent shingle; bound of what is broadcast
 
 
-LANES, SEGMENT = 4, 21  # 256 bits; three segments in each word
+@functools.lru_cache(maxsize=64)
+def shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; of fewer words, the whole sequence is the one shingle. No words: none."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.empty(0, dtype=np.uint64)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(parts[i:i + words]), SEED) for i in range(max(1, len(parts) - words + 1))], dtype=np.uint64))
+
+
+def prefix(found: np.ndarray, frequent: np.ndarray, share: Fraction) -> np.ndarray:
+    """The first hashes in one order of all, frequent ones last: of two sets that have ``share`` of their union in common, some
+    hash is in both prefixes."""
+    n = len(found)
+    late = np.isin(found, frequent)
+    return np.concatenate([found[~late], found[late]])[: n - math.ceil(share * n) + 1 if n else 0]
+
+
+def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
+    """Hashes of shingles that many documents of a sample hold; they decide the order of hashes only, never the result."""
+    sample = docs.select(F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("order")).orderBy("order").limit(SAMPLE).select("text")
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), words).view(np.int64))], names=["h"])
+
+    often = sample.mapInArrow(run, "h bigint").groupBy("h").count().where(F.col("count") >= FREQUENT)
+    got = often.orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).select("h").toArrow()
+    return np.sort(got["h"].to_numpy().astype(np.int64).view(np.uint64))
+
 
+def described(docs: DataFrame, id_col: str, text_col: str, words: int, share: Fraction) -> DataFrame:
+    """``id, text, key, n, f0.., prefix``: digest and size of the shingle set, SimHash words, prefix of the set."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(frequent_shingles(docs, id_col, text_col, words))
 
-def segment(word: str, k: int) -> F.Column:
-    return F.shiftrightunsigned(F.col(word), k * SEGMENT).bitwiseAND(F.lit((1 << SEGMENT) - 1))
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = [t.as_py() for t in part.column(1)]
+                sets = [shingles(t, words) for t in texts]
+                prints = np.array([fingerprint(t, words, LANES) for t in texts], dtype=np.uint64).reshape(-1, LANES)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()),
+                     *[pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(LANES)],
+                     pa.array([prefix(x, shared.value, share).view(np.int64) for x in sets], pa.list_(pa.int64()))],
+                    names=["id", "text", "key", "n", *(f"f{k}" for k in range(LANES)), "prefix"])
 
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        run, ", ".join([f"id {kind}, text string, key binary, n bigint", *(f"f{k} bigint" for k in range(LANES)), "prefix array<bigint>"]))
 
-def cells(prints: DataFrame, radius: int) -> DataFrame:
-    """``fingerprint, cell``: every segment's value, or with ``radius`` 1 the Hamming ball around it."""
-    words = ["fingerprint", *(f"f{k}" for k in range(1, LANES))]
-    values = [(i * (BITS // SEGMENT) + k << SEGMENT, segment(w, k)) for i, w in enumerate(words) for k in range(BITS // SEGMENT)]
-    flips = [0, *((1 << b) for b in range(SEGMENT))] if radius else [0]
-    points = [v.bitwiseXOR(F.lit(f).cast("bigint")) + F.lit(base) for base, v in values for f in flips]
-    return prints.select("fingerprint", F.explode(F.array(*points)).alias("cell"))
 
+def verified(prints: DataFrame, proposed: DataFrame, words: int, share: Fraction) -> DataFrame:
+    """Those of the pairs ``a, b`` of rows whose shingle sets have ``share`` of their union in common. Sizes and bit distances
+    leave out what is far off before texts are moved."""
+    side = lambda s, *c: prints.select(*[F.col(x).alias(f"{s}_{x}") for x in ("row", *c)])
+    cheap = ["n", *(f"f{k}" for k in range(LANES))]
+    both = proposed.join(side("a", *cheap), F.col("a") == F.col("a_row")).join(side("b", *cheap), F.col("b") == F.col("b_row"))
+    distance = sum((F.bit_count(F.col(f"a_f{k}").bitwiseXOR(F.col(f"b_f{k}"))) for k in range(LANES)), F.lit(0))
+    sizes = F.least("a_n", "b_n") * share.denominator >= F.greatest("a_n", "b_n") * share.numerator
+    near = scratch.write(both.where(sizes & (distance <= FARTHEST)).select("a", "b"))
+    texts = near.join(side("a", "text"), F.col("a") == F.col("a_row")).join(side("b", "text"), F.col("b") == F.col("b_row"))
 
-def verified(prints: DataFrame, candidates: DataFrame, bits: int) -> DataFrame:
-    """Those of the candidates ``a, b`` whose complete fingerprints differ in at most ``bits`` bits."""
-    other = lambda side: prints.select(*[F.col(c).alias(f"{side}_{c}") for c in prints.columns])
-    words = ["fingerprint", *(f"f{k}" for k in range(1, LANES))]
-    both = candidates.join(other("a"), F.col("a") == F.col("a_fingerprint")).join(other("b"), F.col("b") == F.col("b_fingerprint"))
-    distance = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
-    return both.where(distance <= bits).select("a", "b")
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = shingles(x.as_py(), words), shingles(y.as_py(), words)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append(common * share.denominator >= (len(x) + len(y) - common) * share.numerator)
+            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
+
+    return scratch.write(texts.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint"))
+
+
+def rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the ``root`` of their ``row``."""
+    return rows.join(components(links).withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``id, component_id``: documents linked where 256-bit SimHashes of their ``words``-word shingles are as near as texts
-    with ``similarity`` of their shingles in common; a component is named by its smallest id.
-
-    Multi-index hashing over twelve segments of 21 bits: the Hamming ball of radius 1 of each segment is looked up among
-    the segments of all others, and complete distances are verified. Before that, fingerprints with an equal segment are
-    linked to the smallest such one if that is near, twice over, and each group goes on as one, so that a large group of
-    near copies yields no pairs. Texts whose first 64 bits are equal are one from the start. A link counts if both texts
-    share a segment but for one bit; at the similarity asked for about 85 % do, at 0.9 over 99 %.
-    Nulls and repeated rows as in ``near_duplicates``.
+    """``id, component_id``: documents linked where their sets of ``words``-word shingles (64-bit hashes) have ``similarity``
+    of their union in common; a component is named by its smallest id.
+
+    Two such sets share a hash within the first ``1 - similarity`` of each in any one order, so every pair meets in a
+    cell of these prefixes. Cells first link to their smallest and largest member; then every member, whatever it is linked
+    with already, is compared with the members of other components in its cells, so that a large group of near copies
+    yields no pairs of its own. Each link is verified by the sets themselves; 256-bit SimHashes only leave out pairs that
+    are far off. Equal sets are one from the start. Nulls and repeated rows as in ``near_duplicates``.
     """
-    prints = scratch.write(fingerprints(docs, id_col, text_col, words, LANES))
-    bits, first_bits = most_bits(similarity, BITS * LANES), most_bits(similarity, BITS) + 8  # of one word: far above the mean
-    words_of = [F.min(f"f{k}").alias(f"f{k}") for k in range(1, LANES)]
-    distinct = scratch.write(prints.groupBy("fingerprint").agg(*words_of, F.min("id").alias("least")))
-    left, links = distinct.drop("least"), None
-    near = lambda c: F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= c
-    for _ in range(2):
-        at = cells(left, 0)
-        least = at.groupBy("cell").agg(F.min("fingerprint").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-        star = at.join(least, "cell").select(F.col("fingerprint").alias("a"), "b").where("a != b").where(near(first_bits)).distinct()
-        found = scratch.write(verified(left, star, bits))
-        links = found if links is None else links.unionByName(found)
-        roots = components(found)
-        left = scratch.write(left.join(roots, left["fingerprint"] == roots["node"], "left_anti"))
-    probes, table = cells(left, 1).withColumnRenamed("fingerprint", "a"), cells(left, 0).withColumnRenamed("fingerprint", "b")
-    met = probes.join(table.hint("shuffle_hash"), "cell").where("a < b").where(near(first_bits)).select("a", "b").distinct()
-    links = links.unionByName(verified(left, met, bits))
-    roots = components(links).withColumnRenamed("node", "fingerprint")
-    rooted = distinct.join(roots, "fingerprint", "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    rooted = scratch.write(rooted)
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.join(names, "root").select("fingerprint", "component_id"), "fingerprint").select("id", "component_id")
+    ship_package(docs.sparkSession)
+    share = Fraction(str(similarity))
+    prints = scratch.write(described(docs, id_col, text_col, words, share).withColumn("row", F.monotonically_increasing_id()))
+    classes = scratch.write(prints.groupBy("key").agg(F.min("row").alias("row"), F.min("id").alias("least")))
+    cell = prints.join(classes.select("row"), "row").select("row", F.explode("prefix").alias("cell"))
+    at = Window.partitionBy("cell")
+    met = scratch.write(cell.withColumns({"first": F.min("row").over(at), "last": F.max("row").over(at)}).where("first != last"))
+    star = met.select(F.col("row").alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a != b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = verified(prints, star, words, share)
+    mixed = rooted(met.select("row", "cell"), links)
+    groups = mixed.groupBy("cell", "root").agg(F.count("*").alias("n"))
+    groups = groups.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = scratch.write(mixed.join(groups.select("cell", F.col("top.root").alias("top")), "cell"))
+    few = mixed.where("root != top").select("cell", F.col("row").alias("a"), F.col("root").alias("a_root"))
+    every = mixed.select("cell", F.col("row").alias("b"), F.col("root").alias("b_root"))
+    pairs = few.join(every, "cell").where("a_root != b_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = links.unionByName(verified(prints, pairs.join(star, ["a", "b"], "left_anti"), words, share))
+    found = scratch.write(rooted(classes, links))
+    names = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.select("id", "key").join(found.join(names, "root").select("key", "component_id"), "key").select("id", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -420,6 +420,45 @@ def test_similar_documents_find_near_copies_and_leave_others(spark):
     assert all(got[i] == i for i, _ in half)
 
 
+def overlapping(rng, n, share):
+    """Two texts with ``share`` of their five-word shingles in common: a common run, then words of their own."""
+    common = round(2 * n * share / (1 + share))
+    words = lambda k: ["w%d" % x for x in rng.integers(0, 2**40, k)]
+    run = words(common + 4)
+    return " ".join(run + words(n - common)), " ".join(run + words(n - common))
+
+
+def test_similar_documents_link_by_the_exact_similarity(spark):
+    rng = np.random.default_rng(9)
+    rows, near = [], {}
+    for share in (0.7, 0.75, 0.79, 0.8, 0.85):
+        for _ in range(60):
+            a, b = overlapping(rng, 360, share)
+            near[len(rows)] = jaccard(a, b) >= 0.8
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    got = {r["id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(near.values()) >= 120 and all((got[i + 1] == i) == linked for i, linked in near.items()) and all(got[i] == i for i in near)
+
+
+def test_a_text_near_one_member_only_joins_its_group(spark):
+    rng = np.random.default_rng(10)
+    word = lambda k: ["w%d" % x for x in rng.integers(0, 2**40, k)]
+    rows = []
+    for g in range(40):
+        base = word(304)
+        copies = [base]
+        for _ in range(20):
+            copies.append(list(base))
+            for at in rng.choice(np.arange(5, 295, 10), 3, replace=False):
+                copies[-1][at] = word(1)[0]
+        # a new end on the last copy: 0.82 to it, less to the base
+        copies.append(copies[-1][:274] + word(30))
+        rows += [(100 * g + k, " ".join(c)) for k, c in enumerate(copies)]
+        assert jaccard(rows[-1][1], rows[-2][1]) >= 0.8 > jaccard(rows[-1][1], " ".join(base))
+    got = {r["id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[i] == i - i % 100 for i, _ in rows)
+
+
 def test_quality_on_held_out_ratings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     rated = quality.grades(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
