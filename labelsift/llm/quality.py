@@ -18,7 +18,8 @@ from labelsift.session import ship_package
 BUCKETS = 1 << 18
 CACHED = 200_000
 WORD_SCALE = 0.25
-LONGEST_WORD = 64  # longer words are hashed by their shape only
+LONGEST_WORD = 64  # longer words are hashed by the shape of their beginning and by all their pieces
+PIECE, STRETCH = 4, 1 << 16  # characters of a piece; of what is cut at a time
 RUNS = re.compile(r"(.)\1+", re.DOTALL)
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 LOWER, UPPER, DIGIT = re.compile(r"[^\W\d_A-Z]"), re.compile(r"[A-Z]"), re.compile(r"\d")
@@ -38,6 +39,18 @@ def features_of(word: str) -> int:
     return bucket("w", bare) << 40 | bucket("p", bare[:STEM]) << 20 | bucket("s", shape)
 
 
+def pieces_of(long_words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts of all overlapping pieces of words (with their counts) that are too long to be hashed whole, such
+    as text without white space."""
+    counts: Counter = Counter()
+    for word, times in long_words.items():
+        for lo in range(0, len(word) - PIECE + 1, STRETCH):
+            part = word[lo:lo + STRETCH + PIECE - 1].lower()
+            for piece, n in Counter(part[i:i + PIECE] for i in range(len(part) - PIECE + 1)).items():
+                counts[xxhash.xxh32_intdigest(("c" + piece).encode("utf-8", "surrogatepass")) % (BUCKETS - SHARES)] += n * times
+    return np.fromiter(counts, dtype=np.int64, count=len(counts)), np.fromiter(counts.values(), dtype=np.float64, count=len(counts))
+
+
 class Words(dict):
     """Buckets by word; bounded."""
 
@@ -49,7 +62,8 @@ class Words(dict):
 
 
 def vector(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values of a whole text. Words and stems count by 1 + ln(count), shapes by their share of all words, and the
+    """Buckets and values of a whole text. Words, stems and the pieces of long words count by
+    1 + ln(count), shapes by their share of all words, and the
     share of repeated words falls into one of ten buckets. No words: empty."""
     seen = Counter((text or "").split())
     if not seen:
@@ -58,11 +72,12 @@ def vector(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray]:
     count = np.fromiter(seen.values(), dtype=np.float64, count=len(seen))
     total = count.sum()
     mask = (1 << 20) - 1
-    bare, where = np.unique(np.concatenate([both >> 40, both >> 20 & mask]), return_inverse=True)
+    piece, times = pieces_of({w: n for w, n in seen.items() if len(w) > LONGEST_WORD})
+    bare, where = np.unique(np.concatenate([both >> 40, both >> 20 & mask, piece]), return_inverse=True)
     shape, there = np.unique(both & mask, return_inverse=True)
     repeated = BUCKETS - SHARES + int(10 * (1 - len(seen) / (total + 1)))
     at = np.concatenate([bare, shape, [repeated]])
-    value = np.concatenate([(1 + np.log(np.bincount(where, weights=np.concatenate([count, count])))) * WORD_SCALE,
+    value = np.concatenate([(1 + np.log(np.bincount(where, weights=np.concatenate([count, count, times])))) * WORD_SCALE,
                             np.bincount(there, weights=count) / total, [1.0]])
     return at, value
 

@@ -470,6 +470,17 @@ def test_quality_on_held_out_ratings(spark):
     assert (rows["expected_grade"].between(0, 2)).all() and (rows["tail_probability"] <= rows["expected_grade"]).all()
 
 
+def test_quality_tells_texts_without_white_space_apart():
+    rng = np.random.default_rng(11)
+    letters = [[chr(0x4E00 + k) for k in range(lo, lo + 12)] for lo in (0, 12)]
+    text = lambda g: "\u4e00" * 64 + "".join(rng.choice(letters[g], 400))
+    grade = np.array([k % 2 for k in range(400)])
+    rows = [quality.vector(text(g), quality.Words()) for g in grade]
+    model = quality.fit(rows[:300], grade[:300], 2)
+    scores = np.array([model.above(model.score(*r))[0] for r in rows[300:]])
+    assert ((scores > 0.5) == (grade[300:] == 1)).mean() > 0.95
+
+
 def test_quality_without_contrast_keeps_everything(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     rated = spark.createDataFrame([(1, 2), (2, 2)], "doc_id bigint, grade int")
