@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsift.llm import fingerprint, line_dedup, mixing, packing, pii, pivots, quality, simhash, substrings, token_counts
+from labelsift.llm import fingerprint, line_dedup, merkle, mixing, packing, pii, pivots, quality, simhash, substrings, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -74,6 +74,13 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    found = merkle.documents_manifest(table(spark, folder, "documents"))
+    found = found.select("id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+                         merkle.folded(F.col("claimed"), F.col("proof")).alias("folded_root"))
+    return found.withColumnRenamed("id", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,5 +88,5 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_substrings, op3_mixing, op4_pii, op5_fingerprint, op6_token_counts, op7_pivots, op8_line_dedup, op9_quality, op10_simhash, pipeline)
+    f.__name__: f for f in (op1_packing, op2_substrings, op3_mixing, op4_pii, op5_fingerprint, op6_token_counts, op7_pivots, op8_line_dedup, op9_quality, op10_simhash, op11_merkle, pipeline)
 }

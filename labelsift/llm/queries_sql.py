@@ -44,4 +44,48 @@ SELECT l.doc_id, CAST(coalesce(len(l.a), 0) AS BIGINT) AS n_lines, CAST(coalesce
 FROM l LEFT JOIN kept ON l.doc_id = kept.doc_id
 """
 
-SQL: dict[str, str] = {"op3_mixing": OP3, "op8_line_dedup": OP8}
+OP11_LEVELS = 7  # levels of each kind of tree that are written out: 16**7 nodes
+
+
+def merkle_levels(name: str) -> str:
+    """Common table expressions ``<name>1`` and so on above ``<name>0 (g, pos, n, node)``, and their runs of 16."""
+    return "".join(f"""
+{name}r{k} AS (SELECT g, pos // 16 AS pos, n, string_agg(node, '' ORDER BY pos) AS run FROM {name}{k} GROUP BY ALL),
+{name}{k + 1} AS (SELECT g, pos, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(run) ELSE run END AS node FROM {name}r{k}),"""
+                   for k in range(OP11_LEVELS))
+
+
+def merkle_siblings(name: str) -> str:
+    """Common table expressions ``<name>p1`` and so on: the proof and the folded node of every row of ``<name>p0``."""
+    return "".join(f"""
+{name}p{k + 1} AS (SELECT p.* EXCLUDE (proof, fold, place), p.place // 16 AS place,
+  CASE WHEN r.n > 1 THEN proof || run[1:(p.place % 16) * 64] || run[(p.place % 16) * 64 + 65:] ELSE proof END AS proof,
+  CASE WHEN r.n > 1 THEN sha256(run[1:(p.place % 16) * 64] || fold || run[(p.place % 16) * 64 + 65:]) ELSE fold END AS fold
+  FROM {name}p{k} p JOIN {name}r{k} r ON p.g = r.g AND p.place // 16 = r.pos),""" for k in range(OP11_LEVELS))
+
+
+def merkle_value(c: str) -> str:
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+OP11 = f"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (SELECT doc_id, source, sha256({" || ".join(merkle_value(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) AS leaf,
+  sha256({" || ".join(merkle_value(c) for c in ("doc_id", "source", "lang", "n_chars"))} || {merkle_value("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS changed,
+  xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) AS crc32
+  FROM documents, crc),
+names AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS g FROM (SELECT DISTINCT source FROM documents)),
+x AS (SELECT d.*, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n
+  FROM d JOIN names ON d.source IS NOT DISTINCT FROM names.source),
+a0 AS (SELECT g, pos, n, leaf AS node FROM x),{merkle_levels("a")}
+b0 AS (SELECT 0 AS g, g AS pos, count(*) OVER () AS n, node FROM a{OP11_LEVELS}),{merkle_levels("b")}
+ap0 AS (SELECT doc_id, leaf, g, pos AS place, '' AS proof, CASE WHEN crc32 % 5 = 0 THEN changed ELSE leaf END AS fold FROM x),{merkle_siblings("a")}
+bp0 AS (SELECT doc_id, leaf, a.node AS subroot, 0 AS g, p.g AS place, proof, fold FROM ap{OP11_LEVELS} p JOIN a{OP11_LEVELS} a ON p.g = a.g),{merkle_siblings("b")}
+root AS (SELECT node AS root FROM b{OP11_LEVELS})
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified
+FROM bp{OP11_LEVELS}, root
+"""
+
+SQL: dict[str, str] = {"op3_mixing": OP3, "op8_line_dedup": OP8, "op11_merkle": OP11}
