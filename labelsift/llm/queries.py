@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsift.llm import fingerprint, line_dedup, merkle, mixing, packing, pii, pivots, quality, simhash, substrings, token_counts
+from labelsift.llm import fingerprint, hard_negatives, line_dedup, merkle, mixing, multiprobe, packing, pii, pivots, quality, simhash, substrings, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -81,6 +81,15 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_multiprobe(spark: SparkSession, folder: str) -> DataFrame:
+    return multiprobe.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,5 +97,5 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_substrings, op3_mixing, op4_pii, op5_fingerprint, op6_token_counts, op7_pivots, op8_line_dedup, op9_quality, op10_simhash, op11_merkle, pipeline)
+    f.__name__: f for f in (op1_packing, op2_substrings, op3_mixing, op4_pii, op5_fingerprint, op6_token_counts, op7_pivots, op8_line_dedup, op9_quality, op10_simhash, op11_merkle, op12_multiprobe, op13_hard_negatives, pipeline)
 }
