@@ -29,8 +29,9 @@ def repeated_positions(found: DataFrame) -> DataFrame:
     return later.groupBy("id").agg(F.collect_set("pos").alias("starts"))
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``text_col`` rid of later occurrences, and ``n_lines`` and ``n_removed`` (which replace such columns).
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with ``text_col`` rid of later occurrences, and ``n_lines`` and ``n_removed`` (or what ``counts`` calls them),
+    which replace columns of those names.
 
     A window of three lines that occurs anywhere before (smaller id, or the same id and a smaller position) covers its
     lines; covered lines go, overlapping windows merge. Of every line removed an equal one stays earlier. Lines end at
@@ -48,5 +49,5 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     out = out.withColumn("kept", F.when(F.col("starts").isNotNull() & F.col("text").isNotNull(), kept))
     text = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join(F.transform("kept", lambda i: F.get("lines", i)), "\n"))
     gone = F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size("kept")).cast("bigint")
-    columns = [text.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*columns, n_lines.alias("n_lines"), gone.alias("n_removed"))
+    columns = [text.alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns if c not in counts]
+    return out.select(*columns, n_lines.alias(counts[0]), gone.alias(counts[1]))

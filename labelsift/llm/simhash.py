@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-import math
-from fractions import Fraction
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from labelsift.llm import scratch
 from labelsift.llm.components import components
@@ -21,71 +16,93 @@ from labelsift.session import ship_package
 BITS = 64
 SEED = 42
 BATCH_SHINGLES = 1 << 16
-REMIX = np.uint64(0x9FB21C651E98DF25)
+HALF = BITS // 2  # bits of a segment
+RADIUS = 1  # of the ball around a segment: of 2 differing bits, one of the two segments has 1 at most
+OFTEN = 64  # fingerprints with the same segment that one table entry lists
 
 
-def fingerprint(text: str | None, words: int, lanes: int = 1) -> list[int]:
-    """Unsigned 64-bit SimHash words of a whole text: a bit is 1 if it is set in over half the shingles' hashes. The first
-    word takes XXH64; each further one remixes the word before."""
+def fingerprint(text: str | None, words: int) -> int:
+    """Unsigned 64-bit SimHash of a whole text: a bit is 1 if it is set in over half the shingles' hashes."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return [0] * lanes
+        return 0
     joined = b" ".join(parts)
     n = max(1, len(parts) - words + 1)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[min(words, len(parts)) - 1:].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros((lanes, BITS), dtype=np.int64)
+    digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, dtype=np.int64)
     for lo in range(0, n, BATCH_SHINGLES):
         h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[lo:lo + BATCH_SHINGLES], stops[lo:lo + BATCH_SHINGLES])],
                      dtype="<u8")
-        for lane in range(lanes):
-            counts[lane] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            h = (h ^ (h >> np.uint64(31))) * REMIX
-            h ^= h >> np.uint64(29)
-    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<u8").ravel().tolist()
+        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, lanes: int = 1) -> DataFrame:
-    """``id, fingerprint`` (a signed BIGINT with the 64 bits), one row per row of ``docs``; with more ``lanes`` also the
-    further words of a longer fingerprint, ``f1``, ``f2`` and so on.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """``id, fingerprint`` (a signed BIGINT with the 64 bits), one row per row of ``docs``.
 
     A-Z are lower-cased; words are runs without ASCII white space; shingles are ``words`` words joined by one
     space, repeats included. Fewer words: the whole sequence is the one shingle. None, or a null text: zero.
     """
     ship_package(docs.sparkSession)
-    names = ["fingerprint", *(f"f{k}" for k in range(1, lanes))]
 
     def run(batches):
         for batch in batches:
-            values = np.array([fingerprint(t.as_py(), words, lanes) for t in batch.column(1)], dtype=np.uint64).reshape(-1, lanes)
-            columns = [pa.array(np.ascontiguousarray(values[:, k]).view(np.int64)) for k in range(lanes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", *names])
+            values = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["id", "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, ", ".join([f"id {kind}", *(f"{n} bigint" for n in names)]))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fingerprint bigint")
+
+
+def segments(fp: Column) -> list[Column]:
+    """The two halves of a fingerprint, low one first, as numbers of 32 bits."""
+    low = (1 << HALF) - 1
+    return [fp.bitwiseAND(F.lit(low)), F.shiftrightunsigned(fp, HALF)]
 
 
-def ball(fp: str, segments: int = 4) -> F.Column:
-    """The fingerprint and every point one bit away from it, segment by segment."""
-    width = BITS // segments
-    bit = lambda b: (1 << b) - ((1 << BITS) if b == BITS - 1 else 0)  # noqa: E731  as a signed number
-    return F.array(F.col(fp), *[F.col(fp).bitwiseXOR(F.lit(bit(s * width + k)).cast("bigint")) for s in range(segments) for k in range(width)])
+def ball(value: Column, upwards: bool) -> list[Column]:
+    """The points one bit away from a segment; ``upwards`` only those with a bit more, null in place of the others. Of two
+    segments one bit apart exactly one looks upwards to the other."""
+    points = [value.bitwiseXOR(F.lit(1 << b)) for b in range(HALF)]
+    return [F.when(value.bitwiseAND(F.lit(1 << b)) == 0, p) for b, p in enumerate(points)] if upwards else points
 
 
-def near_links(fps: DataFrame, fp: str = "fingerprint", segments: int = 4) -> DataFrame:
+def near_links(fps: DataFrame, fp: str = "fingerprint") -> DataFrame:
     """Links ``a, b`` that connect all distinct fingerprints with 2 or fewer differing bits.
 
-    Every fingerprint looks up the Hamming ball of radius 1 of each of its segments, the other segments being part
-    of the table key, so a frequent segment value gathers no rows. Two fingerprints at distance 2 meet in the ball
-    point between them, at distance 1 in either of them. At most 65 fingerprints fit one table cell; each is linked
-    to the cell's smallest, and the complete distance is verified. 65 rows per distinct fingerprint, never pairs.
+    There is a table for each of the two 32-bit segments; an entry lists the fingerprints with that segment. Two
+    fingerprints at distance 2 have a segment that differs in ``RADIUS`` bits at most, so each looks up the ball of that radius
+    around both of its segments (17 points on average, as of two neighbours the one with the lower bit looks) and the complete
+    distance to what it fetches is verified.
+
+    An entry of more than ``OFTEN`` fingerprints, as in a large group of near copies, is split by the other segment: the
+    fingerprints in it are keyed by the points of the ball around their other segment, those that look in from a neighbouring point by
+    that segment itself. Whatever meets under such a key differs in 2 bits at most, so each is linked to the smallest there.
+    Rows are linear in the fingerprints, products within an entry are bounded, and the components are those of all pairs.
     """
-    cells = fps.select(fp).distinct().select(fp, F.explode(ball(fp, segments)).alias("cell"))
-    lowest = F.min(fp).over(Window.partitionBy("cell"))
-    met = cells.select(F.col(fp).alias("a"), lowest.alias("b")).where("a != b")
-    return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
+    distinct = fps.select(F.col(fp).alias("fp")).distinct()
+    halves = segments(F.col("fp"))
+    entries = [F.struct(F.lit(k).alias("segment"), halves[k].alias("value")) for k in (0, 1)]
+    table = distinct.select("fp", F.inline(F.array(*entries)))
+    sizes = table.groupBy("segment", "value").agg(F.count("*").alias("n"))
+    listed = table.join(sizes, ["segment", "value"])
+    few = listed.where(F.col("n") <= OFTEN).groupBy("segment", "value").agg(F.collect_list("fp").alias("members"))
+    many = sizes.where(F.col("n") > OFTEN).select("segment", "value", F.lit(None).cast("array<bigint>").alias("members"))
+    looks = [F.struct(F.lit(k).alias("segment"), v.alias("value"), F.lit(d).alias("moved"))
+             for k in (0, 1) for d, points in ((0, [halves[k]]), (RADIUS, ball(halves[k], upwards=True))) for v in points]
+    looks = distinct.select("fp", F.inline(F.filter(F.array(*looks), lambda x: x["value"].isNotNull())))
+    met = scratch.write(looks.join(few.unionByName(many), ["segment", "value"]).where("members IS NULL OR moved > 0 OR size(members) > 1"))
+    near = F.filter("members", lambda m: (m != F.col("fp")) & (F.bit_count(m.bitwiseXOR(F.col("fp"))) <= 2))
+    links = met.where("members IS NOT NULL").select(F.col("fp").alias("a"), F.explode(near).alias("b"))
+    other = F.when(F.col("segment") == 0, halves[1]).otherwise(halves[0])
+    points = F.when(F.col("moved") == 0, F.array(other, *ball(other, upwards=False))).otherwise(F.array(other))
+    inside = met.where("members IS NULL").select("segment", "value", "moved", "fp", F.explode(points).alias("point"))
+    keys = ["segment", "value", "point"]
+    least = inside.where("moved = 0").groupBy(*keys).agg(F.min("fp").alias("b"))
+    shared = inside.join(least, keys).where("fp != b").select(F.col("fp").alias("a"), "b")
+    return links.unionByName(shared).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -105,130 +122,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fingerprint").select("id", "fingerprint", "component_id")
 
 
-LANES = 4  # 256 bits
-FARTHEST = 80  # differing bits; at a similarity of 0.8 the mean is 39 and the deviation 6, so this proposes generously
-SAMPLE, FREQUENT, MOST_FREQUENT = 2_000, 10, 100_000  # documents; of them, how many hold a frequent shingle; bound of what is broadcast
-
-
-@functools.lru_cache(maxsize=64)
-def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; of fewer words, the whole sequence is the one shingle. No words: none."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.empty(0, dtype=np.uint64)
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(parts[i:i + words]), SEED) for i in range(max(1, len(parts) - words + 1))], dtype=np.uint64))
-
-
-def prefix(found: np.ndarray, frequent: np.ndarray, share: Fraction) -> np.ndarray:
-    """The first hashes in one order of all, frequent ones last: of two sets that have ``share`` of their union in common, some
-    hash is in both prefixes."""
-    n = len(found)
-    late = np.isin(found, frequent)
-    return np.concatenate([found[~late], found[late]])[: n - math.ceil(share * n) + 1 if n else 0]
-
-
-def frequent_shingles(docs: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
-    """Hashes of shingles that many documents of a sample hold; they decide the order of hashes only, never the result."""
-    sample = docs.select(F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("order")).orderBy("order").limit(SAMPLE).select("text")
-
-    def run(batches):
-        for batch in batches:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py(), words).view(np.int64))], names=["h"])
-
-    often = sample.mapInArrow(run, "h bigint").groupBy("h").count().where(F.col("count") >= FREQUENT)
-    got = often.orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).select("h").toArrow()
-    return np.sort(got["h"].to_numpy().astype(np.int64).view(np.uint64))
-
-
-def described(docs: DataFrame, id_col: str, text_col: str, words: int, share: Fraction) -> DataFrame:
-    """``id, text, key, n, f0.., prefix``: digest and size of the shingle set, SimHash words, prefix of the set."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(frequent_shingles(docs, id_col, text_col, words))
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [t.as_py() for t in part.column(1)]
-                sets = [shingles(t, words) for t in texts]
-                prints = np.array([fingerprint(t, words, LANES) for t in texts], dtype=np.uint64).reshape(-1, LANES)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()),
-                     *[pa.array(np.ascontiguousarray(prints[:, k]).view(np.int64)) for k in range(LANES)],
-                     pa.array([prefix(x, shared.value, share).view(np.int64) for x in sets], pa.list_(pa.int64()))],
-                    names=["id", "text", "key", "n", *(f"f{k}" for k in range(LANES)), "prefix"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, ", ".join([f"id {kind}, text string, key binary, n bigint", *(f"f{k} bigint" for k in range(LANES)), "prefix array<bigint>"]))
-
-
-def verified(prints: DataFrame, proposed: DataFrame, words: int, share: Fraction) -> DataFrame:
-    """Those of the pairs ``a, b`` of rows whose shingle sets have ``share`` of their union in common. Sizes and bit distances
-    leave out what is far off before texts are moved."""
-    side = lambda s, *c: prints.select(*[F.col(x).alias(f"{s}_{x}") for x in ("row", *c)])
-    cheap = ["n", *(f"f{k}" for k in range(LANES))]
-    both = proposed.join(side("a", *cheap), F.col("a") == F.col("a_row")).join(side("b", *cheap), F.col("b") == F.col("b_row"))
-    distance = sum((F.bit_count(F.col(f"a_f{k}").bitwiseXOR(F.col(f"b_f{k}"))) for k in range(LANES)), F.lit(0))
-    sizes = F.least("a_n", "b_n") * share.denominator >= F.greatest("a_n", "b_n") * share.numerator
-    near = scratch.write(both.where(sizes & (distance <= FARTHEST)).select("a", "b"))
-    texts = near.join(side("a", "text"), F.col("a") == F.col("a_row")).join(side("b", "text"), F.col("b") == F.col("b_row"))
-
-    def run(batches):
-        for batch in batches:
-            kept = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = shingles(x.as_py(), words), shingles(y.as_py(), words)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(common * share.denominator >= (len(x) + len(y) - common) * share.numerator)
-            yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
-
-    return scratch.write(texts.select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint"))
-
-
-def rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with the ``root`` of their ``row``."""
-    return rows.join(components(links).withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``id, component_id``: documents linked where their sets of ``words``-word shingles (64-bit hashes) have ``similarity``
-    of their union in common; a component is named by its smallest id.
-
-    Two such sets share a hash within the first ``1 - similarity`` of each in any one order, so every pair meets in a
-    cell of these prefixes. Cells first link to their smallest and largest member; then every member, whatever it is linked
-    with already, is compared with the members of other components in its cells, so that a large group of near copies
-    yields no pairs of its own. Each link is verified by the sets themselves; 256-bit SimHashes only leave out pairs that
-    are far off. Equal sets are one from the start. Nulls and repeated rows as in ``near_duplicates``.
-    """
-    ship_package(docs.sparkSession)
-    share = Fraction(str(similarity))
-    prints = scratch.write(described(docs, id_col, text_col, words, share).withColumn("row", F.monotonically_increasing_id()))
-    classes = scratch.write(prints.groupBy("key").agg(F.min("row").alias("row"), F.min("id").alias("least")))
-    cell = prints.join(classes.select("row"), "row").select("row", F.explode("prefix").alias("cell"))
-    at = Window.partitionBy("cell")
-    met = scratch.write(cell.withColumns({"first": F.min("row").over(at), "last": F.max("row").over(at)}).where("first != last"))
-    star = met.select(F.col("row").alias("a"), F.explode(F.array("first", "last")).alias("b")).where("a != b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = verified(prints, star, words, share)
-    mixed = rooted(met.select("row", "cell"), links)
-    groups = mixed.groupBy("cell", "root").agg(F.count("*").alias("n"))
-    groups = groups.groupBy("cell").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
-    mixed = scratch.write(mixed.join(groups.select("cell", F.col("top.root").alias("top")), "cell"))
-    few = mixed.where("root != top").select("cell", F.col("row").alias("a"), F.col("root").alias("a_root"))
-    every = mixed.select("cell", F.col("row").alias("b"), F.col("root").alias("b_root"))
-    pairs = few.join(every, "cell").where("a_root != b_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(verified(prints, pairs.join(star, ["a", "b"], "left_anti"), words, share))
-    found = scratch.write(rooted(classes, links))
-    names = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("id", "key").join(found.join(names, "root").select("key", "component_id"), "key").select("id", "component_id")
-
-
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` rid of every row whose group (of ``similar_documents``) has a smaller id than its own, or an id where it has
-    none. Rows that share their group's smallest id all stay, as do groups without any id."""
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """``docs`` rid of every row whose group (of ``near_duplicates``) has a smaller id than its own, or an id where it has
+    none. Rows that share their group's smallest id all stay, as do groups without any id. Columns of any name pass through."""
     own = unused(docs, "_id")
-    found = similar_documents(docs, id_col, text_col, words, similarity)
+    found = near_duplicates(docs, id_col, text_col, words)
     gone = found.where("id != component_id OR (id IS NULL AND component_id IS NOT NULL)").select(F.col("id").alias(own)).distinct()
     return docs.join(gone, F.col(id_col).eqNullSafe(F.col(own)), "left_anti")

@@ -402,61 +402,23 @@ def jaccard(a, b, k=5):
     return len(x & y) / len(x | y)
 
 
-def test_similar_documents_find_near_copies_and_leave_others(spark):
-    rng = np.random.default_rng(7)
-    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(4_000)]
-    rows, pairs = [], []
-    for i in range(150):
-        text = rng.choice(words, 400).tolist()
-        copy = list(text)
-        for at in rng.choice(400, 3, replace=False):
-            copy[at] = "edited"
-        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
-        pairs.append((2 * i, 2 * i + 1))
-    half = [(1000 + i, " ".join(rows[2 * i][1].split()[:200] + rng.choice(words, 200).tolist())) for i in range(50)]
-    got = {r["id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows + half, "doc_id bigint, text string")).collect()}
-    assert min(jaccard(rows[a][1], rows[b][1]) for a, b in pairs) > 0.9
-    assert sum(got[b] == a for a, b in pairs) >= 0.98 * len(pairs)
-    assert all(got[i] == i for i, _ in half)
-
-
-def overlapping(rng, n, share):
-    """Two texts with ``share`` of their five-word shingles in common: a common run, then words of their own."""
-    common = round(2 * n * share / (1 + share))
-    words = lambda k: ["w%d" % x for x in rng.integers(0, 2**40, k)]
-    run = words(common + 4)
-    return " ".join(run + words(n - common)), " ".join(run + words(n - common))
-
-
-def test_similar_documents_link_by_the_exact_similarity(spark):
-    rng = np.random.default_rng(9)
-    rows, near = [], {}
-    for share in (0.7, 0.75, 0.79, 0.8, 0.85):
-        for _ in range(60):
-            a, b = overlapping(rng, 360, share)
-            near[len(rows)] = jaccard(a, b) >= 0.8
-            rows += [(len(rows), a), (len(rows) + 1, b)]
-    got = {r["id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert sum(near.values()) >= 120 and all((got[i + 1] == i) == linked for i, linked in near.items()) and all(got[i] == i for i in near)
-
-
-def test_a_text_near_one_member_only_joins_its_group(spark):
-    rng = np.random.default_rng(10)
-    word = lambda k: ["w%d" % x for x in rng.integers(0, 2**40, k)]
-    rows = []
-    for g in range(40):
-        base = word(304)
-        copies = [base]
-        for _ in range(20):
-            copies.append(list(base))
-            for at in rng.choice(np.arange(5, 295, 10), 3, replace=False):
-                copies[-1][at] = word(1)[0]
-        # a new end on the last copy: 0.82 to it, less to the base
-        copies.append(copies[-1][:274] + word(30))
-        rows += [(100 * g + k, " ".join(c)) for k, c in enumerate(copies)]
-        assert jaccard(rows[-1][1], rows[-2][1]) >= 0.8 > jaccard(rows[-1][1], " ".join(base))
-    got = {r["id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert all(got[i] == i - i % 100 for i, _ in rows)
+def test_one_segment_of_many_fingerprints(spark):
+    """More fingerprints than an entry lists share a segment; links cross into it from neighbouring segments."""
+    rng = np.random.default_rng(12)
+    points = set()
+    for high in (0, 5, 1 << 31):
+        for low in rng.integers(0, 2**32, 30):
+            for _ in range(12):
+                bits = rng.choice(32, rng.integers(0, 4), replace=False)
+                points.add(high << 32 | int(low) ^ sum(1 << int(b) for b in bits))
+        for p in rng.choice(sorted(points), 40).tolist():
+            points |= {int(p) ^ 1 << int(rng.integers(32, 64)), int(p) ^ 1 << int(rng.integers(32, 64)) ^ 1 << int(rng.integers(0, 32))}
+    points |= {((p & 0xFFFFFFFF) << 32) | p >> 32 for p in points}
+    signed = [p - 2**64 if p >= 2**63 else p for p in points]
+    links = [tuple(r) for r in simhash.near_links(spark.createDataFrame([(p,) for p in signed], "fingerprint bigint")).collect()]
+    assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 2 for a, b in links) and len(links) < 70 * len(points)
+    groups = lambda edges: sorted(map(sorted, merged(signed, edges)))
+    assert groups(links) == groups([(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2])
 
 
 def test_quality_on_held_out_ratings(spark):
@@ -519,8 +481,6 @@ def test_columns_of_any_name_pass_through(spark, odd):
 
 def test_pipeline_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    if folder != SF:
-        docs = docs.where("doc_id IS NULL OR doc_id NOT IN (6, 7)")
     columns, at = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = at[name] = stage(spark, docs, folder).cache()
@@ -535,6 +495,18 @@ def test_pipeline_stages(spark, folder):
     assert pieces.agg(F.sum("length")).first()[0] == (want or None)
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark, odd):
+    clash = ["kept", "expected_grade", "tail_probability", "_rating", "doc", "n_lines", "n_removed", "_n_lines", "own", "starts", "lines", "id", "_id", "fingerprint",
+             "component_id", "size", "words", "key"]
+    docs = spark.read.parquet(f"{odd}/documents.parquet").where("length(text) < 10000 OR text IS NULL").withColumns({c: F.lit(f"own {c}") for c in clash})
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, odd).cache()
+        assert docs.columns == columns and docs.count() > 0
+        assert all(r[c] == f"own {c}" for r in docs.collect() for c in clash)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, odd).count() > 0
+
+
 def test_pipeline_is_registered(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_duplicates", "mixing", "packing"]
     assert queries.QUERIES["pipeline"](spark, SF).count() > 0
