@@ -12,18 +12,20 @@ from labelsift.llm.queries import table, tokenizer_file
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps; it is trained on the rated documents of the input."""
     model = quality.train(docs, quality.grades(table(spark, sf_dir, "labels")))
-    return quality.rate(docs, model).where("kept").select(*docs.columns)
+    return quality.rate(docs.select(F.struct(*docs.columns).alias("doc"), "text"), model).where("kept").select("doc.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows go; a document with no words left goes too."""
-    out = line_dedup.remove_repeated_lines(docs).where("n_removed = 0 OR trim(text) != ''").drop("n_lines", "n_removed")
+    lines, removed = scratch.unused(docs, "n_lines"), scratch.unused(docs, "n_removed")
+    out = line_dedup.remove_repeated_lines(docs, counts=(lines, removed)).where((F.col(removed) == 0) | (F.trim("text") != ""))
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id."""
-    return simhash.without_near_duplicates(docs)
+    """One document of each group stays, the one with the smallest id. Groups are those of the SimHash operator: shingles of 3
+    words, fingerprints that differ in 2 bits at most."""
+    return simhash.without_near_duplicates(docs, words=3)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
