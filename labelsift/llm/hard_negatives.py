@@ -189,16 +189,12 @@ def best_negatives(blocks: DataFrame, chunk, dim: int, k: int) -> DataFrame:
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def zone_maps(blocks: DataFrame) -> tuple[np.ndarray, ...]:
+def zone_maps(blocks: DataFrame, dim: int) -> tuple[np.ndarray, ...]:
     """Of every folder of blocks (``MOST_SHARDS`` at most): number, smallest and largest label, and of every component."""
-
-    def widest(zones: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": zones["shard"].iloc[:1], "first": [zones["label"].min()], "last": [zones["label"].max()],
-                             "lo": [np.stack(zones["lo"]).min(axis=0)], "hi": [np.stack(zones["hi"]).max(axis=0)]})
-
-    kind = "shard int, first bigint, last bigint, lo array<bigint>, hi array<bigint>"
-    rows = blocks.select("shard", "label", "lo", "hi").groupBy("shard").applyInPandas(widest, kind).collect()
-    return tuple(np.array([r[c] for r in rows]) for c in ("shard", "first", "last", "lo", "hi"))
+    ends = [f(F.get(c, j)).alias(f"{c}{j}") for c, f in (("lo", F.min), ("hi", F.max)) for j in range(dim)]
+    rows = blocks.groupBy("shard").agg(F.min("label").alias("first"), F.max("label").alias("last"), *ends).collect()
+    lo, hi = (np.array([[r[f"{c}{j}"] for j in range(dim)] for r in rows]) for c in ("lo", "hi"))
+    return *(np.array([r[c] for r in rows]) for c in ("shard", "first", "last")), lo, hi
 
 
 def anchors_of(blocks: DataFrame, dim: int) -> DataFrame:
@@ -217,7 +213,9 @@ def anchors_of(blocks: DataFrame, dim: int) -> DataFrame:
     total = held.agg(F.sum(F.size("anchors"))).first()[0] or 0
     chunks = max(1, math.ceil(total / ANCHORS))
     found = held.select("block", "label", "ids", "rows", "anchors", "known").mapInArrow(run, "a bigint, id bigint, label bigint, known bigint, v array<int>")
-    return scratch.write(found.repartitionByRange(chunks, "a").withColumn("chunk", F.spark_partition_id()))
+    if chunks == 1:
+        return scratch.write(found.withColumn("chunk", F.lit(0)))
+    return scratch.write(scratch.write(found).repartitionByRange(chunks, "a").withColumn("chunk", F.spark_partition_id()))
 
 
 def mine(vectors: DataFrame, is_anchor: Column, label: Column, positives: int = 5, negatives: int = 10, least: int = 30, most: int = 90,
@@ -247,8 +245,8 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, positives: int =
     fit = F.coalesce(F.col(id_col).isNotNull() & label.isNotNull() & (F.size(v) > 0) & finite, F.lit(False))
     bound = float(LARGEST)
     whole = lambda x: F.greatest(F.least(F.floor(x.cast("double") * scale).cast("double"), F.lit(bound)), F.lit(-bound)).cast("int")
-    points = scratch.write(vectors.where(fit).select(label.cast("bigint").alias("label"), F.col(id_col).cast("bigint").alias("id"),
-                                                     F.transform(v, whole).alias("v"), F.coalesce(is_anchor, F.lit(False)).alias("asks")))
+    points = vectors.where(fit).select(label.cast("bigint").alias("label"), F.col(id_col).cast("bigint").alias("id"),
+                                       F.transform(v, whole).alias("v"), F.coalesce(is_anchor, F.lit(False)).alias("asks"))
     n, dim, low, high = points.agg(F.count("*"), F.max(F.size("v")), F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
     shards, dim = max(1, min(MOST_SHARDS, math.ceil(n / SHARD_ROWS))), dim or 1
 
@@ -258,11 +256,11 @@ def mine(vectors: DataFrame, is_anchor: Column, label: Column, positives: int =
         return pd.Series(hilbert_keys(np.clip(u, 0, (1 << BITS) - 1), BITS))
 
     order = ["label", "key", "id", "v"]
-    ordered = points.withColumn("key", place("v")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    ordered = scratch.write(points.withColumn("key", place("v"))).repartitionByRange(shards, *order).sortWithinPartitions(*order)
     path = f"{scratch.folder(spark).rstrip('/')}/labelsift-{uuid.uuid4().hex}"
     blocks_of(ordered, dim, positives).write.partitionBy("shard").parquet(path)
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    shard, first, last, lo, hi = zone_maps(blocks)
+    shard, first, last, lo, hi = zone_maps(blocks, dim)
     anchors = anchors_of(blocks, dim)
     out = None
     for c in range(anchors.select(F.max("chunk")).first()[0] + 1 if len(shard) and not anchors.isEmpty() else 0):
