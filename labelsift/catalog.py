@@ -24,7 +24,7 @@ from labelsift.functions.probability import clip_rescale, self_confidence
 from labelsift.operators import (evaluate, frames, joint, latent, multilabel, prune, pu, relabel, rollup,
                                  sampling, vocabulary)
 from labelsift.plans import balanced, confident_tuning, crossval, feature_jobs, models, noisy_labels, pu_models, smote
-from labelsift.session import ensure_checkpoint_dir, settle, ship_package, spread
+from labelsift.session import ensure_checkpoint_dir, settle, ship_package
 from labelsift.sources import labelled_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,7 +65,7 @@ def _weighted(id_col: Column, s: Column, k: int) -> Column:
 
 
 def _order_probs(spark: SparkSession, folder: str, s: Column, k: int) -> DataFrame:
-    o = spread(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    o = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
     key = F.col("o_orderkey")
     return settle(o.select(key.alias("id"), s.cast("int").alias("s"), _weighted(key, s, k).alias("psx")))
 
@@ -133,7 +133,7 @@ def latent_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "pages").select(F.col("page_id").alias("id"), "html"), "id")
+    return table(spark, folder, "pages").select(F.col("page_id").alias("id"), "html")
 
 
 def page_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,11 +142,11 @@ def page_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cj_of(probs: DataFrame, k: int) -> DataFrame:
-    return joint.confident_joint(probs, k)
+    return frames.pinned(joint.confident_joint(probs, k))
 
 
 def prior_of(probs: DataFrame, k: int) -> DataFrame:
-    return joint.prior(joint.class_counts(probs, k))
+    return frames.pinned(joint.prior(joint.class_counts(probs, k)))
 
 
 # ---------------------------------------------------------------- counts, joint, latent
@@ -671,7 +671,7 @@ def balanced_bags(spark, folder):
 
 def feature_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Embeddings as ``id, s, features``: label 0 is positive, half of the positives are unlabelled."""
-    v = spread(pu_vectors(spark, folder), "id")
+    v = pu_vectors(spark, folder)
     s = F.when((F.col("s") == 1) & (F.col("id") % 2 == 0), 1).otherwise(0)
     return settle(v.select("id", s.cast("int").alias("s"), array_to_vector(F.col("x").cast("array<double>")).alias("features")))
 

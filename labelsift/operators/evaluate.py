@@ -80,7 +80,7 @@ def transductive_scores(df: DataFrame, by: list[str], places: int | None = 3) ->
     return sums.select(*by, *[(F.round(c, places) if places is not None else c).alias(n) for n, c in cols.items()])
 
 
-def roc_points(df: DataFrame, label: str = "label", score: str = "p", ranges: int = 256) -> DataFrame:
+def roc_points(df: DataFrame, label: str = "label", score: str = "p", ranges: int | None = None) -> DataFrame:
     """``score, tp, fp, tpr, fpr`` per distinct score: rates when predicting positive at or above it."""
     is_pos = (F.col(label) == 1).cast("bigint")
     cum = rank.running_totals(df.where(F.col(score).isNotNull()), score, {"pos": is_pos, "neg": 1 - is_pos},
@@ -106,7 +106,7 @@ def youden_threshold(roc: DataFrame, places: int | None = None) -> DataFrame:
                        F.when(wins, F.col("b.j")).otherwise(F.lit(0.0)).alias("j"))
 
 
-def exact_auc(df: DataFrame, label: str = "label", score: str = "p", ranges: int = 256) -> DataFrame:
+def exact_auc(df: DataFrame, label: str = "label", score: str = "p", ranges: int | None = None) -> DataFrame:
     """``auc``: chance that a positive outranks a negative, ties half; 0 when one class is missing."""
     is_pos = (F.col(label) == 1).cast("bigint")
     cum = rank.running_totals(df.where(F.col(score).isNotNull()), score, {"pos": is_pos, "neg": 1 - is_pos},

@@ -56,6 +56,17 @@ def constant_array(spark: SparkSession, values: list) -> Column:
     return local_frame(spark, {"v": (kind, [values])}).scalar()
 
 
+def pinned(small: DataFrame) -> DataFrame:
+    """A class-sized frame (K*K rows at most) taken once and held as a local relation in one partition: what is derived from it
+    neither reads the large side again nor needs an exchange."""
+    return small.sparkSession.createDataFrame(small.toArrow()).coalesce(1)
+
+
+def meet(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+    """Join of class-sized frames. Where both are in one partition already, it takes neither an exchange nor a broadcast."""
+    return a.join(b.hint("merge"), on)
+
+
 def by_class(small: DataFrame, key: str, value: str, k: int) -> Column:
     """A K-row table as one array column, indexed by class, for use in any row expression.
 

@@ -19,7 +19,7 @@ def class_counts(df: DataFrame, k: int, label: str = "s") -> DataFrame:
     """``s, n`` for every class 0..K-1, zeros included. One map-side combined aggregation."""
     zeros = frames.class_range(df.sparkSession, k).select("s", F.lit(0).cast("bigint").alias("n"))
     rows = df.select(F.col(label).cast("int").alias("s"), F.lit(1).cast("bigint").alias("n"))
-    return rows.unionByName(zeros).groupBy("s").agg(F.sum("n").alias("n"))
+    return rows.unionByName(zeros).groupBy("s").agg(F.sum("n").alias("n")).repartition(1)  # K rows
 
 
 def label_list_counts(df: DataFrame, k: int, labels: str = "s") -> DataFrame:
@@ -87,7 +87,8 @@ def count_cells(pairs: DataFrame, k: int) -> DataFrame:
     spark = pairs.sparkSession
     zeros = frames.pair_grid(spark, k).select("s", "y", F.lit(0).cast("bigint").alias("n"))
     rows = pairs.select("s", "y", F.lit(1).cast("bigint").alias("n"))
-    cells = rows.unionByName(zeros).groupBy("s", "y").agg(F.sum("n").alias("n"))
+    # K*K rows in one partition: no window or join on them needs another exchange
+    cells = rows.unionByName(zeros).groupBy("s", "y").agg(F.sum("n").alias("n")).repartition(1)
     w = W.partitionBy("s")
     return cells.withColumn("class_n", F.sum("n").over(w)).where(F.col("y").isNotNull())
 
@@ -117,7 +118,7 @@ def multilabel_joint(probs: DataFrame, k: int, thresholds=None, calibrate: bool
                              lambda hit, i: F.when(hit, i.cast("int"))), lambda i: i.isNotNull()).alias("ys"))
     cells = count_cells(hits.select("s", F.explode("ys").alias("y")), k).drop("class_n")
     counts = label_list_counts(probs, k).select("s", F.col("n").alias("class_n"))
-    cells = cells.join(F.broadcast(counts), "s")  # K rows
+    cells = frames.meet(cells, counts, "s")
     return calibrated(cells) if calibrate else cells
 
 
@@ -166,11 +167,12 @@ def num_label_errors(cj: DataFrame, n_rows: DataFrame | int | None = None) -> Da
 
     ``n_rows`` defaults to the class counts carried by the joint.
     """
-    rows = joint_distribution(cj)
-    trace = F.sum(F.when(F.col("s") == F.col("y"), F.col("p")))
-    share = rows.agg(trace.alias("trace"))
+    on = F.col("s") == F.col("y")
+    p = F.try_divide(F.col("n").cast("double"), F.sum("n").over(W.partitionBy()).cast("double"))
+    rows = cj.select("s", "y", p.alias("p"), (F.col("class_n") if n_rows is None else F.lit(0)).alias("class_n"))
+    share = rows.agg(F.sum(F.when(on, F.col("p"))).alias("trace"), F.sum(F.when(on, F.col("class_n"))).alias("rows"))
     if n_rows is None:
-        n = cj.where("s = y").agg(F.sum("class_n")).scalar()
+        n = F.col("rows")
     elif isinstance(n_rows, int):
         n = F.lit(n_rows)
     else:

@@ -67,10 +67,10 @@ def latent_prior(ps: DataFrame, nm: DataFrame, inv: DataFrame, method: str = "cn
         by_y = cj.groupBy("y").agg(F.sum("n").cast("double").alias("n"))
         raw = by_y.select("y", F.try_divide(F.col("n"), F.sum("n").over(W.partitionBy())).alias("p"))
     elif method == "cnt":
-        joined = (ps.select("s", F.col("p").alias("ps")).join(diagonal(inv, "i"), "s").join(diagonal(nm, "m"), "s"))
+        joined = frames.meet(frames.meet(ps.select("s", F.col("p").alias("ps")), diagonal(inv, "i"), "s"), diagonal(nm, "m"), "s")
         raw = joined.select(F.col("s").alias("y"), (F.try_divide(F.col("i"), F.col("m")) * F.col("ps")).alias("p"))
     elif method == "marginal_ps":
-        joined = inv.join(ps.select("s", F.col("p").alias("ps")), "s")
+        joined = frames.meet(inv, ps.select("s", F.col("p").alias("ps")), "s")
         raw = joined.groupBy("y").agg(F.sum(F.col("p") * F.col("ps")).alias("p"))
     else:
         m, prior = to_numpy(nm), vector_to_numpy(ps, "s")
@@ -95,13 +95,13 @@ def vector_to_numpy(v: DataFrame, key: str, value: str = "p") -> np.ndarray:
 
 def inverse_from_noise(py: DataFrame, nm: DataFrame, ps: DataFrame | None = None) -> DataFrame:
     """Bayes: P(y|s) from P(y), P(s|y) and P(s); P(s) is the marginal of the joint if not given."""
-    joint = nm.join(py.select("y", F.col("p").alias("py")), "y").select("s", "y", (F.col("p") * F.col("py")).alias("j"))
+    joint = frames.meet(nm, py.select("y", F.col("p").alias("py")), "y").select("s", "y", (F.col("p") * F.col("py")).alias("j"))
     return clip_rates(_bayes(joint, ps, "s"), given="s")
 
 
 def noise_from_inverse(ps: DataFrame, inv: DataFrame, py: DataFrame | None = None) -> DataFrame:
     """Bayes: P(s|y) from P(s), P(y|s) and P(y); P(y) is the marginal of the joint if not given."""
-    joint = inv.join(ps.select("s", F.col("p").alias("ps")), "s").select("s", "y", (F.col("p") * F.col("ps")).alias("j"))
+    joint = frames.meet(inv, ps.select("s", F.col("p").alias("ps")), "s").select("s", "y", (F.col("p") * F.col("ps")).alias("j"))
     return clip_rates(_bayes(joint, py, "y"), given="y")
 
 
@@ -109,7 +109,7 @@ def _bayes(joint: DataFrame, marginal: DataFrame | None, given: str) -> DataFram
     if marginal is None:
         return joint.select("s", "y", F.try_divide("j", F.sum("j").over(W.partitionBy(given))).alias("p"))
     named = marginal.select(given, F.col("p").alias("_m"))
-    return joint.join(named, given).select("s", "y", F.try_divide("j", "_m").alias("p"))
+    return frames.meet(joint, named, given).select("s", "y", F.try_divide("j", "_m").alias("p"))
 
 
 def prior_and_inverse(ps: DataFrame, nm: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +121,8 @@ def prior_and_inverse(ps: DataFrame, nm: DataFrame) -> tuple[DataFrame, DataFram
 
 def estimate_latent(cj: DataFrame, ps: DataFrame, method: str = "cnt",
                     converge: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(py, nm, inv)`` from the confident joint and the noisy prior."""
+    """``(py, nm, inv)`` from the confident joint and the noisy prior, each of which is computed once."""
+    cj, ps = frames.pinned(cj), frames.pinned(ps)
     nm, inv = noise_matrix(cj), inverse_noise_matrix(cj)
     py = latent_prior(ps, nm, inv, method, cj)
     nm, inv = clip_rates(nm, "y"), clip_rates(inv, "s")
@@ -153,7 +154,7 @@ def agree(ps: np.ndarray, py: np.ndarray, nm: np.ndarray) -> tuple[np.ndarray, n
 
 def posterior_factors(nm: DataFrame, inv: DataFrame) -> DataFrame:
     """``s, f``: ratio of the diagonals, the per-class correction of a probability."""
-    return diagonal(inv, "i").join(diagonal(nm, "m"), "s").select("s", F.try_divide("i", "m").alias("f"))
+    return frames.meet(diagonal(inv, "i"), diagonal(nm, "m"), "s").select("s", F.try_divide("i", "m").alias("f"))
 
 
 def clean_posterior(probs: DataFrame, nm: DataFrame, inv: DataFrame, k: int) -> DataFrame:
@@ -192,7 +193,7 @@ def unlabelled_noise_share(inv: DataFrame, clean: int) -> DataFrame:
 
 def learnable(nm: DataFrame, py: DataFrame) -> DataFrame:
     """One row ``is_valid``: the joint adds up to 1 and every diagonal beats independence."""
-    joint = nm.join(py.select("y", F.col("p").alias("py")), "y").select("s", "y", "py", (F.col("p") * F.col("py")).alias("j"))
+    joint = frames.meet(nm, py.select("y", F.col("p").alias("py")), "y").select("s", "y", "py", (F.col("p") * F.col("py")).alias("j"))
     joint = joint.withColumn("ps", F.sum("j").over(W.partitionBy("s")))
     holds = F.bool_and(F.when(F.col("s") == F.col("y"), F.col("ps") * F.col("py") < F.col("j")))
     return joint.agg(((F.abs(F.sum("j") - 1.0) < 1e-6) & holds).alias("is_valid"))

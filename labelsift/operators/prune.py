@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelsift.functions.probability import (agrees, argmax_class, self_confidence)
-from labelsift.operators import frames, joint, multilabel, rank
+from labelsift.operators import cuts, frames, joint, multilabel, rank
 from labelsift.operators.joint import round_keeping_totals
 from labelsift.session import settle
 
@@ -77,36 +77,26 @@ def _labels(multi_label: bool) -> Column:
     return F.array_distinct("s") if multi_label else F.array("s")
 
 
-def noise_rate_cuts(probs: DataFrame, counts: list, sizes: dict[int, int], multi_label: bool = False) -> list[dict]:
-    """Exact margin cut per (given k, other j): the n-th largest ``p_j - p_k`` within label k."""
-    wanted = [{"s": r["s"], "y": r["y"], "m": min(r["n"], sizes[r["s"]])} for r in counts
-              if r["s"] != r["y"] and r["n"] > 0 and sizes.get(r["s"], 0) > MIN_ROWS_PER_CLASS]
-    if not wanted:
-        return []
-    given = probs.select("psx", F.explode(_labels(multi_label)).alias("s"))
-    pairs = given.select("s", F.element_at("psx", F.col("s") + 1).alias("_own"), F.posexplode("psx").alias("y", "_p"))
-    margins = pairs.select("s", "y", (F.col("_p") - F.col("_own")).alias("v")).where("s <> y")
-    return rank.nth_largest(margins, ["s", "y"], "v", wanted, bounds=(-1.0, 1.0))
+def wanted_cuts(counts: list, sizes: dict[int, int], method: str) -> list[dict]:
+    """What ``cuts.largest`` has to find. Per (given k, other j): the margin of the n-th row to flag. Per given k: the
+    (m+1)-th smallest own probability, m being the rows to flag. Classes of few rows are left alone."""
+    large = {k: n for k, n in sizes.items() if n > MIN_ROWS_PER_CLASS}
+    wanted = []
+    if method != "prune_by_class":
+        wanted += [{"s": r["s"], "y": r["y"], "m": min(r["n"], large[r["s"]])} for r in counts
+                   if r["s"] != r["y"] and r["n"] > 0 and r["s"] in large]
+    if method != "prune_by_noise_rate":
+        kept = {r["s"]: r["n"] for r in counts if r["s"] == r["y"]}
+        wanted += [{"s": k, "y": k, "m": n - kept.get(k, 0) + 1} for k, n in large.items() if 0 < n - kept.get(k, 0) < n]
+    return wanted
 
 
-def class_cuts(probs: DataFrame, counts: list, sizes: dict[int, int], multi_label: bool = False) -> list[dict]:
-    """Exact cut per given label k: the (m+1)-th smallest own probability, m the rows to flag."""
-    kept = {r["s"]: r["n"] for r in counts if r["s"] == r["y"]}
-    wanted = [{"s": k, "m": n - kept.get(k, 0) + 1} for k, n in sizes.items()
-              if n > MIN_ROWS_PER_CLASS and 0 < n - kept.get(k, 0) < n]
-    if not wanted:
-        return []
-    given = probs.select("psx", F.explode(_labels(multi_label)).alias("s"))
-    own = given.select("s", (-F.element_at("psx", F.col("s") + 1)).alias("v"))
-    return [{"s": c["s"], "cut": -c["cut"]} for c in rank.nth_largest(own, ["s"], "v", wanted, bounds=(-1.0, 0.0))]
-
-
-def flag_by_noise_rate(probs: DataFrame, cuts: list[dict], k: int, multi_label: bool, name: str) -> DataFrame:
+def flag_by_noise_rate(probs: DataFrame, found: list[dict], k: int, multi_label: bool, name: str) -> DataFrame:
     """Flag rows at or above any of their margin cuts, ties included."""
-    if not cuts:
+    if not found:
         return probs.withColumn(name, F.lit(False))
     table: list[list] = [[None] * k for _ in range(k)]
-    for c in cuts:
+    for c in found:
         table[c["s"]][c["y"]] = c["cut"]
     by_pair = frames.constant_array(probs.sparkSession, table)
     over = F.exists(_labels(multi_label), lambda g: F.exists(
@@ -115,12 +105,12 @@ def flag_by_noise_rate(probs: DataFrame, cuts: list[dict], k: int, multi_label:
     return probs.withColumn("_cuts", by_pair).withColumn(name, F.coalesce(over, F.lit(False))).drop("_cuts")
 
 
-def flag_by_class(probs: DataFrame, cuts: list[dict], k: int, multi_label: bool, name: str) -> DataFrame:
+def flag_by_class(probs: DataFrame, found: list[dict], k: int, multi_label: bool, name: str) -> DataFrame:
     """Flag rows strictly below the cut of any of their labels."""
-    if not cuts:
+    if not found:
         return probs.withColumn(name, F.lit(False))
     table = [None] * k
-    for c in cuts:
+    for c in found:
         table[c["s"]] = c["cut"]
     by_class = frames.constant_array(probs.sparkSession, table)
     if multi_label:
@@ -151,16 +141,17 @@ def find_label_errors(probs: DataFrame, k: int, cj: DataFrame | None = None,
         cj = cj.select("s", "y", "n").join(F.broadcast(n.select("s", F.col("n").alias("class_n"))), "s")  # K rows
     counts = [r.asDict() for r in prune_counts(cj, frac_noise, budget).collect()]  # K*K rows
     sizes = {r["s"]: r["class_n"] for r in counts}
-    flags = []
+    base, flags = probs, []
+    found = cuts.largest(probs, wanted_cuts(counts, sizes, method), k, multi_label)
     if method in ("prune_by_noise_rate", "both"):
-        probs = flag_by_noise_rate(probs, noise_rate_cuts(probs, counts, sizes, multi_label), k, multi_label, "_rate")
+        probs = flag_by_noise_rate(probs, [c for c in found if c["s"] != c["y"]], k, multi_label, "_rate")
         flags.append("_rate")
     if method in ("prune_by_class", "both"):
-        base = probs.drop("_rate")
-        probs = flag_by_class(probs, class_cuts(base, counts, sizes, multi_label), k, multi_label, "_class")
+        own = [{"s": c["s"], "cut": -c["cut"]} for c in found if c["s"] == c["y"]]
+        probs = flag_by_class(probs, own, k, multi_label, "_class")
         flags.append("_class")
     if multi_label:
-        probs = probs.withColumn("_cut", multilabel.best_boundary(probs.drop(*flags), k))
+        probs = probs.withColumn("_cut", multilabel.best_boundary(base, k))
         flagged = ~multilabel.predicts_exactly("psx", "s", F.col("_cut"), k)
     else:
         flagged = ~agrees("psx", "s")

@@ -25,6 +25,7 @@ def build_session(app: str = "labelsift", master: str | None = None, shuffle_par
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no stack walk for each column expression
     )
     if master:
         builder = builder.master(master)
@@ -87,12 +88,6 @@ def settle(df: DataFrame, how: str = "persist") -> DataFrame:
     raise ValueError(f"unknown way to settle a frame: {how}")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal rows out to all cores. The caller's choice, for inputs known to come in fewer splits than there are cores; it
-    always shuffles."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable by the Python workers, once per application.
 
