@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import re
 from collections.abc import Iterator
 
@@ -114,10 +115,11 @@ class Encoder(dict):
 
     A space with no white space on either side always starts a token of this pattern, so pieces that begin there can be
     encoded on their own. A text that has white space around a space goes to the tokenizer whole, and a long piece is
-    split by the pattern before merging, as its cost is not linear otherwise.
+    split by the pattern before merging, as its cost is not linear otherwise. ``added`` tokens have one id wherever they stand in
+    a text; what is between them is encoded as texts of its own.
     """
 
-    def __init__(self, ranks_file: str):
+    def __init__(self, ranks_file: str, added: tuple[tuple[str, int], ...] = ()):
         import public_tokenizers
         import regex
         import tiktoken
@@ -126,6 +128,9 @@ class Encoder(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.added = {token: np.array([i], dtype="<u4").tobytes() for token, i in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.marker = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if added else None
 
     def plain(self, text: str) -> bytes:
         if len(text) <= LONG:
@@ -140,6 +145,12 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self.marker is None or not self.marker.search(text):
+            return self.between(text)
+        parts = self.marker.split(text)  # texts and markers in turn
+        return b"".join(self.added[p] if k % 2 else self.between(p) for k, p in enumerate(parts) if p)
+
+    def between(self, text: str) -> bytes:
         if BETWEEN_SPACES.search(text):
             return self.plain(text)
         first, *rest = text.split(" ")
@@ -147,8 +158,14 @@ class Encoder(dict):
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(ranks_file: str) -> Encoder:
-    return Encoder(ranks_file)
+def encoder(ranks_file: str, added: tuple[tuple[str, int], ...] = ()) -> Encoder:
+    return Encoder(ranks_file, added)
+
+
+def added_tokens(tokenizer_file: str) -> tuple[tuple[str, int], ...]:
+    """Tokens that a tokenizer's JSON file adds to its vocabulary, with their ids."""
+    with open(tokenizer_file, encoding="utf-8") as f:
+        return tuple((t["content"], t["id"]) for t in json.load(f)["added_tokens"])
 
 
 def powers(n: int) -> Iterator[int]:
@@ -159,7 +176,7 @@ def powers(n: int) -> Iterator[int]:
 
 
 def pack_documents(docs: DataFrame, ranks_file: str, length: int = 1024, max_segments: int = 256, end_id: int = 0,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """All documents as token sequences of at most ``length``: one row per piece with ``doc_id, start, length,
     doc_tokens, sequence_id, offset, padded_to, ids`` (little-endian unsigned 32-bit ids as bytes).
 
@@ -168,13 +185,13 @@ def pack_documents(docs: DataFrame, ranks_file: str, length: int = 1024, max_seg
     and where nothing fits whole the best piece is cut, so only a sequence at its segment limit is padded. What a task
     has at its end goes into sequences of powers of two, which need no padding. Tasks pack their own partitions: no
     shuffle, a fixed pool, and a task that is run again gives the same rows. Null text: empty, one ``end_id``. Null
-    ids pass through. Repeated rows are packed as rows. Empty table: empty result. ``length`` is a power of two.
+    ids pass through. Repeated rows are packed as rows. Empty table: empty result. ``length`` is a power of two. ``added`` tokens (see ``added_tokens``) inside a text have their one id.
     """
     ship_package(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        enc, packer, number, base = encoder(ranks_file), Packer((length, max_segments, length)), 0, TaskContext.get().partitionId() << 40
+        enc, packer, number, base = encoder(ranks_file, added), Packer((length, max_segments, length)), 0, TaskContext.get().partitionId() << 40
         out: list = []
         end = np.array([end_id], dtype="<u4").tobytes()
 

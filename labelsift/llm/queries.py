@@ -21,8 +21,9 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents in sequences of 1,024 ids. The ranks file is the vocabulary of ``byte_bpe_50k.json``."""
-    pieces = packing.pack_documents(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+    """Documents in sequences of 1,024 ids of ``byte_bpe_50k.json``, the vocabulary of which is the ranks file."""
+    added = packing.added_tokens(tokenizer_file("byte_bpe_50k.json"))
+    pieces = packing.pack_documents(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), added=added)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "padded_to")
 
 

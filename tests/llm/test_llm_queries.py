@@ -63,7 +63,6 @@ def ids_of(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer_file("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).ids
 
 
@@ -98,6 +97,26 @@ def test_packing_puts_every_id_in_one_piece(spark, folder):
     assert padding <= 0.001 * sum(r["length"] for r in rows) + 1024
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", " <|endoftext|> ", "x<|endoftext|>y  <|endoftext|>\n z ", "<|endoftext",
+                                  "<|endoftext|> a b c", "a b c  <|endoftext|>", "word " * 900 + "<|endoftext|>" + " word" * 900, "ab" * 2_000 + "<|endoftext|> " + "x" * 2_500])
+def test_ids_are_those_of_the_tokenizer(text):
+    encoder = packing.encoder(RANKS, packing.added_tokens(queries.tokenizer_file("byte_bpe_50k.json")))
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids_of(text)
+
+
+def test_loss_tokens_of_conversations_are_a_limit_of_their_own(spark):
+    """Answers bear loss, other turns do not: three demands that differ."""
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    size = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\S+"), F.lit(0)))
+    examples = turns.groupBy("conv_id").agg(F.sum(size).alias("tokens"), F.count("*").alias("segments"), F.sum(F.when(F.col("role") == "assistant", size).otherwise(0)).alias("loss"))
+    limits = (1024, 24, 300)
+    out = packing.pack_examples(examples, "conv_id", "tokens", "segments", "loss", limits).toPandas()
+    assert len(out) == examples.count() and (out["loss_tokens"] < out["tokens"]).any()
+    bins = out[out["fits"]].groupby("bin_id")[["tokens", "segments", "loss_tokens"]].sum()
+    assert (bins <= limits).all(axis=None)
+    assert len(bins) < 1.25 * max(bins[c].sum() / m for c, m in zip(bins.columns, limits)) + 1
+
+
 def test_examples_stay_whole_within_all_limits(spark):
     rng = np.random.default_rng(1)
     rows = [(i, int(t), int(s), int(x)) for i, (t, s, x) in enumerate(zip(rng.integers(1, 700, 3000), rng.integers(1, 9, 3000), rng.integers(0, 400, 3000)))]
