@@ -35,7 +35,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1,024 ids, one row per piece."""
-    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.tiktoken"))
+    added = packing.added_tokens(tokenizer_file("byte_bpe_50k.json"))
+    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.tiktoken"), added=added)
 
 
 STAGES = [
