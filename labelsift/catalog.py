@@ -752,7 +752,7 @@ def bow_vectors(spark, folder):
     """The bag-of-words pipeline on pages: sparse vectors of length 1."""
     docs = page_tokens(spark, folder).select(F.col("id").alias("file"), F.lit(63).alias("release"), "tokens")
     docs = settle(docs)
-    out = feature_jobs.bag_of_words().fit(docs).transform(docs)
+    out = feature_jobs.bag_of_words(docs).transform(docs)
     return out.select("file", F.size(F.filter(vector_to_array("features"), lambda v: v > 0)).alias("n_tokens"))
 
 

@@ -76,7 +76,40 @@ part("corrected", "label_rows silent_rows latent_rows", """SELECT l.file, l.rele
 
 # ---------------------------------------------------------------- joint and latent, per source
 
-SOURCES = {"pe": 10, "pl": 3, "pb": 2, "tx": 2}
+# One problem of two classes for each release: class 2 * release + s, with the probabilities of a row's own release only.
+MOST_RELEASES = 85
+part("rel_rows", "", """SELECT l_partkey AS file, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS INTEGER) AS release,
+    max(CASE l_returnflag WHEN 'R' THEN 1 ELSE 0 END) AS s, sum(CAST(l_quantity AS DOUBLE)) AS a, count(*) * 10.0::DOUBLE AS b,
+    sum(round(CAST(l_tax AS DOUBLE) * 100)) AS c FROM lineitem GROUP BY ALL""")
+part("rel_cell", "rel_rows", "SELECT release, s, file % 4 AS fold, count(*) AS n, sum(a) AS a, sum(b) AS b, sum(c) AS c FROM rel_rows GROUP BY ALL")
+part("rel_left", "rel_cell", """SELECT release, s, f.out, sum(a) / sum(n) AS a, sum(b) / sum(n) AS b, sum(c) / sum(n) AS c
+    FROM rel_cell JOIN (SELECT unnest(range(4)) AS out) f ON f.out <> fold GROUP BY ALL""")
+
+
+def _apart(row: str, centre: str) -> str:
+    return "sqrt(" + " + ".join(f"power({row}.{v} - {centre}.{v}, 2)" for v in "abc") + ")"
+
+
+part("rel_p", "rel_rows rel_left", f"""SELECT file, release, s, round(CASE WHEN d0 IS NULL AND d1 IS NULL THEN 0.5 WHEN d1 IS NULL THEN 0.0
+    WHEN d0 IS NULL THEN 1.0 ELSE coalesce(d0 / nullif(d0 + d1, 0.0::DOUBLE), 0.5) END, 6) AS p FROM (SELECT r.file, r.release, r.s,
+    CASE WHEN u.a IS NOT NULL THEN {_apart("r", "u")} END AS d0, CASE WHEN v.a IS NOT NULL THEN {_apart("r", "v")} END AS d1 FROM rel_rows r
+    LEFT JOIN rel_left u ON u.release = r.release AND u.s = 0 AND u.out = r.file % 4
+    LEFT JOIN rel_left v ON v.release = r.release AND v.s = 1 AND v.out = r.file % 4)""")
+part("rl", "rel_p", """SELECT file * 1000 + release AS id, 2 * release + s AS s, CAST(2 * release + k AS INTEGER) AS k, CASE k WHEN 1 THEN p ELSE 1.0::DOUBLE - p END AS p
+    FROM rel_p, (SELECT unnest([0, 1]) AS k)""")
+part("rel_mean", "rel_rows", "SELECT release, s, avg(a) AS a, avg(b) AS b, avg(c) AS c FROM rel_rows GROUP BY ALL")
+part("rel_truth", "rel_rows silent_rows latent_rows", """SELECT r.file, r.release, r.s,
+    EXISTS (SELECT 1 FROM silent_rows x WHERE x.file = r.file AND x.release = r.release)
+    OR EXISTS (SELECT 1 FROM latent_rows x WHERE x.file = r.file AND r.release BETWEEN x.a AND x.b) AS hid FROM rel_rows r""")
+part("rel_masks", "rel_truth rel_rows rel_mean rl_rate rl_argmax", f"""SELECT 'pruning' AS technique, t.release, t.s, t.hid, f.flag AND g.y <> g.s AS flagged
+    FROM rel_truth t JOIN rl_rate f ON f.id = t.file * 1000 + t.release JOIN rl_argmax g ON g.id = f.id
+    UNION ALL SELECT 'propagation1', t.release, t.s, t.hid, NOT (coalesce({_apart("r", "u")} < {_apart("r", "v")}, TRUE) OR r.s = 1)
+    FROM rel_truth t JOIN rel_rows r ON r.file = t.file AND r.release = t.release
+    LEFT JOIN rel_mean u ON u.release = r.release AND u.s = 0 LEFT JOIN rel_mean v ON v.release = r.release AND v.s = 1""")
+part("rel_runs", "rel_p rel_truth", """SELECT r.technique, t.release - 2 AS release, t.s = 1 AS t, t.hid OR t.s = 1 AS truth, p.p >= r.cut AS q FROM rel_p p
+    JOIN rel_truth t ON t.file = p.file AND t.release = p.release, (VALUES ('baseline', 0.5::DOUBLE), ('regularize', 0.4::DOUBLE)) r(technique, cut) WHERE t.release > 2""")
+
+SOURCES = {"pe": 10, "pl": 3, "pb": 2, "tx": 2, "rl": 2 * MOST_RELEASES}
 for _n, _k in SOURCES.items():
     part(f"{_n}_grid", "", f"""SELECT CAST(a.i AS INTEGER) AS s, CAST(b.i AS INTEGER) AS y
         FROM (SELECT unnest(range({_k})) AS i) a, (SELECT unnest(range({_k})) AS i) b""")
@@ -396,6 +429,8 @@ SQL: dict[str, str] = {
     "vocab_topk": build("vocab", "SELECT token, total FROM vocab"),
     "labelled_text_scan": r"""SELECT '__label__' || toxic AS label, replace(regexp_replace(text, '\s+$', ''), chr(10), ' __newline__ ') AS text
         FROM documents JOIN labels USING (doc_id)""",
+    "bow_vectors": build("page_plain tok_n vocab", """SELECT p.id AS file, CAST(count(v.token) AS INTEGER) AS n_tokens FROM page_plain p
+        LEFT JOIN tok_n t ON t.id = p.id LEFT JOIN vocab v ON v.token = t.token GROUP BY p.id"""),
     "bow_l2": build("tok_n vocab", """SELECT t.id, t.token, round(t.n / sqrt(sum(CAST(t.n AS DOUBLE) * t.n) OVER (PARTITION BY t.id)), 6) AS w
         FROM tok_n t JOIN vocab v ON v.token = t.token"""),
     "binary_metrics": build("outcome", f"SELECT {METRICS} FROM outcome"),
@@ -455,3 +490,51 @@ SQL: dict[str, str] = {
             ELSE first(k ORDER BY p DESC, k) END AS y FROM (SELECT x.*, x.p >= CASE WHEN x.k = 1 THEN 1.0::DOUBLE ELSE t.t END - 1e-6 AS c
             FROM tq x JOIN tq_thr t USING (k)) GROUP BY id) r ON r.s = a.s AND r.y = b.y GROUP BY a.s, b.y)) g"""),
 }
+
+
+# ---------------------------------------------------------------- sources, sinks and all releases
+
+def _raw_metric_features() -> str:
+    from labelsift.operators import rollup
+
+    names = [*rollup.FILE_FIRST, *rollup.CLASS_SUM, *rollup.CLASS_MEAN, *rollup.FUNCTION_SPREAD]
+    value = {m: f"CAST(((l_partkey + CAST(l_quantity AS BIGINT)) * {i + 3}) % 101 AS DOUBLE)" for i, m in enumerate(names)}
+    place = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+    first = ", ".join(f"first({value[m]} ORDER BY {place}) AS {m}" for m in rollup.FILE_FIRST)
+    of_class = ", ".join([*(f"sum({value[m]}) AS {m}" for m in rollup.CLASS_SUM), *(f"avg({value[m]}) AS {m}" for m in rollup.CLASS_MEAN)])
+    spread = ", ".join(f"{f}({value[m]}) AS {m}_{how}" for how, f in (("Min", "min"), ("Mean", "avg"), ("Max", "max")) for m in rollup.FUNCTION_SPREAD)
+    out = ", ".join(f"round(coalesce({c}, 0), 6) AS {c.lower()}" for c in rollup.metric_columns())
+    return f"""WITH f AS (SELECT l_orderkey, {first} FROM lineitem WHERE l_linenumber % 3 = 0 GROUP BY 1),
+        g AS (SELECT l_orderkey, {spread} FROM lineitem WHERE l_linenumber % 3 = 1 GROUP BY 1),
+        c AS (SELECT l_orderkey // 2 AS half, {of_class} FROM lineitem WHERE l_linenumber % 3 = 2 GROUP BY 1)
+        SELECT 'src/' || (o_orderkey // 2) % 10 || '/f' || o_orderkey // 2 || CASE WHEN o_orderkey % 2 = 0 THEN '.cpp' ELSE '.h' END AS file,
+        CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS vulnerable, {out}
+        FROM orders LEFT JOIN f ON f.l_orderkey = o_orderkey LEFT JOIN g ON g.l_orderkey = o_orderkey LEFT JOIN c ON c.half = o_orderkey // 2"""
+
+
+SQL |= {
+    "transductive_report": build("rel_masks", """SELECT release, technique, round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0), 6) AS precision,
+        round(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 6) AS recall,
+        round(n * power(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 2) / nullif(CAST(tp + fn AS DOUBLE), 0), 6) AS gmean_pu FROM
+        (SELECT release, technique, count(*) FILTER (hid AND flagged) AS tp, count(*) FILTER (NOT hid AND flagged) AS fp,
+        count(*) FILTER (hid AND NOT flagged) AS fn, count(*) AS n FROM rel_masks WHERE (hid OR s = 0) AND release <> 80 GROUP BY ALL)"""),
+    "overall_recall_runs": build("rel_runs", """SELECT CAST(release AS INTEGER) AS release, technique,
+        round(coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0), 6) AS precision, round(coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0), 6) AS recall,
+        round(coalesce((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / nullif(sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0), 6) AS mcc,
+        round(coalesce(hit / nullif(CAST(truths AS DOUBLE), 0), 0), 6) AS recall_o FROM (SELECT release, technique, count(*) FILTER (t AND q) AS tp,
+        count(*) FILTER (NOT t AND q) AS fp, count(*) FILTER (t AND NOT q) AS fn, count(*) FILTER (NOT t AND NOT q) AS tn,
+        count(*) FILTER (truth AND q) AS hit, count(*) FILTER (truth) AS truths FROM rel_runs GROUP BY ALL)"""),
+    "raw_metric_features": _raw_metric_features(),
+    "label_sources": build("corrected", """SELECT release, CASE WHEN in_latent THEN 'latent' WHEN in_silent THEN 'silent' ELSE 'given' END AS label_source,
+        count(*) AS n, CAST(sum(CASE WHEN in_silent OR in_latent THEN 1 ELSE vulnerable END) AS BIGINT) AS positives FROM corrected GROUP BY ALL"""),
+    "side_tables_by_release": build("silent_rows latent_rows", """SELECT CAST(coalesce(x.release, y.release) AS INTEGER) AS release, coalesce(silent, 0) AS silent, coalesce(latent, 0) AS latent
+        FROM (SELECT release, count(*) AS silent FROM silent_rows GROUP BY release) x FULL JOIN
+        (SELECT release, count(DISTINCT file) AS latent FROM (SELECT file, unnest(range(a, b + 1)) AS release FROM latent_rows) GROUP BY release) y ON x.release = y.release"""),
+    "feature_sources": build("rel_rows", """SELECT file, release, s AS vulnerable, a AS quantity, b AS items, c AS tax FROM rel_rows WHERE release IN (63, 64, 65)"""),
+    "labelled_text_index": r"""SELECT record, '__label__' || toxic AS label, record % 3 = 0 AS chosen,
+        length(trim(replace(regexp_replace(t, '[\x20\x09-\x0D]+$', ''), chr(10), ' __newline__ '))) AS n_chars
+        FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS record, toxic, replace(text, '__label__', 'label') AS t
+        FROM documents JOIN labels USING (doc_id))""",
+    "checked_accuracy": build("pe_argmax", """SELECT round(avg(CASE WHEN y = s THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy,
+        round(sum(CASE WHEN y = s THEN id % 3 + 1.0::DOUBLE ELSE 0.0 END) / sum(id % 3 + 1.0::DOUBLE), 6) AS weighted FROM pe_argmax"""),
+}

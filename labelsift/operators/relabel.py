@@ -9,6 +9,7 @@ never multiply label rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 KEY = ["file", "release"]
@@ -18,10 +19,25 @@ def exact_keys(silent: DataFrame) -> DataFrame:
     return silent.select(*KEY).distinct()
 
 
+def disjoint_intervals(latent: DataFrame) -> DataFrame:
+    """``file, first_appear, last_appear``: the releases that the intervals of a file cover, as runs that neither overlap nor touch.
+
+    Of the intervals that begin with the same release only the longest counts, which partial aggregation settles before any
+    shuffle. So a file keeps one row for each release at most, however many intervals it has, and the window over them is
+    bounded. Empty intervals and those without an end are left out.
+    """
+    longest = (latent.where("first_appear <= last_appear").groupBy("file", "first_appear").agg(F.max("last_appear").alias("last_appear")))
+    by_file = W.partitionBy("file").orderBy("first_appear")
+    reached = F.max("last_appear").over(by_file.rowsBetween(W.unboundedPreceding, -1))
+    opens = F.when(reached.isNull() | (F.col("first_appear") > reached + 1), 1).otherwise(0)
+    runs = longest.withColumn("_new", opens).withColumn("_run", F.sum("_new").over(by_file))
+    return runs.groupBy("file", "_run").agg(F.min("first_appear").alias("first_appear"), F.max("last_appear").alias("last_appear")).drop("_run")
+
+
 def interval_keys(latent: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct ``(file, release)`` of the labels that an interval covers. The interval is a condition of an existence
-    join on the file, so long intervals make no rows."""
-    spans = latent.select(F.col("file").alias("_f"), "first_appear", "last_appear")
+    """Distinct ``(file, release)`` of the labels that an interval covers. The runs of a file are a condition of an existence
+    join on the file, so long intervals make no rows and overlapping ones are tested once."""
+    spans = disjoint_intervals(latent).select(F.col("file").alias("_f"), "first_appear", "last_appear")
     covered = (F.col("file") == F.col("_f")) & F.col("release").between(F.col("first_appear"), F.col("last_appear"))
     return labels.select(*KEY).distinct().join(spans, covered, "left_semi")
 

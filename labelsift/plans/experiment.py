@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelsift.operators import evaluate, pu, relabel
+from labelsift.operators import evaluate, relabel
 from labelsift.plans import confident_tuning, models, pu_models
+from labelsift.plans.transductive import propagation_mask  # noqa: F401
 from labelsift.session import settle
 from labelsift.sources import model_store, results, tables
 
@@ -150,10 +151,10 @@ def run_grid(data: Tables, specs: list[Spec], grid: list[dict], **kwargs) -> Dat
     return out
 
 
-def transductive_report(data: Tables, feature: str, masks: dict[str, DataFrame]) -> DataFrame:
+def transductive_report(data: Tables, feature: str, masks: dict[str, DataFrame], places: int | None = 3) -> DataFrame:
     """Precision, recall and PU score inside the training sets, all releases and techniques in one job.
 
-    ``masks``: technique -> frame ``file, release, reliable``.
+    ``masks``: technique -> frame ``file, release, reliable``; see ``plans.transductive``.
     """
     truth = relabel.relabel(data.labels, data.silent, data.latent, value=2).drop("label_source")
     parts = None
@@ -161,9 +162,4 @@ def transductive_report(data: Tables, feature: str, masks: dict[str, DataFrame])
         p = truth.join(mask.select("file", "release", "reliable"), ["file", "release"]).withColumn("technique", F.lit(technique))
         parts = p if parts is None else parts.unionByName(p)
     parts = parts.withColumn("feature_type", F.lit(feature)).where(~F.col("release").isin(*relabel.NO_RUN))
-    return evaluate.transductive_scores(parts, ["release", "feature_type", "technique"])
-
-
-def propagation_mask(rows: DataFrame, metric: str = "cosine", alpha: float = 1.0) -> DataFrame:
-    """``file, release, reliable`` of one release's rows ``file, release, s, x``."""
-    return pu.with_centroid_distances(rows, metric).select("file", "release", pu.is_reliable(alpha).alias("reliable"))
+    return evaluate.transductive_scores(parts, ["release", "feature_type", "technique"], places)

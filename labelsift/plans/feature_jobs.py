@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import CountVectorizer, Normalizer, SQLTransformer
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import CountVectorizerModel, Normalizer, SQLTransformer
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +26,15 @@ def prepare_code(code: DataFrame, column: str = "code", passes: int = 1) -> Data
     return code.withColumn("tokens", text.tokens(cleaned))
 
 
-def bag_of_words(size: int = vocabulary.VOCABULARY_SIZE) -> Pipeline:
-    """Term frequencies over the most frequent tokens of the fitted rows, scaled to length 1."""
-    return Pipeline(stages=[
-        CountVectorizer(inputCol="tokens", outputCol="counts", vocabSize=size, minDF=1.0),
+def bag_of_words(prepared: DataFrame, size: int = vocabulary.VOCABULARY_SIZE) -> PipelineModel:
+    """Term frequencies over the most frequent tokens of ``prepared``, scaled to length 1. Where several tokens are equally
+    frequent at the cut, the smaller ones are in, as in ``vocabulary.vocabulary``; ``size`` tokens reach the driver."""
+    words = prepared.select(F.explode("tokens").alias("token"), F.lit(1).alias("n"))
+    known = [r["token"] for r in vocabulary.vocabulary(words, size).collect()]
+    if not known:
+        raise ValueError("no tokens to make a vocabulary of")
+    return PipelineModel(stages=[
+        CountVectorizerModel.from_vocabulary(known, inputCol="tokens", outputCol="counts"),
         Normalizer(inputCol="counts", outputCol="features", p=2.0),
         SQLTransformer(statement="SELECT file, release, features FROM __THIS__"),
     ])
@@ -41,7 +46,7 @@ def bow_features(code: DataFrame, release: int, size: int = vocabulary.VOCABULAR
     if split is None:
         raise ValueError(f"release {release} has no run")
     prepared = prepare_code(code.where(F.col("release").isin(*split)))
-    model: PipelineModel = bag_of_words(size).fit(prepared.where(F.col("release") == split[0]))
+    model = bag_of_words(prepared.where(F.col("release") == split[0]), size)
     return {part: model.transform(prepared.where(F.col("release") == r)) for part, r in zip(("", "_val", "_test"), split)}
 
 

@@ -41,10 +41,6 @@ def write_predictions(df: DataFrame, path: str) -> None:
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN_KEY).parquet(path))
 
 
-def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
 def read_grid(spark: SparkSession, path: str) -> DataFrame:
     """Run specifications without a header line."""
     return spark.read.schema("release INT, model STRING, feature STRING, technique STRING").csv(path)
@@ -59,3 +55,16 @@ def add_overall_recall(results: DataFrame, predictions: DataFrame, labels: DataF
     scored = predictions.join(truth, ["file", "test_release"])
     recall = evaluate.recall_on(scored, "truth", by=RUN_KEY, name="recall_o")
     return results.join(recall, RUN_KEY, "left")
+
+
+def write_overall_recall(spark: SparkSession, path: str, predictions_path: str, labels: DataFrame, silent: DataFrame,
+                         latent: DataFrame, to: str) -> DataFrame:
+    """A new version, at ``to``, of the results table at ``path`` that has ``recall_o`` as well; the old version stays. Runs without
+    stored predictions have no figure."""
+    out = add_overall_recall(read_results(spark, path), spark.read.parquet(predictions_path), labels, silent, latent)
+    out.select(*RESULT_COLUMNS, "recall_o").write.mode("errorifexists").parquet(to)
+    return spark.read.schema(f"{_ddl()}, recall_o DOUBLE").parquet(to)
+
+
+def _ddl() -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in result_schema())

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelsift.operators import rollup
+from labelsift.session import settle
 
 LABELS = "file STRING, release INT, vulnerable BOOLEAN"
 CODE = "file STRING, release INT, vulnerable BOOLEAN, code STRING"
@@ -48,10 +49,16 @@ def read_latent(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return _read(spark, path, LATENT, fmt)
 
 
+def source_order() -> Column:
+    """Where a row stands in its source: file, start of the split it was read in, place in that split. Rows compare by it in the
+    order of the files' lines, whatever splits the files are read in and however splits are packed into tasks."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
+
+
 def read_raw_metrics(spark: SparkSession, path: str, release: int, order: str = "row_order") -> DataFrame:
     """Raw metric rows of one release; malformed lines are dropped. ``order`` is the source order."""
     df = _read(spark, path, raw_metric_schema(), "csv", mode="DROPMALFORMED", enforceSchema=False, columnPruning=False)
-    return rollup.normalise_raw(df.withColumn("release", F.lit(release)).withColumn(order, F.monotonically_increasing_id()))
+    return rollup.normalise_raw(df.select("*", F.lit(release).alias("release"), source_order().alias(order)))
 
 
 def at_release(df: DataFrame, release: int) -> DataFrame:
@@ -59,9 +66,18 @@ def at_release(df: DataFrame, release: int) -> DataFrame:
 
 
 def align(features: DataFrame, labels: DataFrame, key: tuple[str, ...] = ("file", "release"), check: bool = True) -> DataFrame:
-    """Features and labels by key. With ``check`` a label row without features raises ValueError."""
-    if check:
-        lost = labels.join(features.select(*key), list(key), "left_anti").limit(1).count()
-        if lost:
-            raise ValueError("some label rows have no features")
-    return features.join(labels, list(key))
+    """Features and labels by key: the columns of ``features``, then the labels' others.
+
+    With ``check`` a label row without features raises ValueError. One join does both: every label row is kept, the rows
+    without features are counted while the joined rows are settled, and what was settled is returned.
+    """
+    if not check:
+        return features.join(labels, list(key))
+    joined = labels.join(features.withColumn("_found", F.lit(True)), list(key), "left")
+    lost = Observation()
+    rows = settle(joined.observe(lost, F.count_if(F.col("_found").isNull()).alias("lost")))
+    rows.count()
+    if lost.get["lost"]:
+        rows.unpersist()
+        raise ValueError(f"{lost.get['lost']} label rows have no features")
+    return rows.select(*key, *[c for c in features.columns if c not in key], *[c for c in labels.columns if c not in key])

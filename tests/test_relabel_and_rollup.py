@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,33 @@ def test_bow_job(spark):
     assert out["_test"].first()["features"].numNonzeros() == 0
     with pytest.raises(ValueError):
         feature_jobs.bow_features(code, 80)
+
+
+def test_intervals_become_disjoint_runs(spark):
+    rng = np.random.default_rng(7)
+    rows = [("hot", int(a), int(a + rng.integers(0, 4))) for a in rng.integers(0, 400, 100_000)]
+    rows += [("a", 1, 3), ("a", 4, 6), ("a", 8, 9), ("a", 2, 2), ("b", 5, 4), ("c", None, 9), ("c", 3, None), (None, 1, 2)]
+    got = [tuple(r) for r in relabel.disjoint_intervals(spark.createDataFrame(rows, "file string, first_appear int, last_appear int")).collect()]
+    covered = {(f, r) for f, a, b in rows if a is not None and b is not None for r in range(a, b + 1)}
+    assert [(f, r) for f, a, b in got for r in range(a, b + 1)].__len__() == len(covered)
+    assert {(f, r) for f, a, b in got for r in range(a, b + 1)} == covered
+    runs = sorted(g[1:] for g in got if g[0] == "hot")
+    assert all(b + 1 < a for (_, b), (a, _) in zip(runs, runs[1:])) and sorted(g[1:] for g in got if g[0] == "a") == [(1, 6), (8, 9)]
+
+
+def test_many_intervals_of_one_file_label_each_row_once(spark):
+    spans = spark.range(100_000).select(F.lit("hot").alias("file"), (F.col("id") % 50).cast("int").alias("first_appear"), (F.col("id") % 50 + 2).cast("int").alias("last_appear"))
+    labels = spark.createDataFrame([("hot", r, 0) for r in (0, 30, 51, 52)] + [("cold", 30, 0)], "file string, release int, vulnerable int")
+    got = {(r["file"], r["release"]): r["vulnerable"] for r in relabel.relabel(labels, None, spans).collect()}
+    assert got == {("hot", 0): 1, ("hot", 30): 1, ("hot", 51): 1, ("hot", 52): 0, ("cold", 30): 0}
+
+
+def test_alignment_scans_each_side_once(spark, tmp_path):
+    f = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.6)], "file string, release int, m double")
+    labels = spark.createDataFrame([("a", 1, 0), ("b", 1, 1)], "file string, release int, vulnerable int")
+    f.write.parquet(str(tmp_path / "f"))
+    labels.write.parquet(str(tmp_path / "l"))
+    out = tables.align(spark.read.parquet(str(tmp_path / "f")), spark.read.parquet(str(tmp_path / "l")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == ["file", "release", "m", "vulnerable"] and out.count() == 2
+    assert plan.split("Initial Plan")[0].count("FileScan parquet") == 2

@@ -96,3 +96,72 @@ def test_grid(spark, tmp_path):
     (tmp_path / "grid.csv").write_text("63,rf,bert,baseline\n64,rf,sm,pruning\n")
     assert [tuple(r) for r in results.read_grid(spark, str(tmp_path / "grid.csv")).orderBy("release").collect()] == [
         (63, "rf", "bert", "baseline"), (64, "rf", "sm", "pruning")]
+
+
+@pytest.mark.parametrize("split", [300, 1_000, 10**8])
+def test_first_file_row_is_that_of_the_source(spark, tmp_path, split):
+    names = ["Kind", "File", *rollup.FILE_FIRST, *rollup.CLASS_SUM, *rollup.CLASS_MEAN, *rollup.FUNCTION_SPREAD]
+    want = {}
+    (tmp_path / "raw").mkdir()
+    for part in range(3):
+        lines = [",".join(names)]
+        for i in range(60):
+            value = part * 1000 + i
+            lines.append(",".join(["File", f"src\\f{(i * 7 + part) % 40}.cpp", *[str(value)] * (len(names) - 2)]))
+            want.setdefault(f"src/f{(i * 7 + part) % 40}.cpp", value)
+        (tmp_path / "raw" / f"part-{part}.csv").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        raw = tables.read_raw_metrics(spark, str(tmp_path / "raw"), 63)
+        labels = spark.createDataFrame([(f, 63) for f in want], "file string, release int")
+        got = {r["file"]: r["CountLine"] for r in rollup.roll_up(labels, raw, "row_order").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want
+
+
+@pytest.mark.parametrize("split", [200, 5_000, 10**8])
+def test_records_are_numbered_in_the_order_of_the_source(spark, tmp_path, split):
+    (tmp_path / "text").mkdir()
+    want = []
+    for part in range(3):
+        records = [f"__label__{i % 3} record {part} {i}\nsecond line {'x' * (i % 50)}\n\nfourth" for i in range(120)]
+        want += [f"record {part} {i}" for i in range(120)]
+        (tmp_path / "text" / f"part-{part}.txt").write_text("\n".join(records) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        records = labelled_text.read_labelled_text(spark, str(tmp_path / "text"), index="record")
+        if split < 10**8:
+            assert records.rdd.getNumPartitions() > 3
+        got = {r["record"]: r["text"].split(" __newline__")[0] for r in records.collect()}
+        ids = spark.createDataFrame([(i,) for i in range(0, 360, 7)], "record bigint")
+        chosen = labelled_text.select_records(records, ids, "record")
+        others = labelled_text.select_records(records, ids, "record", keep=False)
+        assert sorted(r["record"] for r in chosen.collect()) == list(range(0, 360, 7)) and others.count() == 360 - len(range(0, 360, 7))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == dict(enumerate(want))
+
+
+def test_results_get_a_new_version(spark, tmp_path):
+    labels = spark.createDataFrame([("a", 65, 0), ("b", 65, 1)], "file string, release int, vulnerable int")
+    silent = spark.createDataFrame([("a", 65)], "file string, release int")
+    latent = spark.createDataFrame([], "file string, first_appear int, last_appear int")
+    pred = spark.createDataFrame([(63, "x", "x", "baseline", f, 65, p) for f, p in [("a", 1), ("b", 0)]],
+                                 "release int, classifier string, feature_type string, technique string, file string, test_release int, predicted int")
+    results.write_predictions(pred, str(tmp_path / "pred"))
+    for r in (63, 64):
+        results.append_results(result_row(spark, r, "baseline"), str(tmp_path / "results"))
+    out = results.write_overall_recall(spark, str(tmp_path / "results"), str(tmp_path / "pred"), labels, silent, latent, str(tmp_path / "results-2"))
+    assert out.columns == [*results.RESULT_COLUMNS, "recall_o"]
+    assert {r["release"]: r["recall_o"] for r in out.collect()} == {63: 0.5, 64: None}
+    assert results.read_results(spark, str(tmp_path / "results")).columns == results.RESULT_COLUMNS
+
+
+def test_vocabulary_ties_are_cut_by_token(spark):
+    from labelsift.plans import feature_jobs
+
+    docs = spark.createDataFrame([("a", 63, ["z", "y", "x", "w", "w"]), ("b", 63, ["y", "z", "x", "v"])], "file string, release int, tokens array<string>")
+    model = feature_jobs.bag_of_words(docs, 3)
+    assert model.stages[0].vocabulary == ["w", "x", "y"]
+    assert {r["file"]: r["features"].numNonzeros() for r in model.transform(docs).collect()} == {"a": 3, "b": 2}
