@@ -8,9 +8,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsift.catalog import REGISTRY, label_rows, latent_rows, month_index, pe, query, r6, silent_rows, table  # noqa: F401
+from labelsift.catalog import PL_K, REGISTRY, label_rows, latent_rows, month_index, page_tokens, pe, pl, query, r6, silent_rows, table  # noqa: F401
 from labelsift.functions.probability import argmax_class
-from labelsift.operators import evaluate, relabel, rollup, validate
+from labelsift.operators import evaluate, joint, relabel, rollup, validate
 from labelsift.plans import experiment, feature_jobs, transductive
 from labelsift.session import ensure_checkpoint_dir, settle
 from labelsift.sources import features, labelled_text, results, tables
@@ -177,3 +177,31 @@ def checked_accuracy(spark, folder):
     plain = evaluate.weighted_accuracy(rows, "s", "prediction", None).select(r6("accuracy").alias("accuracy"))
     weighted = evaluate.weighted_accuracy(rows, "s", "prediction", "w").select(r6("accuracy").alias("weighted"))
     return plain.select("accuracy", weighted.scalar().alias("weighted"))
+
+
+# ---------------------------------------------------------------- encoders and the older joint
+
+def make_matrix_encoder():
+    """A small deterministic encoder: whole-number token vectors, averaged over the tokens that the mask shows."""
+    import numpy as np
+
+    vectors = (np.arange(997)[:, None] * (2 * np.arange(8) + 1)[None]) % 17 - 8
+
+    def encode(ids, mask):
+        return (vectors[ids % 997] * mask[:, :, None]).sum(axis=1) / mask.sum(axis=1)[:, None]
+
+    return encode
+
+
+@query
+def embedded_pages(spark, folder):
+    """Pages as code tokens, encoded in batches of similar length: separator, at most 512 tokens, padded and masked."""
+    tokens = page_tokens(spark, folder)
+    ids = F.transform("tokens", lambda t: (F.length(t) * 31 + F.ascii(t)).cast("bigint"))
+    out = feature_jobs.embed_tokens(tokens.select("id", ids.alias("token_ids")), make_matrix_encoder)
+    return out.select("id", F.posexplode("features").alias("i", "v")).select("id", "i", r6("v").alias("v"))
+
+
+@query
+def prior_forcing_joint(spark, folder):
+    return joint.prior_forcing_joints(pl(spark, folder), PL_K)[-1].select("s", "y", "n")

@@ -538,3 +538,45 @@ SQL |= {
     "checked_accuracy": build("pe_argmax", """SELECT round(avg(CASE WHEN y = s THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy,
         round(sum(CASE WHEN y = s THEN id % 3 + 1.0::DOUBLE ELSE 0.0 END) / sum(id % 3 + 1.0::DOUBLE), 6) AS weighted FROM pe_argmax"""),
 }
+
+# Cramer's rule for three classes.
+part("eqn_row", "pl_nm pl_ps", "SELECT " + ", ".join(f"max(m.p) FILTER (m.s = {a} AND m.y = {b}) AS m{a}{b}" for a in range(3) for b in range(3)) + ", "
+     + ", ".join(f"max(ps.p) FILTER (ps.s = {a}) AS v{a}" for a in range(3)) + " FROM pl_nm m JOIN pl_ps ps ON ps.s = m.s")
+
+
+def _determinant(swapped: int | None) -> str:
+    c = lambda a, b: f"v{a}" if b == swapped else f"m{a}{b}"
+    return " + ".join(f"{c(0, i)} * ({c(1, j)} * {c(2, k)} - {c(1, k)} * {c(2, j)})" for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)))
+
+
+part("eqn_p", "eqn_row", " UNION ALL ".join(f"SELECT {y} AS y, greatest(least(({_determinant(y)}) / ({_determinant(None)}), 1.0), 1e-5) AS p FROM eqn_row" for y in range(3)))
+
+
+def _converged() -> str:
+    """Three times five alternations between P(y|s) and P(y), after each five P(s|y) anew."""
+    part("agree_nm0", "pl_nm", "SELECT s, y, c / sum(c) OVER (PARTITION BY y) AS p FROM (SELECT s, y, CASE WHEN s = y THEN p ELSE least(greatest(p, 0.0), 0.9999) END AS c FROM pl_nm)")
+    part("agree_py0", "cpy_cnt", "SELECT y, p FROM cpy_cnt")
+    step = 0
+    for outer in range(3):
+        for _ in range(5):
+            nm, py, inv = f"agree_nm{outer}", f"agree_py{step}", f"agree_inv{step + 1}"
+            part(inv, f"{nm} {py} pl_ps", f"""SELECT s, y, c / sum(c) OVER (PARTITION BY s) AS p FROM (SELECT m.s, m.y, CASE WHEN m.s = m.y THEN m.p * q.p / ps.p
+                ELSE least(greatest(m.p * q.p / ps.p, 0.0), 0.9999) END AS c FROM {nm} m JOIN {py} q ON q.y = m.y JOIN pl_ps ps ON ps.s = m.s)""")
+            part(f"agree_py{step + 1}", f"{inv} {nm} pl_ps", f"""SELECT y, c / sum(c) OVER () AS p FROM (SELECT i.y, least(greatest(i.p / m.p * ps.p, 1e-5), 1.0) AS c
+                FROM {inv} i JOIN {nm} m ON m.s = i.s AND m.y = i.y JOIN pl_ps ps ON ps.s = i.s WHERE i.s = i.y)""")
+            step += 1
+        part(f"agree_nm{outer + 1}", f"agree_inv{step} agree_py{step} pl_ps", f"""SELECT s, y, c / sum(c) OVER (PARTITION BY y) AS p FROM (SELECT i.s, i.y,
+            CASE WHEN i.s = i.y THEN i.p * ps.p / q.p ELSE least(greatest(i.p * ps.p / q.p, 0.0), 0.9999) END AS c
+            FROM agree_inv{step} i JOIN pl_ps ps ON ps.s = i.s JOIN agree_py{step} q ON q.y = i.y)""")
+    return build("agree_nm3", "SELECT s, y, round(p, 6) AS p FROM agree_nm3").replace(" AS (", " AS MATERIALIZED (")
+
+
+SQL |= {
+    "latent_prior_eqn": build("eqn_p", "SELECT y, round(p / sum(p) OVER (), 6) AS p FROM eqn_p"),
+    "latent_converged": _converged(),
+    "prior_forcing_joint": build("pl_cj", "SELECT s, y, n FROM pl_cj"),
+    "embedded_pages": build("page_plain", f"""SELECT id, CAST(i AS INTEGER) AS i, round((sum((h % 997 * (2 * i + 1)) % 17 - 8) + (2 * i + 1) % 17 - 8) / (count(h) + 1.0::DOUBLE), 6) AS v
+        FROM (SELECT id, unnest(range(8)) AS i, t FROM (SELECT id, regexp_extract_all(code, {_token_pattern()})[1:511] AS t FROM page_plain))
+        LEFT JOIN LATERAL (SELECT length(w) * 31 + ascii(w) AS h FROM (SELECT unnest(t) AS w)) ON TRUE GROUP BY id, i"""),
+}
+

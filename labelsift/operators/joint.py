@@ -109,6 +109,29 @@ def confident_joint(probs: DataFrame, k: int, thresholds=None, calibrate: bool =
     return calibrated(cells) if calibrate else cells
 
 
+def prior_forcing_joints(probs: DataFrame, k: int, thresholds: list[float] | None = None, rounds: int = 5, rate: float = 0.5) -> list[DataFrame]:
+    """The calibrated joints of ``rounds`` countings, each under thresholds moved by ``rate`` times what the last joint's share of every
+    given class is off the class's share of the rows. The last one is the result.
+
+    K*K numbers come to the driver for each round. As calibration keeps the class counts, shares are off by rounding only, and
+    all joints are equal; the loop is kept for users of the older estimate.
+    """
+    counts = {r["s"]: r["n"] for r in class_counts(probs, k).collect()}
+    total = sum(counts.values())
+    if thresholds is None:
+        mean = {r["s"]: r["t"] for r in class_thresholds(probs).collect()}
+        thresholds = [mean.get(c) for c in range(k)]  # None: no row, so never confident
+    out = []
+    for _ in range(rounds):
+        joint = frames.pinned(confident_joint(probs, k, [float("inf") if t is None else t for t in thresholds]))
+        out.append(joint)
+        cells = joint.groupBy("s").agg(F.sum("n").alias("n")).collect()
+        all_cells = sum(r["n"] for r in cells)
+        share = {r["s"]: r["n"] / all_cells for r in cells} if all_cells else {}
+        thresholds = [None if t is None else t + rate * (share.get(c, 0.0) - counts[c] / total) for c, t in enumerate(thresholds)]
+    return out
+
+
 def multilabel_joint(probs: DataFrame, k: int, thresholds=None, calibrate: bool = True) -> DataFrame:
     """Joint over label lists: every (given label, class above its threshold) pair counts."""
     t = threshold_array(probs, k, thresholds, multi_label=True)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
@@ -12,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelsift.functions.ordering import hash_key
+from labelsift.session import in_parallel
 
 WEIGHT = "_fit_weight"
 
@@ -90,8 +89,7 @@ class BalancedForest(Estimator, _Columns):
             rows = rows.withColumn(WEIGHT, class_weight(rows, self.getLabelCol(), "balanced") * F.col("_own"))
             return f.copy({f.seed: self.seed + bag}).fit(rows)
 
-        with ThreadPoolExecutor(self.parallelism) as pool:
-            models = list(pool.map(one, range(n_bags)))
+        models = in_parallel(df.sparkSession, one, range(n_bags), self.parallelism)
         return BalancedForestModel(models, self.getFeaturesCol(), self.getProbabilityCol(), self.getPredictionCol())
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -12,7 +11,7 @@ from labelsift.operators import evaluate, joint
 from labelsift.plans import crossval
 from labelsift.plans.models import positive_score
 from labelsift.plans.noisy_labels import NoisyLabelClassifier, NoisyLabelModel
-from labelsift.session import settle
+from labelsift.session import in_parallel, settle
 
 # Candidate removals of class 0, and the steps below the class-1 threshold.
 BUDGETS = [50, 100, 500, 1000]
@@ -52,7 +51,6 @@ def tune(classifier, train: DataFrame, val: DataFrame, method: str = "prune_by_n
         scored = positive_score(model.transform(val)).select(F.col("s").alias("label"), "p")
         return float(evaluate.exact_auc(scored).first()["auc"]), model
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        tried = list(pool.map(score, candidates))
+    tried = in_parallel(train.sparkSession, score, candidates, parallelism)
     best = max(range(len(candidates)), key=lambda i: (tried[i][0], -i))
     return TunedLabels(tried[best][1], candidates[best], [(c, t[0]) for c, t in zip(candidates, tried)])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from labelsift.functions.probability import entries
 from labelsift.operators import pu, sampling
-from labelsift.session import settle, ship_package
+from labelsift.session import in_parallel, settle, ship_package
 
 
 def cross_val_probabilities(df: DataFrame, estimator, n_folds: int = 5, seed: int = 0, key: Column | None = None,
@@ -27,8 +26,7 @@ def cross_val_probabilities(df: DataFrame, estimator, n_folds: int = 5, seed: in
         out = model.transform(folded.where(F.col("fold") == fold))
         return out.select(*folded.columns, vector_to_array(estimator.getProbabilityCol()).alias("psx"))
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        parts = list(pool.map(scored, range(n_folds)))
+    parts = in_parallel(df.sparkSession, scored, range(n_folds), parallelism)
     return reduce(DataFrame.unionByName, parts)
 
 

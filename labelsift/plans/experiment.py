@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelsift.operators import evaluate, relabel
+from labelsift.operators import evaluate, frames, relabel
 from labelsift.plans import confident_tuning, models, pu_models
 from labelsift.plans.transductive import propagation_mask  # noqa: F401
-from labelsift.session import settle
+from labelsift.session import in_parallel, released, settle
 from labelsift.sources import model_store, results, tables
 
 
@@ -54,9 +54,15 @@ def split(data: Tables, spec: Spec) -> tuple[DataFrame, DataFrame, DataFrame]:
 def run(data: Tables, spec: Spec, grid: list[dict], seed: int = 42, results_path: str | None = None,
         predictions_path: str | None = None, model_path: str | None = None, nus: list[float] | None = None,
         parallelism: int = 2) -> DataFrame:
-    """Run one specification and return its result row (also appended to the sinks given)."""
+    """Run one specification and return its result row (also appended to the sinks given). What the run settles is given up at its end."""
     if spec.technique not in results.TECHNIQUES:
         raise ValueError(f"unknown technique {spec.technique}")
+    with released():
+        return _run(data, spec, grid, seed, results_path, predictions_path, model_path, nus, parallelism)
+
+
+def _run(data: Tables, spec: Spec, grid: list[dict], seed: int, results_path: str | None, predictions_path: str | None,
+         model_path: str | None, nus: list[float] | None, parallelism: int) -> DataFrame:
     train, val, test = split(data, spec)
     metric = "euclidean" if spec.feature == "sm" else "cosine"
     if spec.technique == "oneclass":
@@ -81,14 +87,14 @@ def run(data: Tables, spec: Spec, grid: list[dict], seed: int = 42, results_path
         scored = score(model, test).withColumn("predicted", (F.col("p") >= cut).cast("int"))
     scored = settle(scored.select("file", "release", "s", "p", "predicted"))
     pred_time = (scored.count(), time.time() - t0)[1]
-    row = evaluate_run(scored, data, spec, params, val_score, (val_time, train_time, pred_time))
-    if results_path:
-        results.append_results(row, results_path)
+    row = frames.pinned(evaluate_run(scored, data, spec, params, val_score, (val_time, train_time, pred_time)))  # one row
     if predictions_path:
         keyed = scored.withColumn("test_release", F.col("release")).drop("release", "p").withColumnRenamed("s", "vulnerable")
         results.write_predictions(_with_key(keyed, spec), predictions_path)
     if model_path:
         model_store.save(model, f"{model_path}/r{spec.release}_{spec.model}_{spec.feature}_{spec.technique}")
+    if results_path:  # last, so that a row stands for a run that has ended
+        results.append_results(row, results_path)
     return row
 
 
@@ -119,8 +125,7 @@ def fit_technique(technique: str, classifier, train: DataFrame, val: DataFrame,
 
 
 def _with_key(df: DataFrame, spec: Spec) -> DataFrame:
-    kind = "ocsvm" if spec.technique == "oneclass" else spec.model
-    return (df.withColumn("release", F.lit(spec.release)).withColumn("classifier", F.lit(kind))
+    return (df.withColumn("release", F.lit(spec.release)).withColumn("classifier", F.lit(classifier_name(spec)))
             .withColumn("feature_type", F.lit(spec.feature)).withColumn("technique", F.lit(spec.technique)))
 
 
@@ -142,9 +147,27 @@ def evaluate_run(scored: DataFrame, data: Tables, spec: Spec, params: dict, val_
     return _with_key(metrics, spec).select(*results.RESULT_COLUMNS)
 
 
-def run_grid(data: Tables, specs: list[Spec], grid: list[dict], **kwargs) -> DataFrame | None:
-    """All runs that exist, one after the other; each is a set of Spark jobs over its own rows."""
-    rows = [run(data, s, grid, **kwargs) for s in specs if relabel.split_releases(s.release) is not None]
+def classifier_name(spec: Spec) -> str:
+    return "ocsvm" if spec.technique == "oneclass" else spec.model
+
+
+def run_grid(data: Tables, specs: list[Spec], grid: list[dict], results_path: str | None = None, runs_at_once: int = 2, **kwargs) -> DataFrame | None:
+    """One result row for every run that exists; None where none does.
+
+    ``runs_at_once`` runs go on at a time, each in a scheduler pool of its own (which share the executors under
+    ``spark.scheduler.mode=FAIR``). A run appends its row when it has ended, so after an interruption the same call does the runs
+    that ``results_path`` has no row of, and returns the stored rows of the others. A specification named twice is run once.
+    """
+    spark = data.labels.sparkSession
+    wanted = {(s.release, classifier_name(s), s.feature, s.technique): s for s in specs if relabel.split_releases(s.release) is not None}
+    stored = results.stored(spark, results_path) if results_path else None
+    rows = []
+    if stored is not None:
+        stored = frames.pinned(stored.dropDuplicates(results.RUN_KEY))  # a row for each run
+        done = {tuple(r) for r in stored.select(*results.RUN_KEY).collect()} & set(wanted)
+        rows = [stored.where(F.struct(*results.RUN_KEY).isin([F.struct(*map(F.lit, k)) for k in done]))] if done else []
+        wanted = {k: s for k, s in wanted.items() if k not in done}
+    rows += in_parallel(spark, lambda s: run(data, s, grid, results_path=results_path, **kwargs), wanted.values(), runs_at_once, pool="run")
     out = None
     for r in rows:
         out = r if out is None else out.unionByName(r)

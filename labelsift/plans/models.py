@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from labelsift.operators import evaluate, joint
 from labelsift.plans.balanced import BalancedForest, ClassWeighted
-from labelsift.session import released, settle
+from labelsift.session import in_parallel, released, settle
 
 # Search ranges.
 RANGES = {"max_depth": (2, 15), "max_leaf_nodes": (2, 500), "n_estimators": (50, 500), "max_features": (0.01, 0.7)}
@@ -92,8 +91,7 @@ def search(kind: str, train: DataFrame, val: DataFrame, grid: list[dict], object
                 return float(evaluate.exact_auc(scored).first()["auc"])
             return float(evaluate.binary_metrics(scored, places=None).first()["recall_score"] or 0.0)
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        scores = list(pool.map(trial, grid))
+    scores = in_parallel(train.sparkSession, trial, grid, parallelism)
     best = max(range(len(grid)), key=lambda i: (scores[i], -i))
     trials = train.sparkSession.createDataFrame([(i, str(g), s) for i, (g, s) in enumerate(zip(grid, scores))],
                                                 "trial int, params string, score double")

@@ -6,7 +6,6 @@ Training frames have ``id, s`` (1 = positive, 0 = unlabelled) and ``features`` (
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from labelsift.operators import evaluate, pu, rank, sampling
 from labelsift.plans.balanced import mean_probability
 from labelsift.plans.models import positive_score
-from labelsift.session import settle, ship_package
+from labelsift.session import in_parallel, settle, ship_package
 
 
 class ElkanNoto:
@@ -49,9 +48,8 @@ class BaggingPU:
 
     def fit(self, df: DataFrame) -> "BaggingPU":
         df = settle(df)
-        with ThreadPoolExecutor(self.parallelism) as pool:
-            self.models = list(pool.map(
-                lambda b: self.classifier.fit(sampling.bag(df, b, self.n_bags, seed=self.seed)), range(self.n_bags)))
+        bag = lambda b: self.classifier.fit(sampling.bag(df, b, self.n_bags, seed=self.seed))
+        self.models = in_parallel(df.sparkSession, bag, range(self.n_bags), self.parallelism)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -85,8 +83,7 @@ class TwoStagePU:
             scored = positive_score(model.transform(val)).select(F.col("s").alias("label"), "p")
             return float(evaluate.exact_auc(scored).first()["auc"])
 
-        with ThreadPoolExecutor(self.parallelism) as pool:
-            self.scores = list(pool.map(score, self.alphas))
+        self.scores = in_parallel(df.sparkSession, score, self.alphas, self.parallelism)
         self.alpha = self.alphas[max(range(len(self.alphas)), key=lambda i: (self.scores[i], -i))]
         kept = near
         if self.compat_subset:

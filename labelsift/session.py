@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextvars
 import tempfile
 import threading
 import zipfile
+from collections.abc import Callable, Iterable
+from concurrent.futures import CancelledError, ThreadPoolExecutor
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -49,22 +52,50 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
-_scopes = threading.local()
+_held: contextvars.ContextVar[list | None] = contextvars.ContextVar("held", default=None)
 
 
 @contextmanager
 def released():
-    """Frames that ``settle`` persists inside, in this thread, are given up at the end. Results must have been taken by then."""
-    held, before = [], getattr(_scopes, "held", None)
-    _scopes.held = held
+    """Frames that ``settle`` persists inside, also in the threads of ``in_parallel``, are given up at the end. Results must have
+    been taken by then."""
+    held: list = []
+    token = _held.set(held)
     try:
         yield
     finally:
-        _scopes.held = before
+        _held.reset(token)
         for df in held:
             df.unpersist()
 
 
+def in_parallel(spark: SparkSession, fn: Callable, items: Iterable, parallelism: int, pool: str | None = None) -> list:
+    """``fn`` of every item, in order, ``parallelism`` at a time; once one fails, no other is begun. The threads share the
+    caller's scope of settled frames. With ``pool`` the n-th item's jobs go to the scheduler pool of that name and number, so that under the FAIR scheduler items share the
+    executors evenly instead of waiting for one another; else they stay in the caller's pool.
+    """
+    sc = spark.sparkContext
+    own, failed = sc.getLocalProperty("spark.scheduler.pool"), threading.Event()
+
+    def one(numbered: tuple):
+        i, item = numbered
+        if failed.is_set():
+            raise CancelledError
+        sc.setLocalProperty("spark.scheduler.pool", f"{pool}-{i}" if pool else own)
+        try:
+            return fn(item)
+        except BaseException:
+            failed.set()
+            raise
+        finally:
+            sc.setLocalProperty("spark.scheduler.pool", None)
+
+    numbered = list(enumerate(items))
+    contexts = [contextvars.copy_context() for _ in numbered]
+    with ThreadPoolExecutor(max(1, parallelism)) as threads:
+        return list(threads.map(lambda c, x: c.run(one, x), contexts, numbered))
+
+
 def settle(df: DataFrame, how: str = "persist") -> DataFrame:
     """Keep a result that several jobs read.
 
@@ -79,8 +110,8 @@ def settle(df: DataFrame, how: str = "persist") -> DataFrame:
         if df.is_cached:
             return df
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        if getattr(_scopes, "held", None) is not None:
-            _scopes.held.append(df)
+        if _held.get() is not None:
+            _held.get().append(df)
         return df
     if how == "checkpoint":
         ensure_checkpoint_dir(df.sparkSession)

@@ -36,6 +36,14 @@ def read_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     return (reader.option("header", True) if fmt == "csv" else reader).load(path)
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The results at ``path``, None before the first is written."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return read_results(spark, path)
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     """``df`` has the run key, the test rows and ``predicted``. A rerun replaces its own partition."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN_KEY).parquet(path))

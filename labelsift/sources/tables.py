@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,16 +68,15 @@ def at_release(df: DataFrame, release: int) -> DataFrame:
 def align(features: DataFrame, labels: DataFrame, key: tuple[str, ...] = ("file", "release"), check: bool = True) -> DataFrame:
     """Features and labels by key: the columns of ``features``, then the labels' others.
 
-    With ``check`` a label row without features raises ValueError. One join does both: every label row is kept, the rows
-    without features are counted while the joined rows are settled, and what was settled is returned.
+    With ``check`` a label row without features raises ValueError. One join does both: every label row is kept, the joined
+    rows are settled while those without features are counted, and what was settled is returned.
     """
     if not check:
         return features.join(labels, list(key))
     joined = labels.join(features.withColumn("_found", F.lit(True)), list(key), "left")
-    lost = Observation()
-    rows = settle(joined.observe(lost, F.count_if(F.col("_found").isNull()).alias("lost")))
-    rows.count()
-    if lost.get["lost"]:
+    rows = settle(joined)
+    lost = rows.agg(F.count_if(F.col("_found").isNull())).first()[0]
+    if lost:
         rows.unpersist()
-        raise ValueError(f"{lost.get['lost']} label rows have no features")
+        raise ValueError(f"{lost} label rows have no features")
     return rows.select(*key, *[c for c in features.columns if c not in key], *[c for c in labels.columns if c not in key])

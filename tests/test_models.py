@@ -173,3 +173,64 @@ def test_transductive_report(small_release_tables):
     mask = experiment.propagation_mask(rows.select("file", "release", F.col("vulnerable").alias("s"), vector_to_array("features").alias("x")))
     out = experiment.transductive_report(small_release_tables, "bert", {"propagation1": mask, "again": mask}).collect()
     assert len(out) == 2 and out[0]["recall"] == out[1]["recall"]
+
+
+def test_grid_resumes_after_an_interruption(spark, small_release_tables, tmp_path, monkeypatch):
+    grid = [{"max_depth": 2, "n_estimators": 2, "max_features": 0.5}]
+    specs = [experiment.Spec(63, "rf", "bert", t) for t in ("baseline", "oneclass", "adaptation", "manual_cleaning", "regularize", "propagation1")]
+    specs += [specs[0], experiment.Spec(80, "rf", "bert", "baseline")]  # named twice; no such run
+    path, calls, real = str(tmp_path / "results"), [], experiment._run
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def interrupted(data, spec, *args):
+        calls.append(spec.technique)
+        if len(calls) == 4:
+            raise RuntimeError("stopped")
+        return real(data, spec, *args)
+
+    monkeypatch.setattr(experiment, "_run", interrupted)
+    with pytest.raises(RuntimeError):
+        experiment.run_grid(small_release_tables, specs, grid, path, runs_at_once=1, nus=[0.1, 0.3])
+    assert results.read_results(spark, path).count() == 3
+    out = experiment.run_grid(small_release_tables, specs, grid, path, runs_at_once=3, nus=[0.1, 0.3])
+    assert sorted(r["technique"] for r in out.collect()) == sorted({s.technique for s in specs[:6]})
+    assert sorted(calls) == sorted([s.technique for s in specs[:6]] + [calls[3]])
+    stored = results.read_results(spark, path)
+    assert stored.count() == 6 == stored.select(*results.RUN_KEY).distinct().count()
+    again = experiment.run_grid(small_release_tables, specs, grid, path)
+    assert again.count() == 6 and len(calls) == 7
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_embeddings_do_not_depend_on_what_shares_a_batch(spark):
+    from labelsift.plans import feature_jobs
+
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.integers(2, 90, n).tolist()) for i, n in enumerate([0, 1, 700, 3, 40, 41, 5, 511, 512, 2] * 5)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id int, token_ids array<int>").repartition(3)
+    table = rng.integers(-5, 6, (90, 4)).astype(float)
+
+    def make(shapes=None):
+        def encode(ids, mask):
+            assert ids.shape == mask.shape and (mask.sum(axis=1) >= 1).all() and mask.sum(axis=1).max() == ids.shape[1]
+            return (table[ids] * mask[:, :, None]).sum(axis=1) / mask.sum(axis=1)[:, None]
+        return encode
+
+    for size in (1, 7, 64):
+        got = {r["id"]: r["features"] for r in feature_jobs.embed_tokens(df, make, batch_size=size).collect()}
+        assert len(got) == len(rows)
+        for i, t in rows:
+            cut = [1, *(t or [])][:512]
+            assert got[i] == pytest.approx(table[cut].mean(axis=0).tolist())
+
+
+def test_prior_forcing_changes_nothing(spark, noisy):
+    from labelsift.operators import joint
+
+    df, _, _ = noisy
+    want = sorted(tuple(r) for r in joint.confident_joint(df, 3).select("s", "y", "n").collect())
+    for j in joint.prior_forcing_joints(df, 3, rounds=3):
+        assert sorted(tuple(r) for r in j.select("s", "y", "n").collect()) == want
+    fixed = joint.prior_forcing_joints(df, 3, [0.2, 0.3, 0.4], rounds=2)
+    assert sorted(tuple(r) for r in fixed[1].select("s", "y", "n").collect()) == sorted(
+        tuple(r) for r in joint.confident_joint(df, 3, [0.2, 0.3, 0.4]).select("s", "y", "n").collect())
