@@ -242,7 +242,7 @@ def single_windows(context: DataFrame, open_: DataFrame, length: int) -> DataFra
 
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     """``id, check, lo, stop``: byte spans made of windows of ``length`` bytes that also start elsewhere."""
-    level0 = sampled(texts, length)
+    level0 = scratch.write(sampled(texts, length))  # texts are scanned and hashed once
     often = level0.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     level0 = scratch.write(level0.join(often, "gram"))
     step0 = scratch.write(refine(level0, ["gram"]))
