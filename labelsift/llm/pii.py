@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ANY = re.compile(r"[0-9@]")
 TOKEN_REST = re.compile(r"[0-9@]\S*")
 NOT_DIGIT = re.compile(r"[^0-9]+")
+DIGIT, LETTERS, WORD = re.compile(r"[0-9]"), re.compile(r"[^\W\d_]+"), re.compile(r"\S+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 LABELS = 1 + len(KINDS)  # 0: none
@@ -78,8 +80,28 @@ class Graph:
     skip: list = field(default_factory=list)
 
 
+def named(word: str) -> str:
+    """The word itself, or its hash if it is long: names of features stay short, whole words count."""
+    return word if len(word) <= 64 else f"#{xxhash.xxh64_hexdigest(word.encode('utf-8', 'surrogatepass'))}"
+
+
 def shape(core: str) -> str:
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]", "0", core[:40]))
+    return named(LETTERS.sub("a", DIGIT.sub("0", core)))
+
+
+def word_before(text: str, start: int) -> str:
+    stop = start
+    while stop > 0 and text[stop - 1].isspace():
+        stop -= 1
+    at = stop
+    while at > 0 and not text[at - 1].isspace():
+        at -= 1
+    return text[at:stop]
+
+
+def word_after(text: str, end: int) -> str:
+    m = WORD.search(text, end)
+    return m[0] if m else ""
 
 
 def graph(text: str, base: list[tuple[int, int, int]], g: Graph | None = None) -> Graph:
@@ -104,14 +126,12 @@ def graph(text: str, base: list[tuple[int, int, int]], g: Graph | None = None) -
         while b < len(base) and base[b][1] <= lo:
             b += 1
         label = next((k + 1 for s, e, k in base[b:b + 4] if s < hi and e > lo), 0)
-        prev = text[max(0, start - 40):start].split()
-        following = text[m.end():m.end() + 40].split()
         digits = NOT_DIGIT.sub("", core)
         n = len(g.spans)
         g.spans.append((lo, hi))
         g.seen.append(label)
         g.features.append([f"shape:{shape(core)}", f"digits:{min(20, len(digits))}", f"at:{'@' in core}", f"plus:{'+' in core}", f"letters:{any(c.isalpha() for c in core)}",
-                           f"before:{prev[-1].strip(EDGE).lower()[:12] if prev else ''}", f"after:{following[0].strip(EDGE).lower()[:12] if following else ''}"])
+                           f"before:{named(word_before(text, start).strip(EDGE).lower())}", f"after:{named(word_after(text, m.end()).strip(EDGE).lower())}"])
         if before >= 0 and text[g.spans[before][1]:lo].strip(EDGE).isspace():
             g.chain.append((before, n))
         before = n
@@ -180,7 +200,7 @@ def train(docs: DataFrame, sample: int = 20_000, seed: int = 42, id_col: str = "
     their id and at most ``most_tokens`` of their tokens. Agreement across skip edges has a prior, as repeats are rare.
     None if the sample has no base match."""
     ship_package(docs.sparkSession)
-    chosen = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit(seed), "id")).limit(sample)
+    chosen = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "id", "left_semi")  # at most ``sample`` ids
 
     def run(batches):
@@ -196,13 +216,14 @@ def train(docs: DataFrame, sample: int = 20_000, seed: int = 42, id_col: str = "
                 for i, j in g.skip:
                     skip[i, g.seen[j]] += 1
                     skip[j, g.seen[i]] += 1
-                found += [(ident, f, y, a.tolist(), b.tolist(), c.tolist()) for f, y, a, b, c in zip(g.features, g.seen, left, right, skip)]
-            yield pa.RecordBatch.from_pylist([dict(zip(("id", "features", "y", "l", "r", "s"), x)) for x in found], schema=pa.schema([
-                ("id", batch.schema.field(0).type), ("features", pa.list_(pa.string())), ("y", pa.int32()), *((k, pa.list_(pa.int64())) for k in "lrs")]))
+                found += [(ident, i, f, y, a.tolist(), b.tolist(), c.tolist()) for i, (f, y, a, b, c) in enumerate(zip(g.features, g.seen, left, right, skip))]
+            yield pa.RecordBatch.from_pylist([dict(zip(("id", "at", "features", "y", "l", "r", "s"), x)) for x in found], schema=pa.schema([
+                ("id", batch.schema.field(0).type), ("at", pa.int32()), ("features", pa.list_(pa.string())), ("y", pa.int32()), *((k, pa.list_(pa.int64())) for k in "lrs")]))
 
     kind = rows.schema["id"].dataType.simpleString()
-    tokens = rows.mapInArrow(run, f"id {kind}, features array<string>, y int, l array<bigint>, r array<bigint>, s array<bigint>")
-    got = tokens.orderBy(F.xxhash64(F.lit(seed), "id")).limit(most_tokens).toPandas()
+    tokens = rows.mapInArrow(run, f"id {kind}, at int, features array<string>, y int, l array<bigint>, r array<bigint>, s array<bigint>")
+    # one order whatever the partitions: the same tokens in the same order give the same field
+    got = tokens.orderBy(F.xxhash64(F.lit(seed), "id"), "id", "at", "features", "y", "l", "r", "s").limit(most_tokens).toPandas()
     if not len(got) or not (got["y"] > 0).any():
         return None
     counts: dict[str, int] = {}

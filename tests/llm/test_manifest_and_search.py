@@ -216,3 +216,16 @@ def test_intervals_hold_every_score():
     assert (s == a @ rows.T).all() and (s >= least[:, None]).all() and (s <= most[:, None]).all()
     big = np.array([[1 << 28, -(1 << 28) + 1]])
     assert hard_negatives.scores(big, big)[0, 0] == int(big[0, 0]) ** 2 + int(big[0, 1]) ** 2
+
+
+def test_field_does_not_depend_on_partitions_and_reads_whole_words(spark):
+    from labelsift.llm import pii
+
+    rng = np.random.default_rng(8)
+    rows = [(i, f"call +44 20 7946 {1000 + i % 40} or {i % 40 + 1000} now, card {'4111 1111 1111 1111' if i % 3 else '12'} {'z' * (i % 90)}{i} end") for i in range(300)]
+    rows += [(7, rows[9][1]), (7, rows[9][1]), (8, None)]
+    fields = [pii.train(spark.createDataFrame([rows[j] for j in rng.permutation(len(rows))], "doc_id bigint, text string").repartition(n), most_tokens=500) for n in (1, 3, 8)]
+    for f in fields[1:]:
+        assert f.index == fields[0].index and all((getattr(f, k) == getattr(fields[0], k)).all() for k in ("node", "chain", "skip"))
+    a, b = (pii.graph(f"{'w' * 200}{x} 12345 {'v' * 200}{x}", []).features[0] for x in "xy")
+    assert a[-2:] != b[-2:] and pii.shape("1" * 90 + "-") != pii.shape("1" * 91 + "-") and len(max(a, key=len)) < 90
