@@ -234,3 +234,35 @@ def test_prior_forcing_changes_nothing(spark, noisy):
     fixed = joint.prior_forcing_joints(df, 3, [0.2, 0.3, 0.4], rounds=2)
     assert sorted(tuple(r) for r in fixed[1].select("s", "y", "n").collect()) == sorted(
         tuple(r) for r in joint.confident_joint(df, 3, [0.2, 0.3, 0.4]).select("s", "y", "n").collect())
+
+
+class Counted(LogisticRegression):
+    """Counts its fits, copies included."""
+
+    fits: list = []
+
+    def _fit(self, df):
+        Counted.fits.append(1)
+        return super()._fit(df)
+
+
+def test_nested_probabilities_share_the_models_of_fold_pairs(positives):
+    Counted.fits.clear()
+    clf = Counted(maxIter=5)
+    got = confident_tuning.nested_probabilities(clf, positives, 3, seed=4)
+    got = {r["id"]: (r["fold"], r["psx"]) for r in got.select("id", "fold", "psx").collect()}
+    assert len(got) == positives.count() and len(Counted.fits) == 3 + 3
+    for out in range(3):  # each learner by itself, with the same folds
+        folded = crossval.sampling.stratified_folds(positives.select("id", "s", "features"), 3, seed=4)
+        base, inside = LogisticRegression(maxIter=5, labelCol="s"), None
+        for j in range(3):
+            if j != out:
+                part = base.fit(folded.where(~F.col("fold").isin(out, j))).transform(folded.where(F.col("fold") == j)).select(
+                    "id", "s", "features", vector_to_array("probability").alias("psx"))
+                inside = part if inside is None else inside.unionByName(part)
+        model = noisy_labels.NoisyLabelClassifier(LogisticRegression(maxIter=5), labelCol="s", psxCol="psx", cleanClass=1, seed=4).fit(inside)
+        for r in model.transform(folded.where(F.col("fold") == out)).select("id", vector_to_array("probability").alias("p")).collect():
+            assert got[r["id"]][0] == out and got[r["id"]][1] == pytest.approx(list(r["p"]), abs=1e-6)
+    Counted.fits.clear()
+    tuned = confident_tuning.tune(clf, positives, positives, fit_folds=3, nested=True)
+    assert len(tuned.scores) == 5 and len(Counted.fits) == 3 + 6 + 5
