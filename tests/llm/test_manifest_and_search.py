@@ -229,3 +229,32 @@ def test_field_does_not_depend_on_partitions_and_reads_whole_words(spark):
         assert f.index == fields[0].index and all((getattr(f, k) == getattr(fields[0], k)).all() for k in ("node", "chain", "skip"))
     a, b = (pii.graph(f"{'w' * 200}{x} 12345 {'v' * 200}{x}", []).features[0] for x in "xy")
     assert a[-2:] != b[-2:] and pii.shape("1" * 90 + "-") != pii.shape("1" * 91 + "-") and len(max(a, key=len)) < 90
+
+
+def test_ratings_of_odd_texts(spark):
+    from labelsift.llm import quality
+
+    rng = np.random.default_rng(9)
+    good, bad = (["".join(rng.choice(list(a), 6)) for _ in range(60)] for a in ("abcdef", "uvwxyz"))
+    text = lambda words, n=40: " ".join(rng.choice(words, n))
+    docs = [(i, text(good if i % 2 else bad)) for i in range(400)]
+    long = text(bad, 300_000)
+    docs += [(1000, None), (1001, ""), (1002, " \n\t "), (1003, "x" * 200_000), (1004, long), (1005, long + " " + text(good, 300_000)), (1006, docs[1][1]), (1, docs[1][1]), (None, docs[1][1])]
+    clash = {c: F.lit(c) for c in ("_rating", "grade", "order", "id")}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumns(clash)
+    rated = spark.createDataFrame([(i, 2 * (i % 2)) for i in range(400)] + [(3, 2), (9999, 2)], "doc_id bigint, grade int")
+    first = {}
+    for parts in (1, 6):
+        rows = df.repartition(parts)
+        out = quality.rate(rows, quality.train(rows, rated)).collect()
+        assert len(out) == len(docs) and all(r["_rating"] == "_rating" and r["id"] == "id" for r in out)
+        by = {}
+        for r in out:
+            assert r["kept"] == (r["tail_probability"] >= 0.75) and 0 <= r["tail_probability"] <= r["expected_grade"] <= 2
+            by.setdefault(r["doc_id"], set()).add((round(r["expected_grade"], 6), round(r["tail_probability"], 6)))
+        assert all(len(v) == 1 for v in by.values())  # repeated rows score alike
+        assert by[1000] == by[1001] == by[1002] and by[1006] == by[1] == by[None]
+        assert all(next(iter(by[i]))[0] > next(iter(by[j]))[0] for i in range(1, 400, 2) for j in (0, 2, 4))
+        assert next(iter(by[1005]))[0] > next(iter(by[1004]))[0]  # the end of a long text counts
+        first = first or by
+        assert all(abs(next(iter(by[k]))[0] - next(iter(first[k]))[0]) < 1e-3 for k in by)
