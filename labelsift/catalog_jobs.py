@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelsift.catalog import PL_K, REGISTRY, label_rows, latent_rows, month_index, page_tokens, pe, pl, query, r6, silent_rows, table  # noqa: F401
+from labelsift.catalog import PL_K, REGISTRY, feature_rows, label_rows, latent_rows, month_index, page_tokens, pe, pl, query, r6, silent_rows, table  # noqa: F401
+from labelsift.functions.ordering import arithmetic_key
 from labelsift.functions.probability import argmax_class
 from labelsift.operators import evaluate, joint, relabel, rollup, validate
-from labelsift.plans import experiment, feature_jobs, transductive
+from labelsift.plans import crossval, experiment, feature_jobs, models, noisy_labels, pu_models, transductive
 from labelsift.session import ensure_checkpoint_dir, settle
 from labelsift.sources import features, labelled_text, results, tables
 
@@ -205,3 +207,34 @@ def embedded_pages(spark, folder):
 @query
 def prior_forcing_joint(spark, folder):
     return joint.prior_forcing_joints(pl(spark, folder), PL_K)[-1].select("s", "y", "n")
+
+
+# ---------------------------------------------------------------- fits with a closed form, which SQL can follow
+
+def _gaussian() -> NaiveBayes:
+    return NaiveBayes(modelType="gaussian", labelCol="s")
+
+
+def _out_of_sample(spark: SparkSession, folder: str) -> DataFrame:
+    return crossval.cross_val_probabilities(feature_rows(spark, folder), _gaussian(), 3, key=arithmetic_key("id", 42))
+
+
+@query
+def gaussian_cv_probabilities(spark, folder):
+    return _out_of_sample(spark, folder).select("id", "s", "fold", r6(F.element_at("psx", 2)).alias("p"))
+
+
+@query
+def gaussian_noisy_label_fit(spark, folder):
+    """Out-of-sample probabilities, noise, errors, pruning, weights and the last fit, scored on all rows."""
+    rows = _out_of_sample(spark, folder)
+    p = F.round(F.element_at("psx", 2), 6)
+    model = noisy_labels.NoisyLabelClassifier(_gaussian(), labelCol="s", psxCol="psx").fit(rows.withColumn("psx", F.array(1.0 - p, p)))
+    errors = model.errors.select("id", "is_error")
+    return models.positive_score(model.transform(rows.drop("psx", "fold"))).join(errors, "id").select("id", "s", "is_error", r6("p").alias("p"))
+
+
+@query
+def gaussian_elkan_noto(spark, folder):
+    rows = feature_rows(spark, folder)
+    return pu_models.ElkanNoto(_gaussian(), key=arithmetic_key("id", 5)).fit(rows).transform(rows).select("id", "s", r6("p").alias("p"))

@@ -109,7 +109,52 @@ part("rel_masks", "rel_truth rel_rows rel_mean rl_rate rl_argmax", f"""SELECT 'p
 part("rel_runs", "rel_p rel_truth", """SELECT r.technique, t.release - 2 AS release, t.s = 1 AS t, t.hid OR t.s = 1 AS truth, p.p >= r.cut AS q FROM rel_p p
     JOIN rel_truth t ON t.file = p.file AND t.release = p.release, (VALUES ('baseline', 0.5::DOUBLE), ('regularize', 0.4::DOUBLE)) r(technique, cut) WHERE t.release > 2""")
 
-SOURCES = {"pe": 10, "pl": 3, "pb": 2, "tx": 2, "rl": 2 * MOST_RELEASES}
+# Gaussian naive Bayes: a mean and a variance of every feature and class, and the share of the classes' weights.
+part("nb_rows", "", """SELECT vec_id AS id, CASE WHEN label = 0 AND vec_id % 2 = 0 THEN 1 ELSE 0 END AS s, embedding FROM embeddings""")
+
+
+def order_key(seed: int) -> str:
+    return f"((id % 2147483648 + {seed}) * 2654435761) % 4294967296"
+
+
+def ranked(source: str, by: str, seed: int) -> str:
+    return f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order_key(seed)}, id) AS rn FROM {source}"
+
+
+part("nb_rn", "nb_rows", ranked("nb_rows", "s", 42))
+part("nb_fold", "nb_rn", "SELECT id, s, embedding, CAST(rn > n // 3 AS INTEGER) + CAST(rn > 2 * n // 3 AS INTEGER) AS fold FROM (SELECT *, count(*) OVER (PARTITION BY s) AS n FROM nb_rn)")
+
+
+def bayes_parts(tag: str, training: str, scored: str) -> None:
+    """``{tag}_p``: ``id, s, p`` of the rows ``scored (id, s, embedding, g)`` by the model of group g of ``training (id, s, embedding, g, w)``."""
+    part(f"{tag}_v", training, f"SELECT g, s, w, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM {training}")
+    part(f"{tag}_eps", f"{tag}_v", f"SELECT g, 1e-9::DOUBLE * max(e) AS e FROM (SELECT g, i, avg(v * v) - avg(v) * avg(v) AS e FROM {tag}_v GROUP BY g, i) GROUP BY g")
+    part(f"{tag}_m", f"{tag}_v {tag}_eps", f"""SELECT t.g, s, i, m, q - m * m + e AS var, lw FROM (SELECT g, s, i, avg(v) AS m, avg(v * v) AS q,
+        ln(sum(w) / sum(sum(w)) OVER (PARTITION BY g, i)) AS lw FROM {tag}_v GROUP BY g, s, i) t JOIN {tag}_eps e ON e.g = t.g""")
+    part(f"{tag}_x", scored, f"SELECT id, s, g, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM {scored}")
+    part(f"{tag}_l", f"{tag}_x {tag}_m", f"""SELECT x.id, any_value(x.s) AS s, m.s AS k, max(m.lw) + sum(-(x.v - m.m) * (x.v - m.m) / (2 * m.var) - 0.5 * ln(2 * pi() * m.var)) AS l
+        FROM {tag}_x x JOIN {tag}_m m ON m.g = x.g AND m.i = x.i GROUP BY x.id, m.s""")
+    part(f"{tag}_p", f"{tag}_l", f"SELECT id, any_value(s) AS s, 1 / (1 + exp(max(l) FILTER (k = 0) - max(l) FILTER (k = 1))) AS p FROM {tag}_l GROUP BY id")
+
+
+part("nbcv_train", "nb_fold", "SELECT f.g, id, s, embedding, 1.0::DOUBLE AS w FROM nb_fold JOIN (SELECT unnest(range(3)) AS g) f ON f.g <> fold")
+part("nbcv_rows", "nb_fold", "SELECT id, s, embedding, fold AS g FROM nb_fold")
+bayes_parts("nbcv", "nbcv_train", "nbcv_rows")
+part("nb", "nbcv_p", """SELECT id, s, CAST(k AS INTEGER) AS k, CASE k WHEN 1 THEN round(p, 6) ELSE 1.0::DOUBLE - round(p, 6) END AS p
+    FROM nbcv_p, (SELECT unnest([0, 1]) AS k)""")
+part("nb_kept", "nb_rate nb_argmax", "SELECT a.id, f.flag AND a.y <> a.s AS is_error FROM nb_argmax a JOIN nb_rate f USING (id)")
+part("nb_weight", "nb_nm", """SELECT s, 1 / (c / t) AS w FROM (SELECT s, y, c, sum(c) OVER (PARTITION BY y) AS t FROM
+    (SELECT s, y, CASE WHEN s = y THEN p ELSE least(greatest(p, 0.0), 0.9999) END AS c FROM nb_nm)) WHERE s = y""")
+part("nbfit_train", "nb_rows nb_kept nb_weight", """SELECT 0 AS g, r.id, r.s, embedding, w.w FROM nb_rows r JOIN nb_kept k ON k.id = r.id AND NOT k.is_error
+    JOIN nb_weight w ON w.s = r.s""")
+part("nball_rows", "nb_rows", "SELECT id, s, embedding, 0 AS g FROM nb_rows")
+bayes_parts("nbfit", "nbfit_train", "nball_rows")
+part("nben_rn", "nb_rows", ranked("nb_rows", "s", 5))
+part("nben_held", "nben_rn", "SELECT id, s, embedding, s = 1 AND rn <= ceil((SELECT count(*) FROM nben_rn WHERE s = 1) * 0.2::DOUBLE) AS held FROM nben_rn")
+part("nben_train", "nben_held", "SELECT 0 AS g, id, s, embedding, 1.0::DOUBLE AS w FROM nben_held WHERE NOT held")
+bayes_parts("nben", "nben_train", "nball_rows")
+
+SOURCES = {"pe": 10, "pl": 3, "pb": 2, "tx": 2, "nb": 2, "rl": 2 * MOST_RELEASES}
 for _n, _k in SOURCES.items():
     part(f"{_n}_grid", "", f"""SELECT CAST(a.i AS INTEGER) AS s, CAST(b.i AS INTEGER) AS y
         FROM (SELECT unnest(range({_k})) AS i) a, (SELECT unnest(range({_k})) AS i) b""")
@@ -580,3 +625,9 @@ SQL |= {
         LEFT JOIN LATERAL (SELECT length(w) * 31 + ascii(w) AS h FROM (SELECT unnest(t) AS w)) ON TRUE GROUP BY id, i"""),
 }
 
+SQL |= {
+    "gaussian_cv_probabilities": build("nbcv_p nb_fold", "SELECT p.id, p.s, f.fold, round(p.p, 6) AS p FROM nbcv_p p JOIN nb_fold f USING (id)"),
+    "gaussian_noisy_label_fit": build("nbfit_p nb_kept", "SELECT p.id, p.s, k.is_error, round(p.p, 6) AS p FROM nbfit_p p JOIN nb_kept k USING (id)"),
+    "gaussian_elkan_noto": build("nben_p nben_held", """SELECT p.id, p.s, round(p.p / c.c, 6) AS p FROM nben_p p,
+        (SELECT avg(p.p) AS c FROM nben_p p JOIN nben_held h ON h.id = p.id AND h.held) c"""),
+}

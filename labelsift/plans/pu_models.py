@@ -10,7 +10,7 @@ import math
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelsift.operators import evaluate, pu, rank, sampling
@@ -22,12 +22,12 @@ from labelsift.session import in_parallel, settle, ship_package
 class ElkanNoto:
     """p(y=1|x) = p(s=1|x) / c with c the mean score of held-out positives."""
 
-    def __init__(self, classifier, hold_out: float = 0.2, seed: int = 0):
-        self.classifier, self.hold_out, self.seed = classifier, hold_out, seed
+    def __init__(self, classifier, hold_out: float = 0.2, seed: int = 0, key: Column | None = None):
+        self.classifier, self.hold_out, self.seed, self.key = classifier, hold_out, seed, key
         self.model, self.c = None, None
 
     def fit(self, df: DataFrame) -> "ElkanNoto":
-        split = settle(sampling.hold_out_positives(df, self.hold_out, seed=self.seed))
+        split = settle(sampling.hold_out_positives(df, self.hold_out, seed=self.seed, key=self.key))
         self.model = self.classifier.fit(split.where(~F.col("held_out")))
         held = positive_score(self.model.transform(split.where("held_out")))
         self.c = held.agg(F.avg("p")).first()[0]
