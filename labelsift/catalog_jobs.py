@@ -238,3 +238,26 @@ def gaussian_noisy_label_fit(spark, folder):
 def gaussian_elkan_noto(spark, folder):
     rows = feature_rows(spark, folder)
     return pu_models.ElkanNoto(_gaussian(), key=arithmetic_key("id", 5)).fit(rows).transform(rows).select("id", "s", r6("p").alias("p"))
+
+
+@query
+def gaussian_bagging_pu(spark, folder):
+    rows = feature_rows(spark, folder)
+    model = pu_models.BaggingPU(_gaussian(), parallelism=4, key=arithmetic_key("id", 9)).fit(rows)
+    return model.transform(rows).select("id", "s", r6("p").alias("p"))
+
+
+@query
+def gaussian_two_stage_pu(spark, folder):
+    """The weight of the positive distance with the best validation AUC, and the fit on what it leaves."""
+    rows = feature_rows(spark, folder)
+    model = pu_models.TwoStagePU(_gaussian()).fit(rows.where("id % 4 <> 0"), rows.where("id % 4 = 0"))
+    return model.transform(rows).select("id", "s", F.lit(float(model.alpha)).alias("alpha"), r6("p").alias("p"))
+
+
+@query
+def gaussian_label_propagation(spark, folder):
+    rows = feature_rows(spark, folder)
+    model = pu_models.LabelPropagation(_gaussian()).fit(rows.where("id % 4 <> 0"), rows.where("id % 4 = 0"))
+    return model.transform(rows).select("id", "s", r6("p").alias("p"))
+

@@ -154,6 +154,28 @@ part("nben_held", "nben_rn", "SELECT id, s, embedding, s = 1 AND rn <= ceil((SEL
 part("nben_train", "nben_held", "SELECT 0 AS g, id, s, embedding, 1.0::DOUBLE AS w FROM nben_held WHERE NOT held")
 bayes_parts("nben", "nben_train", "nball_rows")
 
+part("nbbag_train", "nb_rows", f"""SELECT g.g, id, s, embedding, 1.0::DOUBLE AS w FROM nb_rows JOIN (SELECT unnest(range(15)) AS g) g
+    ON s = 1 OR {order_key(9)} % 15 = g.g""")
+part("nbbag_rows", "nb_rows", "SELECT id * 15 + g AS id, s, embedding, g FROM nb_rows, (SELECT unnest(range(15)) AS g)")
+bayes_parts("nbbag", "nbbag_train", "nbbag_rows")
+part("nbdist_v", "nb_rows", "SELECT id, s, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM nb_rows")
+part("nbdist_c", "nbdist_v", "SELECT s AS k, i, avg(v) AS m FROM nbdist_v WHERE id % 4 <> 0 GROUP BY s, i")
+part("nbdist_d", "nbdist_v nbdist_c", """SELECT x.id, any_value(x.s) AS s, c.k, 1 - sum(x.v * c.m) / (sqrt(sum(x.v * x.v)) * sqrt(sum(c.m * c.m))) AS d
+    FROM nbdist_v x JOIN nbdist_c c ON c.i = x.i WHERE x.id % 4 <> 0 GROUP BY x.id, c.k""")
+part("nbdist_near", "nbdist_d", "SELECT id, any_value(s) AS s, max(d) FILTER (k = 0) AS d0, max(d) FILTER (k = 1) AS d1 FROM nbdist_d GROUP BY id")
+part("nbtwo_alpha", "", "SELECT * FROM (VALUES (0, 0.8::DOUBLE), (1, 0.9::DOUBLE), (2, 1.0::DOUBLE), (3, 1.1::DOUBLE), (4, 1.2::DOUBLE)) t(g, alpha)")
+part("nbtwo_train", "nb_rows nbdist_near nbtwo_alpha", """SELECT a.g, r.id, r.s, embedding, 1.0::DOUBLE AS w FROM nbdist_near n JOIN nbtwo_alpha a ON n.d0 < n.d1 * a.alpha OR n.s = 1
+    JOIN nb_rows r ON r.id = n.id""")
+part("nbtwo_rows", "nb_rows", "SELECT id * 5 + g AS id, s, embedding, g FROM nb_rows, (SELECT unnest(range(5)) AS g)")
+bayes_parts("nbtwo", "nbtwo_train", "nbtwo_rows")
+part("nbtwo_auc", "nbtwo_p", """SELECT a.id % 5 AS g, sum(CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5 ELSE 0 END) / count(*) AS auc
+    FROM nbtwo_p a JOIN nbtwo_p b ON a.id % 5 = b.id % 5 WHERE a.s = 1 AND b.s = 0 AND a.id // 5 % 4 = 0 AND b.id // 5 % 4 = 0 GROUP BY 1""")
+part("nbtwo_best", "nbtwo_auc nbtwo_alpha", "SELECT g, alpha FROM nbtwo_auc JOIN nbtwo_alpha USING (g) ORDER BY auc DESC, g LIMIT 1")
+part("nbtwo_out", "nbtwo_p nbtwo_best", "SELECT p.id // 5 AS id, p.s, b.alpha, p.p FROM nbtwo_p p JOIN nbtwo_best b ON p.id % 5 = b.g")
+part("nbprop_train", "nbtwo_out nb_rows", """SELECT 0 AS g, r.id, CASE WHEN o.p >= 0.5 THEN 1 ELSE r.s END AS s, embedding, 1.0::DOUBLE AS w
+    FROM nb_rows r JOIN nbtwo_out o ON o.id = r.id WHERE r.id % 4 <> 0""")
+bayes_parts("nbprop", "nbprop_train", "nball_rows")
+
 SOURCES = {"pe": 10, "pl": 3, "pb": 2, "tx": 2, "nb": 2, "rl": 2 * MOST_RELEASES}
 for _n, _k in SOURCES.items():
     part(f"{_n}_grid", "", f"""SELECT CAST(a.i AS INTEGER) AS s, CAST(b.i AS INTEGER) AS y
@@ -631,3 +653,9 @@ SQL |= {
     "gaussian_elkan_noto": build("nben_p nben_held", """SELECT p.id, p.s, round(p.p / c.c, 6) AS p FROM nben_p p,
         (SELECT avg(p.p) AS c FROM nben_p p JOIN nben_held h ON h.id = p.id AND h.held) c"""),
 }
+
+SQL |= {
+    "gaussian_bagging_pu": build("nbbag_p", "SELECT id // 15 AS id, any_value(s) AS s, round(avg(p), 6) AS p FROM nbbag_p GROUP BY id // 15"),
+    "gaussian_two_stage_pu": build("nbtwo_out", "SELECT id, s, alpha, round(p, 6) AS p FROM nbtwo_out"),
+    "gaussian_label_propagation": build("nbprop_p", "SELECT id, s, round(p, 6) AS p FROM nbprop_p"),
+}

@@ -42,13 +42,13 @@ class ElkanNoto:
 class BaggingPU:
     """Mean score of models trained on all positives and one share of the unlabelled rows each."""
 
-    def __init__(self, classifier, n_bags: int = 15, seed: int = 42, parallelism: int = 2):
-        self.classifier, self.n_bags, self.seed, self.parallelism = classifier, n_bags, seed, parallelism
+    def __init__(self, classifier, n_bags: int = 15, seed: int = 42, parallelism: int = 2, key: Column | None = None):
+        self.classifier, self.n_bags, self.seed, self.parallelism, self.key = classifier, n_bags, seed, parallelism, key
         self.models: list = []
 
     def fit(self, df: DataFrame) -> "BaggingPU":
         df = settle(df)
-        bag = lambda b: self.classifier.fit(sampling.bag(df, b, self.n_bags, seed=self.seed))
+        bag = lambda b: self.classifier.fit(sampling.bag(df, b, self.n_bags, seed=self.seed, key=self.key))
         self.models = in_parallel(df.sparkSession, bag, range(self.n_bags), self.parallelism)
         return self
 
