@@ -1,4 +1,4 @@
-"""Removal of repeated substrings by bucket-pointer refinement over sampled suffixes."""
+"""Removal of repeated substrings by buckets of sampled q-grams, refined by hashes of the windows around them."""
 
 from __future__ import annotations
 
@@ -242,13 +242,16 @@ def single_windows(context: DataFrame, open_: DataFrame, length: int) -> DataFra
 
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     """``id, check, lo, stop``: byte spans made of windows of ``length`` bytes that also start elsewhere."""
-    level0 = scratch.write(sampled(texts, length))  # texts are scanned and hashed once
-    often = level0.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    level0 = scratch.write(level0.join(often, "gram"))
+    everything = scratch.write(sampled(texts, length))  # texts are scanned and hashed once
+    often = everything.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    level0 = scratch.write(everything.join(often, "gram"))
+    scratch.drop(everything)  # each table goes once the next has been written from it
     step0 = scratch.write(refine(level0, ["gram"]))
+    scratch.drop(level0)
     context = scratch.write(contexts(texts, step0.where("open"), length))
     step1 = scratch.write(refine(blocks(context, length), ["gram", "core"]))
     level2 = scratch.write(single_windows(context, step1.where("open"), length).distinct())
+    scratch.drop(context)
     again = level2.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select("gram", "window")
     step2 = level2.join(again, ["gram", "window"])
     stop = lambda df, last: df.select("id", "check", "lo", (F.col(last) + length).alias("stop"))
@@ -260,8 +263,9 @@ def remove_repeated(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
     ``length`` bytes which also starts anywhere else, in any text of the input.
 
     Initial buckets hold sampled suffixes with equal q-grams; a string's sampled suffix depends on its bytes alone, so
-    equal strings meet in one bucket. Buckets with one member are closed. The others are refined by the buckets of later
-    offsets, level by level: all windows of a suffix, blocks of 16, single windows. At each level members with an equal
+    equal strings meet in one bucket. Buckets with one member are closed. The others are refined by hashes of the bytes around
+    the q-gram, level by level: all windows of a suffix, blocks of 16, single windows. (Bucket identifiers of later offsets are not
+    used: they would take a row for every byte.) At each level members with an equal
     hull are settled and one of them goes on for all, so copies cost one row however many there are.
 
     Null text: empty, as are texts of fewer than ``length`` bytes left whole. Rows that share an id are told apart by
