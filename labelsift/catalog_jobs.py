@@ -66,6 +66,7 @@ def overall_recall_runs(spark, folder):
     against corrected labels."""
     rows = release_rows(spark, folder)
     scored = transductive.centroid_probabilities(rows, F.col("file") % 4, 4).where(F.col("release") > 2)
+    scored = settle(scored.select("file", "release", "s", "p"))  # read for predictions and metrics of both techniques
     path = new_folder(spark, "runs")
     for technique, cut in (("baseline", 0.5), ("regularize", 0.4)):
         key = {"classifier": F.lit("centroid"), "feature_type": F.lit("sm"), "technique": F.lit(technique)}

@@ -45,8 +45,11 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
-    """``df`` has the run key, the test rows and ``predicted``. A rerun replaces its own partition."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN_KEY).parquet(path))
+    """``df`` has the run key, the test rows and ``predicted``. A rerun replaces its own partition.
+
+    Rows are dealt out by run first, so that there are files for the size of a run and not one for every run in every task;
+    a run too large for a task is split between several."""
+    (df.hint("rebalance", *RUN_KEY).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN_KEY).parquet(path))
 
 
 def read_grid(spark: SparkSession, path: str) -> DataFrame:

@@ -92,6 +92,20 @@ def test_overall_recall(spark, tmp_path):
     assert out.first()["recall_o"] == pytest.approx(2 / 3)
 
 
+def test_predictions_make_files_by_run_not_by_task(spark, tmp_path):
+    def runs(predicted, releases):
+        return spark.range(40 * 12, numPartitions=12).select(
+            (F.col("id") % 40).cast("int").alias("release"), *[F.lit("x").alias(c) for c in results.RUN_KEY[1:]], F.col("id").alias("file"),
+            F.lit(65).alias("test_release"), F.lit(predicted).alias("predicted")).where(F.col("release") < releases)
+
+    path = tmp_path / "pred"
+    results.write_predictions(runs(0, 40), str(path))
+    assert len(list(path.rglob("*.parquet"))) == 40  # not 40 x 3 or more
+    results.write_predictions(runs(1, 10), str(path))  # a rerun replaces its own
+    back = [(r["release"], r["file"], r["predicted"]) for r in spark.read.parquet(str(path)).collect()]
+    assert sorted(back) == sorted((i % 40, i, int(i % 40 < 10)) for i in range(480))
+
+
 def test_grid(spark, tmp_path):
     (tmp_path / "grid.csv").write_text("63,rf,bert,baseline\n64,rf,sm,pruning\n")
     assert [tuple(r) for r in results.read_grid(spark, str(tmp_path / "grid.csv")).orderBy("release").collect()] == [
