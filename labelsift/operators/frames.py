@@ -26,10 +26,10 @@ def class_range(spark: SparkSession, k: int) -> DataFrame:
     return spark.range(k, numPartitions=1).select(F.col("id").cast("int").alias("s"))
 
 
-def pair_grid(spark: SparkSession, k: int) -> DataFrame:
-    """All K*K class pairs, from a range (no join)."""
-    return spark.range(k * k, numPartitions=1).select(
-        (F.col("id") / k).cast("int").alias("s"), (F.col("id") % k).cast("int").alias("y"))
+def pair_grid(spark: SparkSession, k: int, blocks: int = 1) -> DataFrame:
+    """All K*K class pairs, of each block of K classes, from a range (no join)."""
+    s = (F.col("id") / k).cast("int")
+    return spark.range(blocks * k * k, numPartitions=1).select(s.alias("s"), (s - s % k + F.col("id") % k).cast("int").alias("y"))
 
 
 def local_frame(spark: SparkSession, columns: dict[str, tuple[pa.DataType, list]]) -> DataFrame:

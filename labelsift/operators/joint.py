@@ -80,12 +80,12 @@ def guesses(probs: DataFrame, k: int, thresholds=None) -> DataFrame:
     return probs.withColumn("_t", t).withColumn("guess", true_label_guess("psx", "_t", k)).drop("_t")
 
 
-def count_cells(pairs: DataFrame, k: int) -> DataFrame:
-    """``s, y, n, class_n`` over the full grid from rows ``(s, y)``; a null ``y`` counts for the
-    class but for no cell. Zero cells join the aggregation, so one shuffle of K*K partial sums
+def count_cells(pairs: DataFrame, k: int, blocks: int = 1) -> DataFrame:
+    """``s, y, n, class_n`` over the full grid from rows ``(s, y)``, or over the grid of each block of K classes; a null ``y`` counts
+    for the class but for no cell. Zero cells join the aggregation, so one shuffle of K*K partial sums
     is all there is."""
     spark = pairs.sparkSession
-    zeros = frames.pair_grid(spark, k).select("s", "y", F.lit(0).cast("bigint").alias("n"))
+    zeros = frames.pair_grid(spark, k, blocks).select("s", "y", F.lit(0).cast("bigint").alias("n"))
     rows = pairs.select("s", "y", F.lit(1).cast("bigint").alias("n"))
     # K*K rows in one partition: no window or join on them needs another exchange
     cells = rows.unionByName(zeros).groupBy("s", "y").agg(F.sum("n").alias("n")).repartition(1)
@@ -109,6 +109,22 @@ def confident_joint(probs: DataFrame, k: int, thresholds=None, calibrate: bool =
     return calibrated(cells) if calibrate else cells
 
 
+def class_of_block(k: int, label: Column | str = "s") -> Column:
+    """The number of a label among the classes of all blocks: block b has the classes ``k b`` to ``k b + k - 1``."""
+    return (F.col("block") * k + (F.col(label) if isinstance(label, str) else label)).cast("int")
+
+
+def block_joint(probs: DataFrame, k: int, blocks: int, calibrate: bool = True) -> DataFrame:
+    """The confident joints of many problems of K classes in the same jobs: ``s, y, n, class_n`` with classes as in ``class_of_block``, K*K
+    cells a block. ``probs`` has ``block`` (0 .. blocks - 1) as well, ``s`` and ``psx`` being those of the row's own block."""
+    own = probs.select("block", "s", "psx")
+    t = own.groupBy(class_of_block(k).alias("c")).agg(F.avg(prob_of("psx", F.col("s"))).alias("t"))
+    of_block = own.withColumn("_t", frames.by_class(t, "c", "t", k * blocks)).withColumn("_t", F.slice("_t", F.col("block") * k + 1, k))
+    guessed = of_block.withColumn("_y", true_label_guess("psx", "_t", k))
+    cells = count_cells(guessed.select(class_of_block(k).alias("s"), class_of_block(k, "_y").alias("y")), k, blocks)
+    return calibrated(cells) if calibrate else cells
+
+
 def prior_forcing_joints(probs: DataFrame, k: int, thresholds: list[float] | None = None, rounds: int = 5, rate: float = 0.5) -> list[DataFrame]:
     """The calibrated joints of ``rounds`` countings, each under thresholds moved by ``rate`` times what the last joint's share of every
     given class is off the class's share of the rows. The last one is the result.

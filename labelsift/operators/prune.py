@@ -19,6 +19,9 @@ from labelsift.session import settle
 MIN_ROWS_PER_CLASS = 5
 METHODS = ("prune_by_noise_rate", "prune_by_class", "both")
 
+# Cells of a counting pass over the margins of all blocks: what a task sends at most.
+BLOCK_CELLS = 20_000
+
 
 def _split(m: DataFrame) -> tuple[Column, Column]:
     return F.col("s") == F.col("y"), W.partitionBy("s")
@@ -91,25 +94,44 @@ def wanted_cuts(counts: list, sizes: dict[int, int], method: str) -> list[dict]:
     return wanted
 
 
-def flag_by_noise_rate(probs: DataFrame, found: list[dict], k: int, multi_label: bool, name: str) -> DataFrame:
+def block_cuts(probs: DataFrame, wanted: list[dict], k: int, cells: int = BLOCK_CELLS) -> list[dict]:
+    """``cuts.largest`` where every row has the probabilities of its own block of K classes only: a row has K margins however many
+    blocks there are, and counting passes over narrower brackets find the cuts of all blocks together."""
+    if not wanted:
+        return []
+    own, same = F.element_at("psx", F.col("s") + 1), {w["s"] == w["y"] for w in wanted}
+    margins = [F.struct(joint.class_of_block(k, F.lit(j)).alias("y"), F.when(F.col("s") == j, -own).otherwise(F.element_at("psx", j + 1) - own).alias("v"))
+               for j in range(k)]
+    values = probs.select(joint.class_of_block(k).alias("s"), F.inline(F.array(*margins))).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    if len(same) == 1:
+        values = values.where((F.col("s") == F.col("y")) == F.lit(same.pop()))
+    return rank.nth_largest(values, ["s", "y"], "v", wanted, (-1.0, 1.0), cells=cells)
+
+
+def _place(label: Column, k: int, blocks: int | None) -> Column:
+    """Where the cuts of a label stand in an array over all classes."""
+    return (label if blocks is None else joint.class_of_block(k, label)) + 1
+
+
+def flag_by_noise_rate(probs: DataFrame, found: list[dict], k: int, multi_label: bool, name: str, blocks: int | None = None) -> DataFrame:
     """Flag rows at or above any of their margin cuts, ties included."""
     if not found:
         return probs.withColumn(name, F.lit(False))
-    table: list[list] = [[None] * k for _ in range(k)]
+    table: list[list] = [[None] * k for _ in range(k * (blocks or 1))]
     for c in found:
-        table[c["s"]][c["y"]] = c["cut"]
+        table[c["s"]][c["y"] % k] = c["cut"]
     by_pair = frames.constant_array(probs.sparkSession, table)
     over = F.exists(_labels(multi_label), lambda g: F.exists(
-        F.zip_with("psx", F.element_at("_cuts", g + 1),
+        F.zip_with("psx", F.element_at("_cuts", _place(g, k, blocks)),
                    lambda p, c: F.coalesce(p - F.element_at("psx", g + 1) >= c, F.lit(False))), lambda hit: hit))
     return probs.withColumn("_cuts", by_pair).withColumn(name, F.coalesce(over, F.lit(False))).drop("_cuts")
 
 
-def flag_by_class(probs: DataFrame, found: list[dict], k: int, multi_label: bool, name: str) -> DataFrame:
+def flag_by_class(probs: DataFrame, found: list[dict], k: int, multi_label: bool, name: str, blocks: int | None = None) -> DataFrame:
     """Flag rows strictly below the cut of any of their labels."""
     if not found:
         return probs.withColumn(name, F.lit(False))
-    table = [None] * k
+    table = [None] * (k * (blocks or 1))
     for c in found:
         table[c["s"]] = c["cut"]
     by_class = frames.constant_array(probs.sparkSession, table)
@@ -117,38 +139,46 @@ def flag_by_class(probs: DataFrame, found: list[dict], k: int, multi_label: bool
         under = F.exists(F.array_distinct("s"), lambda g: F.coalesce(
             F.element_at("psx", g + 1) < F.element_at("_cuts", g + 1), F.lit(False)))
     else:
-        under = F.coalesce(F.element_at("psx", F.col("s") + 1) < F.element_at("_cuts", F.col("s") + 1), F.lit(False))
+        under = F.coalesce(F.element_at("psx", F.col("s") + 1) < F.element_at("_cuts", _place(F.col("s"), k, blocks)), F.lit(False))
     return probs.withColumn("_cuts", by_class).withColumn(name, under).drop("_cuts")
 
 
 def find_label_errors(probs: DataFrame, k: int, cj: DataFrame | None = None,
                       method: str = "prune_by_noise_rate", frac_noise: float = 1.0,
                       budget: list[float] | None = None, multi_label: bool = False,
-                      thresholds=None, keep: str = "persist") -> DataFrame:
+                      thresholds=None, keep: str = "persist", blocks: int | None = None) -> DataFrame:
     """Probability frame plus ``is_error``.
 
     ``probs`` is read several times (joint, cuts, mask); ``keep`` says how to hold on to it, see
     ``session.settle``. Rows whose most probable class equals their label are never flagged.
+
+    With ``blocks`` these are so many problems of K classes in the same jobs: ``probs`` has ``block`` as well, and each block is judged
+    on its own (see ``joint.block_joint``).
     """
     if method not in METHODS:
         raise ValueError(f"method {method} should be in {list(METHODS)}")
+    if blocks is not None and (cj is not None or multi_label or thresholds is not None or budget is not None):
+        raise ValueError("blocks have one label a row and a joint of their own")
     probs = settle(probs, keep)
-    if cj is None:
+    if blocks is not None:
+        cj = joint.block_joint(probs, k, blocks)
+    elif cj is None:
         build = joint.multilabel_joint if multi_label else joint.confident_joint
         cj = build(probs, k, thresholds)
     elif "class_n" not in cj.columns:
         n = (joint.label_list_counts if multi_label else joint.class_counts)(probs, k)
         cj = cj.select("s", "y", "n").join(F.broadcast(n.select("s", F.col("n").alias("class_n"))), "s")  # K rows
-    counts = [r.asDict() for r in prune_counts(cj, frac_noise, budget).collect()]  # K*K rows
+    counts = [r.asDict() for r in prune_counts(cj, frac_noise, budget).collect()]  # K*K rows, of each block
     sizes = {r["s"]: r["class_n"] for r in counts}
     base, flags = probs, []
-    found = cuts.largest(probs, wanted_cuts(counts, sizes, method), k, multi_label)
+    wanted = wanted_cuts(counts, sizes, method)
+    found = cuts.largest(probs, wanted, k, multi_label) if blocks is None else block_cuts(probs, wanted, k)
     if method in ("prune_by_noise_rate", "both"):
-        probs = flag_by_noise_rate(probs, [c for c in found if c["s"] != c["y"]], k, multi_label, "_rate")
+        probs = flag_by_noise_rate(probs, [c for c in found if c["s"] != c["y"]], k, multi_label, "_rate", blocks)
         flags.append("_rate")
     if method in ("prune_by_class", "both"):
         own = [{"s": c["s"], "cut": -c["cut"]} for c in found if c["s"] == c["y"]]
-        probs = flag_by_class(probs, own, k, multi_label, "_class")
+        probs = flag_by_class(probs, own, k, multi_label, "_class", blocks)
         flags.append("_class")
     if multi_label:
         probs = probs.withColumn("_cut", multilabel.best_boundary(base, k))

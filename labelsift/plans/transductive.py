@@ -81,17 +81,12 @@ def centroid_probabilities(rows: DataFrame, fold: Column, n_folds: int, metric:
 
 
 def as_one_problem(scored: DataFrame, releases: list[int], keep: tuple[str, ...] = ("file", "release")) -> tuple[DataFrame, int]:
-    """Two classes in each of many releases as one problem of twice as many classes, and their number.
+    """Two classes in each of many releases as one problem of as many blocks of two classes, and their number.
 
-    Class ``2 r + s`` is label s in the r-th release. The probability of other releases' classes is -1, below every threshold and
-    under every arg max, so thresholds, joint, prune counts and cuts come out for each release on its own, all in the same jobs.
+    ``block`` is the place of the row's release among all, ``psx`` has the two probabilities of its own release, whatever the number of releases.
     """
-    k = 2 * len(releases)
     number = F.array_position(F.array(*[F.lit(r) for r in releases]), F.col("release")).cast("int") - 1
-    rows = scored.withColumn("_r", number)
-    psx = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.when(c == 2 * F.col("_r"), 1.0 - F.col("p"))
-                      .when(c == 2 * F.col("_r") + 1, F.col("p")).otherwise(F.lit(-1.0)))
-    return rows.select(*keep, (2 * F.col("_r") + F.col("s")).cast("int").alias("s"), psx.alias("psx")), k
+    return scored.select(*keep, number.alias("block"), F.col("s").cast("int").alias("s"), F.array(1.0 - F.col("p"), F.col("p")).alias("psx")), len(releases)
 
 
 def pruning_mask(rows: DataFrame, fold: Column, n_folds: int, metric: str = "euclidean", method: str = "prune_by_noise_rate", keep: str = "persist") -> DataFrame:
@@ -99,8 +94,9 @@ def pruning_mask(rows: DataFrame, fold: Column, n_folds: int, metric: str = "euc
     releases = releases_of(rows)
     if not releases:
         return rows.select("file", "release", F.lit(True).alias("reliable"))
-    probs, k = as_one_problem(centroid_probabilities(rows, fold, n_folds, metric), releases)
-    flagged = prune.find_label_errors(settle(probs, keep), k, method=method, keep="none")
+    scored = settle(centroid_probabilities(rows, fold, n_folds, metric).select("file", "release", "s", "p"), keep)
+    probs, blocks = as_one_problem(scored, releases)
+    flagged = prune.find_label_errors(probs, 2, method=method, keep="none", blocks=blocks)
     return flagged.select("file", "release", (~F.col("is_error")).alias("reliable"))
 
 

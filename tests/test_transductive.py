@@ -53,6 +53,22 @@ def test_pruning_of_all_releases_is_that_of_each(releases):
     assert all(v for (_, r), v in got.items() if r in (62, 63, 64)) and not all(got.values())
 
 
+@pytest.mark.parametrize("method", prune.METHODS)
+def test_rows_hold_their_own_release_only(spark, method):
+    """What a row holds does not grow with the number of releases, and each is pruned as if it were alone."""
+    rng = np.random.default_rng(8)
+    rows = [(i, 100 + i % 30, int(rng.random() < 0.4), float(p)) for i, p in enumerate(rng.random(1_500).round(2))]
+    scored = spark.createDataFrame(rows, "file bigint, release int, s int, p double").persist()
+    probs, blocks = transductive.as_one_problem(scored, list(range(100, 130)))
+    assert blocks == 30 and probs.select(F.max(F.size("psx"))).first()[0] == 2
+    got = masked(prune.find_label_errors(probs, 2, method=method, blocks=blocks).withColumn("reliable", ~F.col("is_error")))
+    for r in (100, 117):
+        alone = one(scored, r).select(F.col("file").alias("id"), "file", "release", "s", F.array(1.0 - F.col("p"), "p").alias("psx"))
+        want = masked(prune.find_label_errors(alone, 2, method=method).withColumn("reliable", ~F.col("is_error")))
+        assert want == {k: v for k, v in got.items() if k[1] == r}
+    assert not all(got.values())
+
+
 def test_one_class_of_all_releases_is_that_of_each(releases):
     got = masked(transductive.one_class_mask(releases, nu=0.2, width=64, gamma=0.1, seed=5))
     for r in (61, 63, 65):
