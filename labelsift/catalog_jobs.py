@@ -93,13 +93,14 @@ def _file_of(order: str, slash: str) -> Column:
 
 
 def _raw_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Every item as a line of a raw metric table: in turn a file, a function and a class; several of each a file."""
-    li = table(spark, folder, "lineitem")
+    """Every item as a line of a raw metric table, in the order of ``KEY``: in turn a file, a function and a class; several of each a
+    file. Items are sorted before they become lines, and the metrics are whole numbers, written as such."""
+    li = table(spark, folder, "lineitem").select(*KEY, "l_quantity").orderBy(*KEY)
     kind = F.element_at(F.array(F.lit("File"), F.lit("Public Function"), F.lit("Private Class")), (F.col("l_linenumber") % 3 + 1).cast("int"))
     path = _file_of("l_orderkey", "\\")
     value = F.col("l_partkey") + F.col("l_quantity").cast("bigint")
-    metrics = [((value * (i + 3)) % 101).cast("double").alias(m) for i, m in enumerate(METRICS)]
-    return li.select(*KEY, kind.alias("Kind"), path.alias("File"), *metrics)
+    metrics = [((value * (i + 3)) % 101).alias(m) for i, m in enumerate(METRICS)]
+    return li.select(kind.alias("Kind"), path.alias("File"), *metrics)
 
 
 @query
@@ -107,7 +108,8 @@ def raw_metric_features(spark, folder):
     """A raw metric table as CSV, read back in the order of its lines, and the 53 features of every order's file: several rows
     of kind File compete for the first place."""
     path = new_folder(spark, "raw-metrics")
-    _raw_lines(spark, folder).orderBy(*KEY).select("Kind", "File", *METRICS).write.option("header", True).csv(path)
+    # Packed files are read whole, each by one task, so they are kept short.
+    _raw_lines(spark, folder).write.option("header", True).option("compression", "gzip").option("maxRecordsPerFile", 100_000).csv(path)
     raw = tables.read_raw_metrics(spark, path, 63)
     o = table(spark, folder, "orders")
     labels = o.select(_file_of("o_orderkey", "/").alias("file"), F.lit(63).alias("release"), (F.col("o_orderstatus") == "F").cast("int").alias("vulnerable"))

@@ -53,16 +53,19 @@ def roll_up(labels: DataFrame, raw: DataFrame, order: str, file_first=FILE_FIRST
     def only(cond, m):
         return F.when(cond, F.col(m).cast("double"))
 
-    per_file = [F.min_by(F.col(m).cast("double"), F.when(is_file, F.col(order))).alias(m) for m in file_first]
+    # One place and one row of metrics for all of them: a place for each metric would be most of what is shuffled.
+    first = F.struct(*[F.col(m).cast("double").alias(m) for m in file_first])
+    per_file = [F.min_by(first, F.when(is_file, F.col(order))).alias("_first")] if file_first else []
     for how, agg in (("Min", F.min), ("Mean", F.avg), ("Max", F.max)):
         per_file += [agg(only(is_function, m)).alias(f"{m}_{how}") for m in function_spread]
     files = raw.where(is_file | is_function).groupBy(*by, "file").agg(*per_file)
+    files = files.select("*", *[F.col("_first")[m].alias(m) for m in file_first]).drop("_first")
     classes = raw.where(is_class).groupBy(*by, "stem").agg(
         *[F.sum(F.col(m).cast("double")).alias(m) for m in class_sum],
         *[F.avg(F.col(m).cast("double")).alias(m) for m in class_mean])
     stem = F.col(label_stem) if label_stem else file_stem("file")
     out = (labels.withColumn("stem", stem)
-           .join(files, [*by, "file"], "left").join(classes, [*by, "stem"], "left"))
+           .join(classes, [*by, "stem"], "left").join(files, [*by, "file"], "left"))  # the narrower table is dealt out again
     features = metric_columns(file_first, class_sum, class_mean, function_spread)
     zero_nan = [F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)).alias(c) for c in features]
     return out.select(*labels.columns, *zero_nan)

@@ -100,6 +100,19 @@ def test_metric_rollup(spark):
     assert all(none[c] == 0.0 for c in rollup.metric_columns())
 
 
+def test_rollup_keeps_one_place_and_deals_out_the_narrow_table(spark):
+    """A file's first row and its place are one aggregate, not one for each of 28 metrics; its metrics are not dealt out again by stem."""
+    labels = spark.createDataFrame([("src/a.cpp", 63, 0)], "file string, release int, vulnerable int")
+    raw = raw_rows(spark)
+    raw = raw.union(raw.where("row_order = 0").withColumn("row_order", F.lit(-1).cast("bigint")).withColumn("CountLine", F.lit(None).cast("double")))
+    out = feature_jobs.metric_features(labels, raw)
+    row = out.first()
+    assert row["CountLine"] == 0.0 and row["CountStmt"] == 1.0  # what the first row lacks is not taken from a later one
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("min_by(") == 1
+    assert plan.index("sum(CountClassBase") < plan.index("min_by(")  # classes are joined first
+
+
 def test_clean_code_and_tokens(spark):
     code = '/* head\n more */\nint x = 10; // ten\n\n  /* in */ char *s = "a // b";\n\tif (x >= 0x1F) y += \'c\';\n'
     df = spark.createDataFrame([(code,), (None,)], "code string")
