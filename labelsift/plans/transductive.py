@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -32,21 +33,48 @@ def centres(rows: DataFrame, releases: list[int], by: list[str] = ()) -> dict[tu
     return {(r["release"], r["s"], *(r[b] for b in by)): (r["n"], np.array(r["c"])) for r in cells}
 
 
+def _vectors(x: pa.Array) -> np.ndarray:
+    """A batch of equally long arrays as one matrix, null components as NaN."""
+    lengths = np.unique(x.value_lengths().to_numpy(zero_copy_only=False)) if len(x) else np.zeros(1)
+    if x.null_count or len(lengths) > 1:
+        raise ValueError("vectors must be there and equally long")
+    return x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(x), int(lengths[0]))
+
+
+def _groups(keys: tuple[pa.Array, ...]):
+    """Each key of a batch and the places of its rows; a key with a null is none."""
+    code, sizes = np.zeros(len(keys[0]), dtype=np.int64), []
+    for k in keys:
+        k = k.dictionary_encode()
+        values, index = k.dictionary.to_pylist(), k.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        code = np.where((code < 0) | (index < 0), -1, code * len(values) + index)
+        sizes.append(values)
+    order = np.argsort(code, kind="stable")
+    found, starts = np.unique(code[order], return_index=True)
+    for c, at in zip(found.tolist(), np.split(order, starts[1:])):
+        if c >= 0:
+            key = []
+            for values in reversed(sizes):
+                c, i = divmod(c, len(values))
+                key.append(values[i])
+            yield tuple(reversed(key)), at
+
+
 def _with_distances(rows: DataFrame, places: dict, metric: str, key: list[str], name: str) -> DataFrame:
     """``rows`` plus the array ``name``: the distances to the centres of classes 0 and 1 that belong to the row's ``key``; null
     where a class has no centre."""
     ship_package(rows.sparkSession)
 
-    @F.pandas_udf("array<double>")
-    def distances(x: pd.Series, *keys: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def distances(x: pa.Array, *keys: pa.Array) -> pa.Array:
         out = np.full((len(x), 2), np.nan)
-        m = pu.vector_batch(x) if len(x) else np.zeros((0, 0))
-        of = pd.Series(list(zip(*keys))) if len(x) else pd.Series([], dtype=object)
-        for k, at in of.groupby(of, sort=False).indices.items():
+        m = _vectors(x)
+        for k, at in _groups(keys):
             for c in (0, 1):
                 if (*k, c) in places:
                     out[at, c] = pu.batch_distances(m[at], places[*k, c][None], metric)[:, 0]
-        return pd.Series([[None if np.isnan(v) else float(v) for v in r] for r in out], dtype=object)
+        flat = out.ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * 2), pa.array(flat, mask=np.isnan(flat)))
 
     return rows.withColumn(name, distances("x", *key))
 
