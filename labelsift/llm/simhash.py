@@ -81,19 +81,22 @@ def near_links(fps: DataFrame, fp: str = "fingerprint") -> DataFrame:
     fingerprints in it are keyed by the points of the ball around their other segment, those that look in from a neighbouring point by
     that segment itself. Whatever meets under such a key differs in 2 bits at most, so each is linked to the smallest there.
     Rows are linear in the fingerprints, products within an entry are bounded, and the components are those of all pairs.
+    Spark takes a side that was inlined or exploded for as many rows as before, a 34th of the looks; so no such side is left to
+    the size-checked choice of a broadcast, which would bring it to the driver.
     """
     distinct = fps.select(F.col(fp).alias("fp")).distinct()
     halves = segments(F.col("fp"))
     entries = [F.struct(F.lit(k).alias("segment"), halves[k].alias("value")) for k in (0, 1)]
     table = distinct.select("fp", F.inline(F.array(*entries)))
     sizes = table.groupBy("segment", "value").agg(F.count("*").alias("n"))
-    listed = table.join(sizes, ["segment", "value"])
+    listed = table.join(sizes.hint("merge"), ["segment", "value"])
     few = listed.where(F.col("n") <= OFTEN).groupBy("segment", "value").agg(F.collect_list("fp").alias("members"))
     many = sizes.where(F.col("n") > OFTEN).select("segment", "value", F.lit(None).cast("array<bigint>").alias("members"))
     looks = [F.struct(F.lit(k).alias("segment"), v.alias("value"), F.lit(d).alias("moved"))
              for k in (0, 1) for d, points in ((0, [halves[k]]), (RADIUS, ball(halves[k], upwards=True))) for v in points]
     looks = distinct.select("fp", F.inline(F.filter(F.array(*looks), lambda x: x["value"].isNotNull())))
-    met = scratch.write(looks.join(few.unionByName(many), ["segment", "value"]).where("members IS NULL OR moved > 0 OR size(members) > 1"))
+    met = looks.join(few.unionByName(many).hint("merge"), ["segment", "value"])
+    met = scratch.write(met.where("members IS NULL OR moved > 0 OR size(members) > 1"))
     near = F.filter("members", lambda m: (m != F.col("fp")) & (F.bit_count(m.bitwiseXOR(F.col("fp"))) <= 2))
     links = met.where("members IS NOT NULL").select(F.col("fp").alias("a"), F.explode(near).alias("b"))
     other = F.when(F.col("segment") == 0, halves[1]).otherwise(halves[0])
@@ -101,7 +104,7 @@ def near_links(fps: DataFrame, fp: str = "fingerprint") -> DataFrame:
     inside = met.where("members IS NULL").select("segment", "value", "moved", "fp", F.explode(points).alias("point"))
     keys = ["segment", "value", "point"]
     least = inside.where("moved = 0").groupBy(*keys).agg(F.min("fp").alias("b"))
-    shared = inside.join(least, keys).where("fp != b").select(F.col("fp").alias("a"), "b")
+    shared = inside.join(least.hint("merge"), keys).where("fp != b").select(F.col("fp").alias("a"), "b")
     return links.unionByName(shared).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2).distinct()
 
 

@@ -13,7 +13,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from labelsift.llm import fingerprint, line_dedup, mixing, packing, pii, pivots, quality, queries, queries_sql, simhash, substrings, token_counts
+from labelsift.llm import (fingerprint, line_dedup, mixing, packing, pii, pivots, quality, queries, queries_sql, scratch, simhash, substrings,
+                           token_counts)
 
 SF = "/root/testdata/sf0.001"
 RANKS = queries.tokenizer_file("byte_bpe_50k.tiktoken")
@@ -440,6 +441,22 @@ def test_one_segment_of_many_fingerprints(spark):
     assert groups(links) == groups([(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2])
 
 
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_links_broadcast_no_exploded_side(spark, monkeypatch):
+    """Spark sizes what is inlined or exploded by the rows before; below the threshold it would bring all looks to the driver."""
+    rng = np.random.default_rng(13)
+    points = [(int(p) ^ bit,) for p in rng.integers(-2**63, 2**63, 50) for bit in (0, 1)] + [(5 << 32 | low,) for low in range(100)]
+    plans, write = [], scratch.write
+    monkeypatch.setattr(scratch, "write", lambda df: plans.append(final_plan(df)) or write(df))
+    plans.append(final_plan(simhash.near_links(spark.createDataFrame(points, "fingerprint bigint"))))
+    joins = [line.strip(" +-:*()0123456789") for plan in plans for line in plan.split("== Initial Plan ==")[0].splitlines() if "Join" in line]
+    assert len(joins) >= 3 and all(j.startswith("SortMergeJoin") for j in joins), joins
+
+
 def test_quality_on_held_out_ratings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     rated = quality.grades(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
