@@ -113,16 +113,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component is named by its smallest id.
 
     Repeated rows keep one row each. A null id takes part by its fingerprint; a component of null ids only has a
-    null name. Empty table: empty result.
+    null name. Empty table: empty result. Tables with a row for each document or fingerprint are not broadcast: their packed files,
+    by which Spark sizes them, are a tenth of what they take in the driver's memory.
     """
     prints = scratch.write(fingerprints(docs, id_col, text_col, words))
     distinct = prints.groupBy("fingerprint").agg(F.min("id").alias("least"))
     roots = components(near_links(distinct)).withColumnRenamed("node", "fingerprint")
-    rooted = scratch.write(distinct.join(roots, "fingerprint", "left").select(
+    rooted = scratch.write(distinct.join(roots.hint("merge"), "fingerprint", "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select("id", "fingerprint", "component_id")
+    named = rooted.join(names.hint("merge"), "root").select("fingerprint", "component_id")
+    return prints.join(named.hint("merge"), "fingerprint").select("id", "fingerprint", "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:

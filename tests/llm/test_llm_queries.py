@@ -446,6 +446,10 @@ def final_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def joins_of(plan):
+    return [line.strip(" +-:*()0123456789") for line in plan.split("== Initial Plan ==")[0].splitlines() if "Join" in line]
+
+
 def test_near_links_broadcast_no_exploded_side(spark, monkeypatch):
     """Spark sizes what is inlined or exploded by the rows before; below the threshold it would bring all looks to the driver."""
     rng = np.random.default_rng(13)
@@ -453,10 +457,22 @@ def test_near_links_broadcast_no_exploded_side(spark, monkeypatch):
     plans, write = [], scratch.write
     monkeypatch.setattr(scratch, "write", lambda df: plans.append(final_plan(df)) or write(df))
     plans.append(final_plan(simhash.near_links(spark.createDataFrame(points, "fingerprint bigint"))))
-    joins = [line.strip(" +-:*()0123456789") for plan in plans for line in plan.split("== Initial Plan ==")[0].splitlines() if "Join" in line]
+    joins = [j for plan in plans for j in joins_of(plan)]
     assert len(joins) >= 3 and all(j.startswith("SortMergeJoin") for j in joins), joins
 
 
+def test_simhash_broadcasts_no_row_per_document(spark, monkeypatch):
+    words = [f"w{i * i % 997}" for i in range(4_000)]
+    docs = [(i, " ".join([*words[:i], "changed", *words[i:]])) for i in range(40)]
+    plans, write = [], scratch.write
+    keep = lambda df: None if df.columns == ["u", "v"] else plans.append(final_plan(df))  # noqa: E731  # rounds of the components are left to Spark
+    monkeypatch.setattr(scratch, "write", lambda df: keep(df) or write(df))
+    found = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    joins = [j for plan in [*plans, final_plan(found)] for j in joins_of(plan)]
+    assert len({r["component_id"] for r in found.collect()}) < len(docs)
+    assert len(joins) >= 4 and all(j.startswith("SortMergeJoin") for j in joins), joins
+
+
 def test_quality_on_held_out_ratings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     rated = quality.grades(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
