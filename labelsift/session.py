@@ -119,19 +119,23 @@ def settle(df: DataFrame, how: str = "persist") -> DataFrame:
     raise ValueError(f"unknown way to settle a frame: {how}")
 
 
+_shipping = threading.Lock()
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable by the Python workers, once per application.
+    """Make this package importable by the Python workers, once per application, whichever thread comes first.
 
     Needed where vectorised functions run and the package was neither installed on the executors nor
     given to ``spark-submit --py-files``.
     """
     sc = spark.sparkContext
-    if getattr(sc, "_labelsift_shipped", False):
-        return
-    root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="labelsift-")) / "labelsift.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, str(f.relative_to(root.parent)))
-    sc.addPyFile(str(archive))
-    sc._labelsift_shipped = True
+    with _shipping:  # Spark refuses a second file of the same name
+        if getattr(sc, "_labelsift_shipped", False):
+            return
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="labelsift-")) / "labelsift.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, str(f.relative_to(root.parent)))
+        sc.addPyFile(str(archive))
+        sc._labelsift_shipped = True

@@ -1,3 +1,7 @@
+import time
+from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
@@ -6,6 +10,7 @@ from pyspark.sql import functions as F
 
 from labelsift.operators import evaluate, frames, latent
 from labelsift.plans import confident_tuning, crossval, experiment, models, noisy_labels, pu_models
+from labelsift.session import ship_package
 from labelsift.sources import results
 
 
@@ -136,6 +141,15 @@ def test_confident_tuning(positives):
     assert len(tuned.scores) == 5 and max(s for _, s in tuned.scores) == dict((str(c), s) for c, s in tuned.scores)[str(tuned.params)]
 
 
+def test_package_is_shipped_once_by_many_threads():
+    """Candidates are fitted in threads; Spark refuses a second file of the same name."""
+    shipped = []
+    context = SimpleNamespace(addPyFile=lambda path: time.sleep(0.3) or shipped.append(path))
+    with ThreadPoolExecutor(4) as threads:
+        list(threads.map(ship_package, [SimpleNamespace(sparkContext=context)] * 4))
+    assert len(shipped) == 1 and context._labelsift_shipped
+
+
 @pytest.fixture(scope="module")
 def small_release_tables(spark):
     rng = np.random.default_rng(3)
