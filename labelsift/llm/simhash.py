@@ -113,8 +113,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component is named by its smallest id.
 
     Repeated rows keep one row each. A null id takes part by its fingerprint; a component of null ids only has a
-    null name. Empty table: empty result. Tables with a row for each document or fingerprint are not broadcast: their packed files,
-    by which Spark sizes them, are a tenth of what they take in the driver's memory.
+    null name. Empty table: empty result. Tables with a row for each document or fingerprint are not broadcast: they take
+    several times the size of their packed files, by which Spark sizes them, in the driver's memory.
     """
     prints = scratch.write(fingerprints(docs, id_col, text_col, words))
     distinct = prints.groupBy("fingerprint").agg(F.min("id").alias("least"))
